@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, idstore, langid, lsm, packing, quality, simhash, spm
+from . import bpe_count, idstore, langid, lm, lsm, packing, quality, search, simhash, spm
 from .common import fold
 
 TOKENS = 1024
@@ -32,6 +32,16 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json"), TOKENS).drop("ids")
 
 
+def op3_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(_docs(spark, sf_dir), F.col("doc_id") % 20 == 0).withColumn("score", F.round("score", 9))
+
+
+def op4_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = fold(F.col("doc_id"), 5) == 1
+    found = lm.score(_docs(spark, sf_dir), ~held)
+    return found.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_count.token_counts(_docs(spark, sf_dir), _tokenizer("byte_bpe_50k.json")).withColumn("over_limit", F.col("n_tokens") > TOKENS)
 
@@ -61,7 +71,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op5_token_counts, op6_language_id, op7_exact_dedup, op8_quality, op9_id_store, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_lm_scores, op5_token_counts, op6_language_id, op7_exact_dedup, op8_quality, op9_id_store, op10_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -139,3 +139,88 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return fp.join(labelled.join(sizes, "component_id").drop("rows"), "fp", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("component_size")).alias("component_size")
     )
+
+
+#: Seeds of the tables of near-copy candidates, and the most bits of all tables together in which
+#: a candidate may differ: 0.8 alike in five-word shingles means up to 0.15 of the bits.
+TABLES, MOST_BITS = (11, 23, 47), 40
+PIVOTS = 8
+#: Rows up to which a set of ids is broadcast.
+BROADCAST_IDS = 500_000
+
+
+def _shingles(text: str, words: int) -> set[bytes]:
+    w = text.encode().lower().split()
+    return {b" ".join(x) for x in zip(*(w[i:] for i in range(words)), strict=False)} or {b" ".join(w)}
+
+
+def _near_pairs(fps: DataFrame, crowd: int) -> DataFrame:
+    """Candidate pairs (a, b) of nodes that share a key of some table."""
+    keyed = [deletion_variants(fps.select("node", f"f{t}"), f"f{t}", t).select("node", "bit", "key") for t in range(len(TABLES))]
+    rows = keyed[0]
+    for k in keyed[1:]:
+        rows = rows.unionByName(k)
+    sized = rows.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1")
+    pairs = F.expr(
+        f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}), y -> x.bit = 2 or x.bit <> y.bit),
+            y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"""
+    )
+    near = sized.where(f"n <= {crowd}").groupBy("key").agg(F.collect_list(F.struct("bit", "node")).alias("xs")).select(F.inline(pairs))
+    # a crowded key: its members meet the few that lie next to the middle of all of them
+    member = sized.where(f"n > {crowd}").groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", "m.key").join(fps.select("node", "f0"), "node")
+    sums = [F.sum(F.expr(f"shiftright(f0, {i}) & 1")).alias(f"s{i}") for i in range(BITS)]
+    middle = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
+    middle = middle.select("key", F.expr(" | ".join(f"(case when 2 * s{i} > n then shiftleft(1L, {i}) else 0L end)" for i in range(BITS))).alias("center"))
+    ranked = member.join(middle, "key").selectExpr("key", "node pivot", "row_number() over (partition by key order by bit_count(f0 ^ center), node) place")
+    star = member.join(ranked.where(f"place <= {PIVOTS}"), "key").where("node <> pivot").selectExpr("least(node, pivot) a", "greatest(node, pivot) b")
+    return near.unionByName(star).distinct()
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = 32) -> DataFrame:
+    """(doc_id, component_id) of every document with an id: groups of near copies.
+
+    Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
+    ``similarity``; component_id is the least doc_id reachable.  Texts alike but for A-Z case
+    and white space are one class from the start.  Candidates come from SimHash fingerprints of
+    the words (three tables, a segment equal or one bit off), are kept if all bits together
+    differ little enough, and are verified on their whole texts.  In a key with more than
+    ``crowd`` fingerprints each meets only the eight nearest to their middle, so a group of
+    near copies costs its size, not its square.  Null, empty and blank texts are one class.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = b.column(1).to_pylist()
+            twin = [xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts]
+            fp = [weighted_fingerprints(t, TABLES) for t in texts]
+            columns = [pa.array([f[k] for f in fp], pa.int64()) for k in range(len(TABLES))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twin, pa.int64()), *columns], ["doc_id", "twin", *(f"f{k}" for k in range(len(TABLES)))])
+
+    rows = documents(docs, id_col, text_col).dropna(subset=["doc_id"])
+    tables = [f"f{k}" for k in range(len(TABLES))]
+    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, " + ", ".join(f"{t} long" for t in tables)), "near-fingerprints")
+    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("node"), *(F.min(t).alias(t) for t in tables)), "near-classes")
+    fps = classes.select("node", *tables)
+    side = lambda x: fps.select(F.col("node").alias(x), *(F.col(t).alias(f"{x}{t}") for t in tables))
+    differ = " + ".join(f"bit_count(a{t} ^ b{t})" for t in tables)
+    alike = stage(_near_pairs(fps, crowd).join(side("a"), "a").join(side("b"), "b").where(f"{differ} <= {MOST_BITS}").select("a", "b"), "near-pairs")
+    nodes = stage(alike.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
+    few = nodes.count() <= BROADCAST_IDS
+    # of rows repeated with one id, any text of the class will do
+    texts = rows.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    both = alike.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b")
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            src, dst = [], []
+            for a, c, ta, tc in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                x, y = _shingles(ta, words), _shingles(tc, words)
+                common = len(x & y)
+                if common >= similarity * (len(x) + len(y) - common):
+                    src.append(a)
+                    dst.append(c)
+            yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    found = connected_components(both.select("a", "b", "ta", "tb").mapInArrow(verify, "src long, dst long"))
+    labelled = classes.join(found, "node", "left").select("twin", F.coalesce("component", "node").alias("component_id"))
+    return fp.join(labelled, "twin").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
