@@ -12,7 +12,9 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import documents
@@ -20,6 +22,8 @@ from .vocab import LONGEST, REMEMBERED, Remembered
 
 SPACE = "▁"
 NO_PIECE = (float("inf"), 0)
+#: Texts encoded at a time.
+TEXTS = 1000
 OUT = "doc_id long, ids array<int>, decoded string"
 
 
@@ -139,6 +143,27 @@ class BacktrackingEncoder:
         ids.append(self.eos)
         return ids, "".join(p[1] for p in parts) + str(self.eos)
 
+    def encode_all(self, texts: list[str]) -> list[tuple[list[int], str]]:
+        """:meth:`encode` of each text; where every chunk is a word after one space, each different word is looked up once."""
+        self.seen.turn()
+        easy = [self.words and bool(t) and t[0] != " " and "  " not in t and SPACE not in t for t in texts]
+        lists = pc.split_pattern(pa.array([t for t, e in zip(texts, easy, strict=True) if e], pa.string()), " ")
+        coded = lists.values.dictionary_encode()
+        found = [self._chunk(SPACE + w) for w in coded.dictionary.to_pylist()]
+        ids = pa.array([f[0] for f in found], pa.large_list(pa.int32())).take(coded.indices)
+        decimal = pa.array([f[1] for f in found], pa.large_string()).take(coded.indices)
+        bounds = lists.offsets.to_numpy()
+        id_at, text_at = ids.offsets.to_numpy()[bounds].tolist(), np.frombuffer(decimal.buffers()[1], np.int64, len(decimal) + 1)[bounds].tolist()
+        flat, raw = ids.values.to_numpy(), memoryview(decimal.buffers()[2] or b"")
+        out, k, eos = [], 0, [self.eos]
+        for t, e in zip(texts, easy, strict=True):
+            if e:
+                out.append((flat[id_at[k] : id_at[k + 1]].tolist() + eos, str(raw[text_at[k] : text_at[k + 1]], "ascii") + str(self.eos)))
+                k += 1
+            else:
+                out.append(self.encode(t))
+        return out
+
 
 _open: dict[str, BacktrackingEncoder] = {}
 
@@ -149,6 +174,10 @@ def encoder(path: str) -> BacktrackingEncoder:
     return _open[path]
 
 
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, ids, decoded) of every whole text: its ids with the end id, and the text that the
     library's decode gives for them.
@@ -158,15 +187,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     are encoded like any others.
     """
 
-    def row(text: str) -> tuple[list[int], str]:
-        e = encoder(path)
-        ids, _ = e.encode(text)
-        return ids, e.lib.decode(ids)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for b in batches:
-            rows = [row(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.string())], ["doc_id", "ids", "decoded"])
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                ids = [i for i, _ in e.encode_all(some.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(map(e.lib.decode, ids), pa.string())], ["doc_id", "ids", "decoded"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, OUT)
 
@@ -174,15 +201,13 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256): :func:`encode_decode` without carrying ids and texts on."""
 
-    def row(text: str) -> tuple[int, str, str]:
-        e = encoder(path)
-        ids, decimal = e.encode(text)
-        return len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(e.lib.decode(ids).encode()).hexdigest()
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = encoder(path)
         for b in batches:
-            rows = [row(t) for t in b.column(1).to_pylist()]
-            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                rows = e.encode_all(some.column(1).to_pylist())
+                columns = [pa.array([len(i) for i, _ in rows], pa.int64()), pa.array([_sha(d) for _, d in rows], pa.string()), pa.array([_sha(e.lib.decode(i)) for i, _ in rows], pa.string())]
+                yield pa.RecordBatch.from_arrays([some.column(0), *columns], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
