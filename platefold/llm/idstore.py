@@ -2,8 +2,8 @@
 
 A shard holds the ids of consecutive documents as one raw little-endian array (16 bits where
 the vocabulary allows it, else 32), the documents' keys and lengths in order, and the index:
-a displacement for each bucket of keys, and for each slot a fingerprint of its key with the
-place and number of its ids.  A lookup is two hashes, one displacement and one comparison.
+levels of bits that give each key a slot of its own, and for each slot a fingerprint of its key
+with the place and number of its ids.  A lookup is a hash or two and one comparison.
 
 Shards are rows of a Parquet table: Spark's commit makes a lost or repeated task harmless, and
 any store that Spark writes to will do.
@@ -27,7 +27,10 @@ from .vocab import chunk_tokenizer
 SHARD = "part int, shard int, before long, first_key long, last_key long, n_docs long, n_ids long, width int, keys binary, counts binary, index binary, payload binary"
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
-LOADED = 4  # keys in a bucket, on average
+#: Places for each key in a level of the index.
+SPARE = 2
+#: Texts encoded at a time.
+TEXTS = 1000
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: the splitmix64 mixer's
 
@@ -42,14 +45,15 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 
 
 class PerfectHash:
-    """Slots 0 to n - 1 for n different 64-bit keys, by hashing to buckets and displacing each bucket."""
+    """Slots 0 to n - 1 for n different 64-bit keys: a row of levels of bits.
 
-    def __init__(self, shifts: np.ndarray, prints: np.ndarray, starts: np.ndarray, counts: np.ndarray):
-        self.shifts, self.prints, self.starts, self.counts = shifts, prints, starts, counts
+    A key is hashed to a place of the first level; where no other key falls its bit is set, and
+    the others go on to the next level.  A key's slot is the number of bits set before its own.
+    """
 
-    @staticmethod
-    def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-        return (mix(keys) % np.uint64(buckets)).astype(np.int64)
+    def __init__(self, sizes: np.ndarray, words: np.ndarray, prints: np.ndarray, starts: np.ndarray, counts: np.ndarray):
+        self.sizes, self.words, self.prints, self.starts, self.counts = sizes, words, prints, starts, counts
+        self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
     @staticmethod
     def _print(keys: np.ndarray) -> np.ndarray:
@@ -57,57 +61,50 @@ class PerfectHash:
 
     @classmethod
     def build(cls, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        n = len(keys)
-        buckets = max(1, n // LOADED)
-        of = cls._bucket(keys, buckets)
-        order = np.argsort(of, kind="stable")
-        edges = np.searchsorted(of[order], np.arange(buckets + 1))
-        taken = np.zeros(n, bool)
-        shifts = np.zeros(buckets, np.int64)
-        slot = np.zeros(n, np.int64)
-        free_at = 0
-        for b in np.argsort(-np.diff(edges), kind="stable"):
-            own = order[edges[b] : edges[b + 1]]
-            if len(own) == 0:
+        sizes, words, left, level = [], [], keys, 0
+        while len(left):
+            size = -(-SPARE * len(left) // 64) * 64
+            at = (mix(left, 2 + level) % np.uint64(size)).astype(np.int64)
+            alone = np.bincount(at, minlength=size) == 1
+            sizes.append(size)
+            words.append(np.packbits(alone, bitorder="little").view("<u8"))
+            left = left[~alone[at]]
+            level += 1
+        made = cls(np.array(sizes, np.int64), np.concatenate([*words, np.zeros(0, "<u8")]).astype("<u8"), *(np.zeros(len(keys), np.uint32) for _ in range(3)))
+        slot = made.slots(keys)
+        made.prints[slot], made.starts[slot], made.counts[slot] = cls._print(keys), starts, counts
+        return made
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's slot; some slot, or -1, for a key that was not built in."""
+        slot, live, base = np.full(len(keys), -1), np.arange(len(keys)), 0
+        for level, size in enumerate(self.sizes.tolist()):
+            if not len(live):
                 break
-            if len(own) == 1:  # any free slot, stored as such
-                while taken[free_at]:
-                    free_at += 1
-                shifts[b], at = -free_at - 1, np.array([free_at])
-            else:
-                shift = 0
-                while True:
-                    shift += 1
-                    at = (mix(keys[own], 1 + shift) % np.uint64(n)).astype(np.int64)
-                    if len(set(at.tolist())) == len(own) and not taken[at].any():
-                        break
-                shifts[b] = shift
-            taken[at] = True
-            slot[own] = at
-        prints, s, c = np.zeros(n, np.uint32), np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        prints[slot], s[slot], c[slot] = cls._print(keys), starts, counts
-        return cls(shifts, prints, s, c)
+            at = (mix(keys[live], 2 + level) % np.uint64(size)).astype(np.int64) + base
+            word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            own = live[hit]
+            slot[own] = self.before[at[hit] >> 6] + np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            live, base = live[~hit], base + size
+        return slot
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, start, count) of each key; found is by fingerprint, wrong for one stranger in 2**32."""
-        n = len(self.prints)
-        if not n:
+        if not len(self.prints):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        shift = self.shifts[self._bucket(keys, len(self.shifts))]
-        slot = np.where(shift < 0, -shift - 1, 0)
-        for s in np.unique(shift[shift > 0]):
-            own = shift == s
-            slot[own] = (mix(keys[own], 1 + int(s)) % np.uint64(n)).astype(np.int64)
-        return self.prints[slot] == self._print(keys), self.starts[slot].astype(np.int64), self.counts[slot].astype(np.int64)
+        slot = self.slots(keys)
+        return (slot >= 0) & (self.prints[slot] == self._print(keys)), self.starts[slot].astype(np.int64), self.counts[slot].astype(np.int64)
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<qq", len(self.shifts), len(self.prints)) + self.shifts.astype("<i8").tobytes() + b"".join(x.astype("<u4").tobytes() for x in (self.prints, self.starts, self.counts))
+        return struct.pack("<qqq", len(self.sizes), len(self.words), len(self.prints)) + self.sizes.astype("<i8").tobytes() + self.words.tobytes() + b"".join(x.astype("<u4").tobytes() for x in (self.prints, self.starts, self.counts))
 
     @classmethod
     def from_bytes(cls, raw: bytes) -> PerfectHash:
-        b, n = struct.unpack_from("<qq", raw)
-        at = 16 + 8 * b
-        return cls(np.frombuffer(raw, "<i8", b, 16), *(np.frombuffer(raw, "<u4", n, at + 4 * n * k) for k in range(3)))
+        levels, words, n = struct.unpack_from("<qqq", raw)
+        at = 24 + 8 * levels
+        rest = at + 8 * words
+        return cls(np.frombuffer(raw, "<i8", levels, 24), np.frombuffer(raw, "<u8", words, at), *(np.frombuffer(raw, "<u4", n, rest + 4 * n * k) for k in range(3)))
 
 
 def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> str:
@@ -148,8 +145,8 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str =
 
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
-                for key, raw in zip(ids[at : at + 256], tok.encode(texts[at : at + 256]), strict=True):
+            for at in range(0, len(texts), TEXTS):
+                for key, raw in zip(ids[at : at + TEXTS], tok.encode(texts[at : at + TEXTS]), strict=True):
                     if keys and state["ids"] + len(raw) // 4 > SHARD_IDS:
                         yield close()
                     keys.append(key)
