@@ -26,6 +26,8 @@ from .vocab import chunk_tokenizer
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 #: Pieces of one length that are ranked in one task.
 RANKED = 50_000
+#: Texts encoded at a time.
+TEXTS = 1000
 
 
 def pieces(docs: DataFrame, path: str, window: int = 1024, end: int = 0, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
@@ -39,9 +41,9 @@ def pieces(docs: DataFrame, path: str, window: int = 1024, end: int = 0, id_col:
         tok = chunk_tokenizer(path, end)
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, len(texts), TEXTS):
                 rows: list[tuple] = []
-                for d, raw in zip(doc_ids[at : at + 256], tok.encode(texts[at : at + 256]), strict=True):
+                for d, raw in zip(doc_ids[at : at + TEXTS], tok.encode(texts[at : at + TEXTS]), strict=True):
                     n = len(raw) // 4
                     for s in range(0, n, window):
                         piece = raw[4 * s : 4 * (s + window)]
