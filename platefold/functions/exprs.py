@@ -311,7 +311,7 @@ def truthy(c: Column) -> Column:
 
 
 def comma_list(c: Column) -> Column:
-    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), F.trim), lambda t: t != "")
+    return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), ","), lambda t: F.trim(t)), lambda t: t != "")
 
 
 def clipboard_token(calories: Column, carbs: Column, fat: Column, protein: Column) -> Column:

@@ -35,7 +35,7 @@ def filter_by_restaurant(items: DataFrame, filters: DataFrame) -> DataFrame:
     include: only the listed categories, so items without one go; exclude: not the listed ones,
     so they stay.  Mode all, an empty list or no row lets everything pass.
     """
-    f = filters.select("restaurant", F.col("mode").alias("_mode"), F.transform("categories", F.lower).alias("_listed"))
+    f = filters.select("restaurant", F.col("mode").alias("_mode"), F.transform("categories", lambda c: F.lower(c)).alias("_listed"))
     joined = items.join(f, "restaurant", "left")
     hit = F.coalesce(F.array_contains("_listed", F.lower("category")), F.lit(False))
     passes = F.col("_mode").isNull() | (F.col("_mode") == "all") | (F.size("_listed") <= 0)

@@ -87,7 +87,7 @@ def _groups(spark, sf_dir):
 
 _GROUPS_SQL = f"m as ({MENU_SQL}), g as (select distinct restaurant, {_CATEGORY} as category from m where item_seq % 4 <> 0)"
 _PRESETS_SQL = "p(key, keywords, exact) as (values " + ", ".join("('{}', [{}], [{}]::varchar[])".format(k, ", ".join("'" + w.replace("'", "''") + "'" for w in ws), ", ".join(f"'{w}'" for w in x)) for k, _, ws, x in filters.PRESETS) + ")"
-_HIT = "(len(list_filter(p.keywords, w -> contains(lower(g.category), w))) > 0 or list_contains(p.exact, lower(g.category)))"
+_HIT = "(len(list_filter(p.keywords, lambda w: contains(lower(g.category), w))) > 0 or list_contains(p.exact, lower(g.category)))"
 
 
 @query(f"with {_GROUPS_SQL}, {_PRESETS_SQL} select p.key, g.restaurant, string_agg(g.category, '|' order by g.category) as matched from g join p on {_HIT} group by 1, 2")
@@ -111,13 +111,13 @@ _OWN_SQL = "own as (select g.restaurant, list(g.category order by g.category) as
 @query(f"""with {_GROUPS_SQL}, {_PRESETS_SQL}, {_CHOSEN_SQL}, {_OWN_SQL},
     n as (select f.restaurant, f.mode, f.categories, o.matched, case when f.mode = 'exclude' then f.categories else []::varchar[] end as old from f left join own o using (restaurant))
     select restaurant, case when matched is null or mode = 'include' then mode else 'exclude' end as mode,
-        array_to_string(case when matched is null or mode = 'include' then categories else list_concat(old, list_filter(matched, x -> not list_contains(old, x))) end, '|') as categories from n""")
+        array_to_string(case when matched is null or mode = 'include' then categories else list_concat(old, list_filter(matched, lambda x: not list_contains(old, x))) end, '|') as categories from n""")
 def preset_toggle_on(spark, sf_dir):
     return filters.toggle_preset(_groups(spark, sf_dir), _chosen(spark, sf_dir), "sides", True).withColumn("categories", F.array_join("categories", "|"))
 
 
 @query(f"""with {_GROUPS_SQL}, {_PRESETS_SQL}, {_CHOSEN_SQL}, {_OWN_SQL},
-    n as (select f.restaurant, f.mode, f.categories, o.matched, list_filter(case when f.mode = 'exclude' then f.categories else []::varchar[] end, x -> not list_contains(coalesce(o.matched, []), x)) as rest from f left join own o using (restaurant))
+    n as (select f.restaurant, f.mode, f.categories, o.matched, list_filter(case when f.mode = 'exclude' then f.categories else []::varchar[] end, lambda x: not list_contains(coalesce(o.matched, []), x)) as rest from f left join own o using (restaurant))
     select restaurant, case when matched is null or mode = 'include' then mode when len(rest) > 0 then 'exclude' else 'all' end as mode,
         array_to_string(case when matched is null or mode = 'include' then categories else rest end, '|') as categories from n""")
 def preset_toggle_off(spark, sf_dir):
@@ -125,7 +125,7 @@ def preset_toggle_off(spark, sf_dir):
 
 
 @query(f"""with {_GROUPS_SQL}, {_PRESETS_SQL}, {_CHOSEN_SQL}, o as (select p.key, g.restaurant, list(g.category) as matched from g join p on {_HIT} group by 1, 2)
-    select key, bool_and(coalesce(f.mode = 'exclude' and len(list_filter(o.matched, x -> not list_contains(f.categories, x))) = 0, false)) as active from o left join f using (restaurant) group by 1""")
+    select key, bool_and(coalesce(f.mode = 'exclude' and len(list_filter(o.matched, lambda x: not list_contains(f.categories, x))) = 0, false)) as active from o left join f using (restaurant) group by 1""")
 def preset_active(spark, sf_dir):
     return filters.preset_active(_groups(spark, sf_dir), _chosen(spark, sf_dir))
 
@@ -135,8 +135,8 @@ def active_filter_count(spark, sf_dir):
     return filters.active_filters(_chosen(spark, sf_dir))
 
 
-@query(f"""with {_GROUPS_SQL}, {_CHOSEN_SQL} select restaurant, array_to_string(case when list_contains(categories, 'Burgers') then list_filter(categories, x -> x <> 'Burgers') else list_append(categories, 'Burgers') end, '|') as toggled,
-    array_to_string(case when len(list_filter(categories, x -> lower(x) = 'dips')) > 0 then categories else list_append(categories, 'DIPS') end, '|') as terms from f""")
+@query(f"""with {_GROUPS_SQL}, {_CHOSEN_SQL} select restaurant, array_to_string(case when list_contains(categories, 'Burgers') then list_filter(categories, lambda x: x <> 'Burgers') else list_append(categories, 'Burgers') end, '|') as toggled,
+    array_to_string(case when len(list_filter(categories, lambda x: lower(x) = 'dips')) > 0 then categories else list_append(categories, 'DIPS') end, '|') as terms from f""")
 def category_and_term_toggles(spark, sf_dir):
     f = _chosen(spark, sf_dir)
     return f.select("restaurant", F.array_join(filters.toggle_category(F.col("categories"), F.lit("Burgers")), "|").alias("toggled"), F.array_join(filters.add_term(F.col("categories"), F.lit("DIPS")), "|").alias("terms"))
@@ -336,8 +336,8 @@ def portion_row_pick(spark, sf_dir):
 # --- trees ---
 
 
-@query(f"""with m as ({MENU_SQL}), r as (select *, row_number() over (partition by restaurant order by case when calories > 0 then protein::double / calories else 0.0 end desc, item_seq) as r, count(*) over (partition by restaurant) as n from m)
-    select restaurant, item_seq, r as place from r where n <= 5 or list_contains(list_transform(range(0, 5), i -> floor(i * (n - 1) / 4.0 + 0.5)::bigint), r - 1)""")
+@query(f"""with m as ({MENU_SQL}), r as (select *, row_number() over (partition by restaurant order by case when calories > 0 then protein::double / calories else 0.0 end desc, item_seq) as r, row_number() over (partition by restaurant order by item_seq) as o, count(*) over (partition by restaurant) as n from m)
+    select restaurant, item_seq, case when n <= 5 then o else r end as place from r where n <= 5 or list_contains(list_transform(range(0, 5), lambda i: floor(i * (n - 1) / 4.0 + 0.5)::bigint), r - 1)""")
 def diverse_sample(spark, sf_dir):
     return tree.diverse_sample(menu(spark, sf_dir), ["restaurant"], "protein", 5, "item_seq").select("restaurant", "item_seq", "place")
 
@@ -377,7 +377,7 @@ def _edges(spark, sf_dir):
 
 @query(f"""with m as ({MENU_SQL}), t as (select *, row_number() over (partition by restaurant order by item_seq) as r from m), c as (select *, 'i' || r as label from t where r <= 12),
     a as (select * from c where r <= 3), b as (select * from c where r between 4 and 8), k as (select *, row_number() over (partition by restaurant order by case when calories > 0 then protein::double / calories else 0.0 end desc, r) as rk, count(*) over (partition by restaurant) as n from c where r > 8),
-    s as (select * from k where n <= 3 or list_contains(list_transform(range(0, 3), i -> floor(i * (n - 1) / 2.0 + 0.5)::bigint), rk - 1)),
+    s as (select * from k where n <= 3 or list_contains(list_transform(range(0, 3), lambda i: floor(i * (n - 1) / 2.0 + 0.5)::bigint), rk - 1)),
     pairs as (select x.restaurant, x.label || '|' || y.label as label, {", ".join(f"x.{m} + y.{m} as {m}" for m in MACROS)} from b x join b y on x.restaurant = y.restaurant and y.r > x.r)
     select a.restaurant, a.label || '|' || p.label as labels, {", ".join(f"a.{m} + p.{m} as {m}" for m in MACROS)} from a join pairs p on p.restaurant = a.restaurant where a.r = 1
     union all select a.restaurant, a.label || '|' || s.label, {", ".join(f"a.{m} + s.{m}" for m in MACROS)} from a join s on s.restaurant = a.restaurant where a.r = 2
