@@ -34,7 +34,7 @@ def parse_whole_decimal_comma(c: Column) -> Column:
 
 def energy_kcal(c: Column) -> Column:
     """The number before "kcal"."""
-    return _first(c, r"(?i)([\d.]+)\s*kcal", 1).try_cast("double")
+    return _first(c, r"(?i)(\d+(?:\.\d+)?)\s*kcal", 1).try_cast("double")
 
 
 def clean(c: Column) -> Column:
@@ -61,13 +61,13 @@ def clean_label(c: Column) -> Column:
 
 def option_name(c: Column) -> Column:
     """Cleaned, without pictographs."""
-    return clean(F.regexp_replace(c, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}]", ""))
+    return clean(F.regexp_replace(c, r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{FE0F}\x{200D}\x{2B00}-\x{2BFF}]", ""))
 
 
-def base_slug(url: Column, sizes: tuple[str, ...] = ("small", "medium", "large", "regular")) -> Column:
-    """The product's slug in an address ending in /product/<slug>.html, without size words."""
-    tokens = F.split(_first(url, r"/product/([^/]+)\.html", 1), "-")
-    return F.array_join(F.filter(tokens, lambda t: ~t.isin(*sizes)), "-")
+def base_slug(url: Column, sizes: tuple[str, ...] = ("small", "medium", "large", "regular", "mini")) -> Column:
+    """The product's slug in an address ending in /product/<slug>.html, without size words; other addresses as they are."""
+    slug = _first(url, r"(?i)/product/([a-z0-9-]+)\.html", 1)
+    return F.coalesce(F.array_join(F.filter(F.split(slug, "-"), lambda t: ~F.lower(t).isin(*sizes)), "-"), url)
 
 
 #: The words that name a size.
@@ -272,9 +272,11 @@ def macro_status(current: Column, target: Column) -> Column:
     return F.when(target <= 0, "muted").when(F.abs(off) <= 0.05, "good").when(off < 0, "warn").otherwise("bad")
 
 
-def remaining_text(current: Column, target: Column) -> Column:
-    gap = F.floor(target - current + 0.5)
-    return F.when(gap >= 0, F.concat(gap.cast("string"), F.lit(" left"))).otherwise(F.concat((-gap).cast("string"), F.lit(" over")))
+def remaining_text(current: Column, target: Column, places: int = 0) -> Column:
+    """"n left" or "n over"; calories are shown without places, the other macros with one."""
+    gap = (target - current).cast("double")
+    shown = F.format_string(f"%.{places}f", round_half_up(F.abs(gap), places))
+    return F.when(gap >= 0, F.concat(shown, F.lit(" left"))).otherwise(F.concat(shown, F.lit(" over")))
 
 
 #: What a category is shown with; the first that matches counts.
@@ -299,7 +301,7 @@ def category_icon(c: Column) -> Column:
 
 
 def meal_of_day(hour: Column) -> Column:
-    return F.when(hour < 11, "Breakfast").when(hour < 16, "Lunch").when(hour < 21, "Dinner").otherwise("Snacks")
+    return F.when(hour < 11, "Breakfast").when(hour < 15, "Lunch").when(hour < 21, "Dinner").otherwise("Snacks")
 
 
 def cache_key(c: Column) -> Column:
@@ -315,8 +317,8 @@ def comma_list(c: Column) -> Column:
 
 
 def clipboard_token(calories: Column, carbs: Column, fat: Column, protein: Column) -> Column:
-    """"MM1:" with calories as a whole number and the others to one place."""
-    one = lambda c: F.format_string("%.1f", round_half_up(c.cast("double"), 1))
+    """"MM1:" with calories as a whole number and the others to one place, as short as they go."""
+    one = lambda c: F.regexp_replace(F.format_string("%.1f", round_half_up(c.cast("double"), 1)), r"\.0$", "")
     return F.concat(F.lit("MM1:"), F.concat_ws(",", F.floor(calories + 0.5).cast("string"), one(carbs), one(fat), one(protein)))
 
 

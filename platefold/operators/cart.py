@@ -9,16 +9,22 @@ from ..macros import MACROS
 
 
 def fold(events: DataFrame) -> DataFrame:
-    """(user_id, restaurant, name, qty) after events (user_id, seq, restaurant, name, delta).
+    """(user_id, restaurant, name, qty) after events (user_id, seq, restaurant, name, delta of 1 or -1).
 
-    An item of another restaurant than the event before clears the cart, so what counts is the
-    last run of events of one restaurant.  Quantities below one are gone.
+    Adding an item of another restaurant than the cart's clears the cart, so what counts is the
+    last run of additions from one restaurant.  Taking away what is not there does nothing: a
+    quantity is the running sum since its lowest point below zero.
     """
     w = Window.partitionBy("user_id").orderBy("seq")
-    change = F.coalesce((F.lag("restaurant").over(w) != F.col("restaurant")).cast("int"), F.lit(0))
-    runs = events.withColumn("_c", change).withColumn("_run", F.sum("_c").over(w))
+    added = events.withColumn("_add", F.when(F.col("delta") > 0, F.col("restaurant")))
+    held = F.last("_add", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    marked = added.withColumn("_held", held)
+    marked = marked.withColumn("_c", F.coalesce((F.col("_add") != F.col("_held")).cast("int"), F.lit(0)))
+    runs = marked.withColumn("_run", F.sum("_c").over(w)).where(F.col("_add").isNotNull() | (F.col("restaurant") == F.col("_held")))
     last = runs.withColumn("_last", F.max("_run").over(Window.partitionBy("user_id"))).where("_run = _last")
-    return last.groupBy("user_id", "restaurant", "name").agg(F.sum("delta").alias("qty")).where("qty > 0")
+    keys = ["user_id", "restaurant", "name"]
+    walked = last.withColumn("_s", F.sum("delta").over(Window.partitionBy(*keys).orderBy("seq")))
+    return walked.groupBy(*keys).agg((F.sum("delta") - F.least(F.min("_s"), F.lit(0))).alias("qty")).where("qty > 0")
 
 
 def totals(cart: DataFrame, menu: DataFrame, keys: list[str]) -> DataFrame:

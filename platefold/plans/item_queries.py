@@ -418,7 +418,7 @@ def dish_names(spark, sf_dir):
 
 @query(f"""with m as ({MENU_SQL}) select item_seq, round(coalesce(nullif(protein / nullif(calories, 0), 0.0), 1.0), 9) as protein_ratio, floor(fat * size / 100.0 * 10 + 0.5) / 10 as fat_portion,
     restaurant || '::' || name as id, case when abs((protein - 30) / 30.0) <= 0.05 then 'good' when protein < 30 then 'warn' else 'bad' end as protein_status,
-    case when 60 - fat >= 0 then (60 - fat) || ' left' else (fat - 60) || ' over' end as fat_left, 'MM1:' || calories || ',' || carbs || '.0,' || fat || '.0,' || protein || '.0' as token from m""")
+    case when 60 - fat >= 0 then (60 - fat) || ' left' else (fat - 60) || ' over' end as fat_left, 'MM1:' || calories || ',' || carbs || ',' || fat || ',' || protein as token from m""")
 def item_figures(spark, sf_dir):
     return menu(spark, sf_dir).select(
         "item_seq",

@@ -101,7 +101,7 @@ def staleness_labels(spark, sf_dir):
     return d.select("event_id", "days", exprs.age_label(F.col("days")).alias("label"), exprs.is_stale(F.col("days")).alias("stale"))
 
 
-@query("""select event_id, case when hour(ts) < 11 then 'Breakfast' when hour(ts) < 16 then 'Lunch' when hour(ts) < 21 then 'Dinner' else 'Snacks' end as meal,
+@query("""select event_id, case when hour(ts) < 11 then 'Breakfast' when hour(ts) < 15 then 'Lunch' when hour(ts) < 21 then 'Dinner' else 'Snacks' end as meal,
     case when value % 1 < 0.1 then 'good' when value % 1 < 0.2 then 'warn' else 'bad' end as band from events""")
 def meal_of_day(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -268,7 +268,10 @@ def menu_tree(spark, sf_dir):
 # --- carts and streams ---
 
 _EVENTS = "e as (select user_id, event_id as seq, 'menu' || (event_id // 7 % 2) as restaurant, event_type as name, case when event_id % 5 = 0 then -1 else 1 end as delta from events)"
-_RUNS = f"{_EVENTS}, c as (select *, case when lag(restaurant) over w <> restaurant then 1 else 0 end as ch from e window w as (partition by user_id order by seq)), r as (select *, sum(ch) over (partition by user_id order by seq) as run from c), l as (select *, max(run) over (partition by user_id) as last from r), f as (select user_id, restaurant, name, sum(delta) as qty from l where run = last group by 1, 2, 3 having sum(delta) > 0)"
+_RUNS = f"""{_EVENTS}, a as (select *, case when delta > 0 then restaurant end as added, last_value(case when delta > 0 then restaurant end ignore nulls) over (partition by user_id order by seq rows between unbounded preceding and 1 preceding) as held from e),
+    c as (select *, coalesce(case when added <> held then 1 else 0 end, 0) as ch from a), r as (select *, sum(ch) over (partition by user_id order by seq) as run from c), o as (select * from r where added is not null or restaurant = held),
+    l as (select *, max(run) over (partition by user_id) as last from o), s as (select *, sum(delta) over (partition by user_id, restaurant, name order by seq) as s from l where run = last),
+    f as (select user_id, restaurant, name, sum(delta) - least(min(s), 0) as qty from s group by 1, 2, 3 having sum(delta) - least(min(s), 0) > 0)"""
 
 
 def _cart(spark, sf_dir):

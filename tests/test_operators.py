@@ -32,6 +32,9 @@ def test_labels(spark):
     assert one(spark, "  ", exprs.normalize_category) is None
     assert one(spark, "🌶 Hot  sauce", exprs.option_name) == "Hot sauce"
     assert one(spark, "/product/big-fries-large.html", exprs.base_slug) == "big-fries"
+    assert one(spark, "elsewhere", exprs.base_slug) == "elsewhere"
+    assert one(spark, 59.96, lambda c: exprs.remaining_text(c, F.lit(60), 1), "double") == "0.0 left"
+    assert one(spark, 12.25, lambda c: exprs.clipboard_token(c, c, c, c), "double") == "MM1:12,12.3,12.3,12.3"
     assert one(spark, "Bowl — rice, beans", exprs.composed_labels) == ["rice", "beans"]
     assert one(spark, "Bowl", exprs.composed_labels) == []
     assert one(spark, "None", exprs.is_junk) and one(spark, "12.5", exprs.is_junk) and not one(spark, "Fresh", exprs.is_junk)
@@ -198,3 +201,11 @@ def test_snapshots_keep_the_last_good(spark, tmp_path):
     assert got == {"a": (["x"], "1"), "b": (["z"], "2")}
     sinks.write_snapshots(spark.createDataFrame([("a", "n")], "restaurant string, name string"), str(tmp_path / "snap"))
     assert spark.read.json(str(tmp_path / "snap")).count() == 1
+
+
+def test_cart_ignores_taking_away_what_is_not_there(spark):
+    from platefold.operators import cart
+
+    rows = [("u", 1, "a", "x", -1), ("u", 2, "a", "x", 1), ("u", 3, "a", "x", 1), ("u", 4, "b", "y", -1), ("u", 5, "a", "z", 1), ("u", 6, "a", "z", -1), ("v", 1, "a", "x", 1), ("v", 2, "b", "y", 1), ("v", 3, "b", "y", 1)]
+    got = {(r["user_id"], r["name"]): r["qty"] for r in cart.fold(spark.createDataFrame(rows, "user_id string, seq int, restaurant string, name string, delta int")).collect()}
+    assert got == {("u", "x"): 2, ("v", "y"): 2}
