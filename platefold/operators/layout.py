@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.exprs import join_wrapped
+
 COLUMN_TOLERANCE = 26
 
 
@@ -213,3 +215,50 @@ def within_headings(rows: DataFrame, doc: str, order: str, start: Column, stop:
     marked = rows.withColumn("_a", F.max(start.cast("int")).over(w))
     marked = marked.withColumn("_z", F.max(F.when(F.col("_a") == 1, stop.cast("int")).otherwise(0)).over(w))
     return marked.where((F.col("_a") == 1) & (F.col("_z") == 0) & ~start).drop("_a", "_z")
+
+
+def assemble_tables(cells: DataFrame, patterns: dict[str, str], anchor_role: str = "calories", heading_height: float = 14.0, tolerance: float = COLUMN_TOLERANCE, line_tolerance: float = 3.0, wrap_gap: float = 14.0) -> DataFrame:
+    """(doc_id, table_id, title, page, y, row): the rows of a document's tables, from positioned text.
+
+    ``cells`` is (doc_id, page, x, y, height, str).  Lines are read down the pages.  A line all of
+    whose cells name columns is a header; it opens a table if a heading came since the header
+    before, or if it is the first, and else goes on with the table.  A line with a glyph of
+    ``heading_height`` or more is a heading.  Other lines below a header are mapped to its
+    columns; one with the ``anchor_role`` begins a row, and near lines after it continue it.
+    ``row`` maps roles to texts, wrapped words put together again.
+    """
+    lined = cluster_lines(cells, line_tolerance)
+    line_key = ["doc_id", "page", "line"]
+    text = F.array_sort(F.collect_list(F.struct("x", F.trim("str").alias("str"))))
+    lines = lined.groupBy(*line_key).agg(F.max("y").alias("y"), F.max("height").alias("height"), text.alias("cells"))
+    labels = F.transform("cells", lambda c: c["str"])
+    order = Window.partitionBy("doc_id").orderBy("page", "line")
+    lines = lines.withColumn("header", is_header(labels, patterns)).withColumn("heading", ~F.col("header") & (F.col("height") >= heading_height))
+    lines = lines.withColumn("layout", F.sum(F.col("header").cast("int")).over(order))
+    # the heading that a header takes: the last one since the header before
+    title = F.last(F.when(F.col("heading"), F.array_join(labels, " ")), ignorenulls=True).over(Window.partitionBy("doc_id", "layout").orderBy("page", "line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("pending", title)
+    headers = lines.where("header").select("doc_id", "layout", F.col("cells").alias("anchors"))
+    before = lines.groupBy("doc_id", (F.col("layout") + 1).alias("layout")).agg(F.max_by("pending", F.struct("page", "line")).alias("title"))
+    opened = headers.join(before, ["doc_id", "layout"], "left")
+    by_layout = Window.partitionBy("doc_id").orderBy("layout")
+    opens = (F.col("title").isNotNull() | (F.col("layout") == 1)).cast("int")
+    opened = opened.withColumn("table_id", F.sum(opens).over(by_layout)).withColumn("title", F.first("title").over(Window.partitionBy("doc_id", "table_id").orderBy("layout")))
+
+    def role_of(label: Column) -> Column:
+        out = F.when(F.lit(False), F.lit(""))
+        for r, p in patterns.items():
+            out = out.when(label.rlike(p), r)
+        return out
+
+    anchors = F.transform("anchors", lambda a, i: F.struct(a["x"].alias("x"), i.alias("i"), role_of(a["str"]).alias("role")))
+    data = lines.where("not header and not heading and layout > 0").join(opened.withColumn("anchors", anchors), ["doc_id", "layout"])
+    near = lambda c: F.array_min(F.filter(F.transform(F.col("anchors"), lambda a: F.struct(F.abs(a["x"] - c["x"]).alias("d"), a["i"].alias("i"), a["role"].alias("role"))), lambda d: d["d"] <= tolerance))
+    mapped = F.filter(F.transform("cells", lambda c: F.struct(near(c)["role"].alias("role"), c["str"].alias("str"))), lambda c: c["role"].isNotNull() & (c["str"] != ""))
+    data = data.withColumn("mapped", mapped).where(F.size("mapped") > 0).withColumn("anchor", F.exists("mapped", lambda c: c["role"] == anchor_role))
+    rows = attach_wrapped(data, wrap_gap).where("row is not null")
+    each = rows.select("doc_id", "table_id", "title", "page", "row", "y", F.posexplode("mapped").alias("k", "m")).select("doc_id", "table_id", "title", "page", "row", "y", "k", "m.role", "m.str")
+    whole = each.groupBy("doc_id", "table_id", "title", "page", "row", "role", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "str"))), lambda c: c["str"]), " ").alias("text"))
+    wrapped = F.aggregate(F.sort_array(F.collect_list(F.struct("y", "text")), asc=False), F.lit(""), lambda acc, x: join_wrapped(acc, x["text"]))
+    texts = whole.groupBy("doc_id", "table_id", "title", "page", "row", "role").agg(wrapped.alias("text"), F.max("y").alias("y"))
+    return texts.groupBy("doc_id", "table_id", "title", "page", "row").agg(F.max("y").alias("y"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "text")))).alias("cells")).select("doc_id", "table_id", "title", "page", "y", F.col("cells").alias("row"))

@@ -209,3 +209,26 @@ def test_cart_ignores_taking_away_what_is_not_there(spark):
     rows = [("u", 1, "a", "x", -1), ("u", 2, "a", "x", 1), ("u", 3, "a", "x", 1), ("u", 4, "b", "y", -1), ("u", 5, "a", "z", 1), ("u", 6, "a", "z", -1), ("v", 1, "a", "x", 1), ("v", 2, "b", "y", 1), ("v", 3, "b", "y", 1)]
     got = {(r["user_id"], r["name"]): r["qty"] for r in cart.fold(spark.createDataFrame(rows, "user_id string, seq int, restaurant string, name string, delta int")).collect()}
     assert got == {("u", "x"): 2, ("v", "y"): 2}
+
+
+def test_tables_from_glyphs(spark):
+    head = [("Item", 10.0), ("kcal", 100.0), ("Protein", 150.0), ("Fat", 200.0)]
+    cells = [(1, 1, 10.0, 700.0, 18.0, "Mains")] + [(1, 1, x, 680.0, 8.0, s) for s, x in head]
+    cells += [(1, 1, 10.0, 660.0, 8.0, "Plant-Bas"), (1, 1, 99.0, 661.0, 8.0, "300"), (1, 1, 152.0, 660.0, 8.0, "20"), (1, 1, 10.0, 650.0, 8.0, "ed burger"), (1, 1, 10.0, 600.0, 8.0, "stray note")]
+    cells += [(1, 2, x, 680.0, 8.0, s) for s, x in head] + [(1, 2, 10.0, 660.0, 8.0, "Wrap"), (1, 2, 101.0, 660.0, 8.0, "250")]
+    cells += [(1, 2, 10.0, 600.0, 18.0, "Sides")] + [(1, 2, x, 580.0, 8.0, s) for s, x in head] + [(1, 2, 10.0, 560.0, 8.0, "Chips"), (1, 2, 60.0, 560.0, 8.0, "far"), (1, 2, 101.0, 560.0, 8.0, "400")]
+    df = spark.createDataFrame(cells, "doc_id int, page int, x double, y double, height double, str string")
+    roles = {"name": "(?i)^item$", "calories": "(?i)kcal", "protein": "(?i)protein", "fat": "(?i)^fat$"}
+    got = [(r["table_id"], r["title"], dict(r["row"])) for r in layout.assemble_tables(df, roles).orderBy("page", F.desc("y")).collect()]
+    assert got == [
+        (1, "Mains", {"name": "Plant-Based burger", "calories": "300", "protein": "20"}),
+        (1, "Mains", {"name": "Wrap", "calories": "250"}),
+        (2, "Sides", {"name": "Chips", "calories": "400"}),
+    ]
+
+
+def test_rotated_labels(spark):
+    frags = [(1, 50.0, 40.0, 60.0, 2.0, "Dips"), (1, 52.0, 41.0, 62.0, 1.0, "Hot"), (1, 20.0, 10.0, 30.0, 1.0, "Sides")]
+    df = spark.createDataFrame(frags, "page int, cy double, lo double, hi double, x double, str string")
+    got = [(r["label"], r["cy"], r["lo"], r["hi"]) for r in layout.merge_labels(df, ["page"], 8.0).orderBy("label_id").collect()]
+    assert got == [("Hot Dips", 51.0, 40.0, 62.0), ("Sides", 20.0, 10.0, 30.0)]
