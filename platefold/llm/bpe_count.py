@@ -6,12 +6,15 @@ import json
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .vocab import CHUNK, DOUBTFUL, LONGEST, Remembered
+from .vocab import CHUNK, DOUBTFUL, LONGEST, Cut, Remembered, simple
 
+#: Texts cut up at a time.
+TEXTS = 1000
 OUT = "doc_id long, n_bytes long, n_tokens long"
 
 
@@ -83,15 +86,21 @@ class TokenCounter:
                 self.seen.new[chunk] = found
         return found
 
-    def count(self, text: str) -> int:
-        special, parts = 0, [text]
+    def _chunks(self, text: str) -> int:
+        parts = [text]
         for s in self.special:
             if s in text:
                 parts = [p for x in parts for p in x.split(s)]
-        special = len(parts) - 1
+        return len(parts) - 1 + sum(self._merge(p) if DOUBTFUL.search(p) else sum(map(self._chunk, CHUNK.findall(p))) for p in parts)
+
+    def counts(self, texts: list[str]) -> list[int]:
+        """Tokens of each text."""
         self.seen.turn()
         self.words.turn()
-        return special + sum(self._merge(p) if DOUBTFUL.search(p) else sum(map(self._chunk, CHUNK.findall(p))) for p in parts)
+        easy = simple(texts)
+        cut = Cut([t for t, e in zip(texts, easy, strict=True) if e])
+        sums = iter(cut.sums(np.fromiter(map(self._chunk, cut.words), np.int64, len(cut.words))))
+        return [next(sums) if e else self._chunks(t) for t, e in zip(texts, easy, strict=True)]
 
 
 _open: dict[str, TokenCounter] = {}
@@ -114,8 +123,10 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = token_counter(path)
         for b in batches:
-            texts = b.column(1).to_pylist()
-            columns = [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array([counter.count(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
+            for at in range(0, b.num_rows, TEXTS):
+                some = b.slice(at, TEXTS)
+                texts = some.column(1).to_pylist()
+                columns = [some.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(counter.counts(texts), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_tokens"])
 
     return documents(docs, id_col, text_col).mapInArrow(run, OUT)
