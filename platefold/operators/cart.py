@@ -53,7 +53,7 @@ def kept_total(rows: DataFrame, key: str) -> DataFrame:
 
 
 def on_composed_menu(rows: DataFrame, bases: DataFrame) -> DataFrame:
-    """Rows with ``base``: the first menu item (restaurant, base, ord) whose name the row's name begins with."""
-    r = rows.withColumn("_id", F.monotonically_increasing_id())
-    hit = r.join(bases, (r["restaurant"] == bases["restaurant"]) & F.startswith(r["name"], F.concat(bases["base"], F.lit(" — ")))).groupBy(r["_id"]).agg(F.min_by("base", "ord").alias("base"))
-    return r.join(hit, "_id", "left").drop("_id")
+    """Rows with ``base``: the first menu item (restaurant, base, ord) whose name and a dash the row's name begins with."""
+    names = rows.select("restaurant", "name").distinct()
+    hit = names.join(bases, "restaurant").where(F.startswith(F.col("name"), F.concat(F.col("base"), F.lit(" — "))))
+    return rows.join(hit.groupBy("restaurant", "name").agg(F.min_by("base", "ord").alias("base")), ["restaurant", "name"], "left")

@@ -336,3 +336,38 @@ def session_windows(spark, sf_dir):
 def item_quality_tags(spark, sf_dir):
     d, l = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return d.join(l, "doc_id", "left").select("doc_id", "lang", "source", F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 0, "poor").when(F.col("quality") == 1, "good").alias("tag"))
+
+
+@query("select user_id, round(sum(value), 6) as calories, count(*) as rows from events where event_id % 3 <> 0 group by 1")
+def kept_meal_total(spark, sf_dir):
+    r = table(spark, sf_dir, "events").selectExpr("user_id", "event_id % 3 <> 0 on", "value calories", "0 protein", "0 fat", "0 carbs")
+    return cart.kept_total(r, "user_id").select("user_id", F.round("calories", 6).alias("calories"), "rows")
+
+
+@query(f"""with m as ({MENU_SQL}), b as (select restaurant, name as base, min(item_seq) as ord from m where size % 2 = 0 group by 1, 2), r as (select item_seq, restaurant, case when item_seq % 3 = 0 then name else name || ' — rice, beans' end as name from m)
+    select r.item_seq, b.base from r left join b on b.restaurant = r.restaurant and r.name = b.base || ' — rice, beans'""")
+def composed_rows(spark, sf_dir):
+    m = menu(spark, sf_dir)
+    bases = m.where("size % 2 = 0").groupBy("restaurant", F.col("name").alias("base")).agg(F.min("item_seq").alias("ord"))
+    rows = m.select("item_seq", "restaurant", F.expr("case when item_seq % 3 = 0 then name else concat(name, ' — rice, beans') end").alias("name"))
+    return cart.on_composed_menu(rows, bases).select("item_seq", "base")
+
+
+@query(f"with m as ({MENU_SQL}) select item_seq, case when item_seq % 3 = 0 then '' else 'rice+beans' end as labels, replace(name, '_', ' ') as pretty from m")
+def composed_labels(spark, sf_dir):
+    name = F.expr("case when item_seq % 3 = 0 then name else concat(name, ' — rice, beans') end")
+    return menu(spark, sf_dir).select("item_seq", F.array_join(exprs.composed_labels(name), "+").alias("labels"), exprs.pretty_name(F.col("name")).alias("pretty"))
+
+
+@query("select event_id, k[1] as first, k[2] as second from (select event_id, [greatest(event_id % 200 - event_id % 90, 0), greatest(event_id % 70 - event_id % 40, 0)] as k from events)")
+def screenshot_rows(spark, sf_dir):
+    line = F.expr("concat(event_id % 90, 'g / ', event_id % 200, '   ', event_id % 40, ' / ', event_id % 70)")
+    v = exprs.values_in_row(line, 2)
+    return table(spark, sf_dir, "events").select("event_id", v[0].alias("first"), v[1].alias("second"))
+
+
+@query("""select user_id, event_id, 'https://x/#remaining=' || event_id || ',60.5,35,100' as url, event_id::double as calories, 60.5 as protein from events""")
+def url_targets(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.expr("concat('https://x/#remaining=', event_id, ',60.5,35,100')").alias("url"))
+    t = exprs.hash_targets(F.col("url"))
+    return e.select("user_id", "event_id", "url", t["calories"].alias("calories"), t["protein"].alias("protein"))
