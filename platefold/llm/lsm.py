@@ -57,9 +57,13 @@ class DigestIndex:
         return self.read().groupBy("digest", "sha").agg(self._stays().alias("s"), F.sum("n").alias("n")).select("digest", "sha", F.col("s.doc_id").alias("doc_id"), F.col("s.rid").alias("rid"), "n")
 
     def compact(self) -> None:
-        """Merge the runs, ``fan_in`` at a time, into runs that hold one row for each digest."""
+        """Merge the runs, ``fan_in`` at a time, until one is left that holds one row for each digest.
+
+        Each task sums up its own part of a run before the shuffle, so a digest that many rows
+        share moves one row per task.
+        """
         level = 0
-        while len(self.runs) > 1:
+        while level == 0 or len(self.runs) > 1:
             level += 1
             merged = []
             for i in range(0, len(self.runs), self.fan_in):
@@ -82,7 +86,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with one id, one is kept.  A null id stays only where its whole group has none.  An empty
     table gives an empty result.
 
-    The run has a digest for each row.  Digests that occur once are settled.  The texts of the
+    The flushed run has a digest for each row, the compacted one a row for each digest.  Digests
+    that occur once are settled.  The texts of the
     others are read again and grouped by their bytes, each task collapsing its own copies
     before the shuffle, so a group of any size moves one row per task.  ``variants`` is the
     number of different texts behind a digest pair: 1, or the copies would not be trusted.
@@ -91,7 +96,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = documents(docs, id_col, text_col)
     index = DigestIndex(spark, keep=keep)
     run = index.flush(rows)
-    repeated = index.entries().where("n > 1")
+    index.compact()
+    repeated = index.read().where("n > 1")
     key = [F.xxhash64("text").alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")]
     hit_texts = rows.select("text", *key).join(repeated.select("digest", "sha"), ["digest", "sha"], "left_semi")
     # byte verification: one row for each different text behind a hit
