@@ -45,14 +45,16 @@ class BacktrackingEncoder:
         self.rank = {p: (-sp.get_score(i), i) for p, i in self.id.items()}
         self.byte = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.eos = sp.eos_id()
-        self.words = not any(a != SPACE and b == SPACE for p in self.id for a, b in zip(p, p[1:], strict=False))
+        #: Neighbours that some piece holds; no token spans any others, so a text may be cut between them.
+        self.joined = {p[i : i + 2] for p in self.id for i in range(len(p) - 1)}
+        self.words = not any(j[0] != SPACE and j[1] == SPACE for j in self.joined)
         self.chunk = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+") if self.words else re.compile(r"[\s\S]+")
         trie = ahocorasick.Automaton()
         for p, i in self.id.items():
             trie.add_word(p, (i, len(p)))
         trie.make_automaton()
         self.trie = trie
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[tuple[int | None, int], bool] = {}
         self.alone: dict[int, bool] = {}
         self.characters = {p for p in self.id if len(p) == 1}
         self.seen = Remembered()
@@ -73,63 +75,76 @@ class BacktrackingEncoder:
 
     def fits(self, left: int | None, right: int) -> bool:
         """Whether ``right`` can be a token, and stand after ``left``."""
+        if len(self.pairs) > 4 * REMEMBERED:
+            self.pairs.clear()
         ok = self.alone.get(right)
         if ok is None:
             ok = self.alone[right] = self.merge(self.piece[right]) == [self.piece[right]]
-        if not ok or left is None:
-            return ok
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            if len(self.pairs) > 4 * REMEMBERED:
-                self.pairs.clear()
+        if ok and left is not None:
             a, b = self.piece[left], self.piece[right]
-            ok = self.pairs[left, right] = self.merge(a + b) == [a, b]
+            ok = self.merge(a + b) == [a, b]
+        self.pairs[left, right] = ok
         return ok
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
-        starts: list[list[tuple[int, int]]] = [[] for _ in text]  # pieces from a position: (length, id), shortest first
-        for end, (i, n) in self.trie.iter(text):
-            starts[end - n + 1].append((n, i))
+        starts: list[list[tuple[int, int]]] = [[] for _ in text]  # pieces from a position: (end, id), shortest first
+        for last, (i, n) in self.trie.iter(text):
+            starts[last - n + 1].append((last + 1, i))
         failed = bytearray((len(text) >> 3) + 1)
+        fits, pairs = self.fits, self.pairs
         out: list[tuple[int, int, int]] = []  # position, which of starts[position], id
-        at, k = 0, None
-        while at < len(text):
-            options = starts[at]
-            k = len(options) - 1 if k is None else k
-            left = out[-1][2] if out else None
-            while k >= 0:
-                n, i = options[k]
-                end = at + n
-                if not failed[end >> 3] >> (end & 7) & 1 and self.fits(left, i):
-                    break
+        at, left, size = 0, None, len(text)
+        options = starts[0]
+        k = len(options)
+        while at < size:
+            found = False
+            while k:
                 k -= 1
-            if k >= 0:
+                end, i = options[k]
+                if failed[end >> 3] >> (end & 7) & 1:
+                    continue
+                ok = pairs.get((left, i))
+                if ok if ok is not None else fits(left, i):
+                    found = True
+                    break
+            if found:
                 out.append((at, k, i))
-                at, k = end, None
+                at, left = end, i
+                if at < size:
+                    options = starts[at]
+                    k = len(options)
             else:  # nothing can be continued from here after any token that may stand before
                 failed[at >> 3] |= 1 << (at & 7)
                 if not out:
                     raise AssertionError("no token sequence of this model gives the text")
                 at, k, _ = out.pop()
-                k -= 1
+                left = out[-1][2] if out else None
+                options = starts[at]
         return [i for _, _, i in out]
 
+    def _parts(self, chunk: str) -> list[str]:
+        """The chunk cut where no piece has both neighbours."""
+        joined, at, out = self.joined, 0, []
+        for i in range(1, len(chunk)):
+            if chunk[i - 1 : i + 1] not in joined:
+                out.append(chunk[at:i])
+                at = i
+        out.append(chunk[at:])
+        return out
+
     def _chunk(self, chunk: str) -> tuple[list[int], str]:
         found = self.seen.get(chunk)
         if found is not None:
             return found
-        if self.characters.issuperset(chunk):
-            ids = self._known(chunk)
-        else:  # a character that is no piece takes part in no merge
-            ids, known = [], ""
-            for c in chunk:
-                if c in self.characters:
-                    known += c
-                    continue
-                ids += self._known(known) + [self.byte[b] for b in c.encode()]
-                known = ""
-            ids += self._known(known)
+        ids: list[int] = []
+        for part in self._parts(chunk):
+            if len(part) == 1:  # a character that is no piece takes part in no merge
+                ids += [self.id[part]] if part in self.characters else [self.byte[b] for b in part.encode()]
+            elif part == chunk:
+                ids = self._known(part)
+            else:
+                ids += self._chunk(part)[0]
         found = ids, "".join(f"{i} " for i in ids)
         if len(chunk) <= LONGEST:
             self.seen.new[chunk] = found
