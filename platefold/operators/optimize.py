@@ -2,8 +2,8 @@
 
 Meals are built level by level: a meal of k + 1 items is one of k items joined with an item of
 the same restaurant that does not come before its last one and keeps the totals feasible.  Each
-level is one equi-join with a residual range condition, so Spark spreads restaurants and, by
-adaptive skew handling, the meals of a large one.
+level is one equi-join with a residual range condition.  Meals are dealt out by restaurant and
+first item, and each task keeps its own best before they meet by restaurant.
 """
 
 from __future__ import annotations
@@ -83,6 +83,8 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
         cand = settle(cand)
     side = cand.select(F.col("restaurant"), F.col("i").alias("j"), *(F.col(m).alias(f"add_{m}") for m in MACROS))
     level = cand.select("restaurant", F.array("i").alias("path"), F.col("i").alias("last"), *MACROS, F.lit(False).alias("cut")).where(feasible(eff, prefs, F.col))
+    # meals are spread by their first item, so that a large menu is not searched in one task
+    level = level.repartition("restaurant", "last")
     levels = [level]
     most = cand.groupBy("restaurant").agg(*(F.max(m).alias(f"most_{m}") for m in MACROS))
     for k in range(1, max_items):
