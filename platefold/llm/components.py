@@ -8,22 +8,22 @@ from pyspark.sql import functions as F
 from .common import shared_dir
 
 
-def _distinct_edges(df: DataFrame) -> DataFrame:
-    return df.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo").distinct()
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.selectExpr("hi u", "lo v").unionByName(edges.selectExpr("lo u", "hi v"))
     least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return _distinct_edges(both.where("v > u").join(least, "u").selectExpr("v u", "m v"))
+    return _ordered(both.where("v > u").join(least, "u").selectExpr("v u", "m v"))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
     moved = edges.join(least, "hi").selectExpr("lo u", "m v")
-    return _distinct_edges(moved.unionByName(least.selectExpr("hi u", "m v")))
+    return _ordered(moved.unionByName(least.selectExpr("hi u", "m v")))
 
 
 def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
@@ -34,12 +34,12 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     number of rounds grows with the logarithm of the longest path.
     """
     shared_dir(links.sparkSession)
-    edges = _distinct_edges(links.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()).checkpoint()
+    edges = _ordered(links.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()).distinct().checkpoint()
     before = None
     for _ in range(max_rounds):
-        sign = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+        sign = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if tuple(sign) == before or sign[0] == 0:
             return edges.selectExpr("hi node", "lo component").unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         before = tuple(sign)
-        edges = _small_star(_large_star(edges)).checkpoint()
+        edges = _small_star(_large_star(edges)).distinct().checkpoint()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
