@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, slices
 from .idstore import mix
 
 NGRAM = 3
@@ -32,7 +32,7 @@ class Hypervectors:
     def __init__(self, size: int):
         self.size = size
         self.letters: dict[int, np.ndarray] = {}
-        self.rows = np.zeros((HELD, size), np.float32)
+        self.rows = np.zeros((HELD, size), np.int8)
         self.row_of: dict[int, int] = {}
         self.is_letter = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
@@ -71,7 +71,7 @@ class Hypervectors:
             some = keys[at : at + HELD // 4].tolist()
             if len(self.row_of) + len(some) > HELD:
                 self.row_of.clear()
-            total += counts[at : at + HELD // 4].astype(np.float32) @ self.rows[[self.place(k) for k in some]]
+            total += counts[at : at + HELD // 4].astype(np.float32) @ self.rows[[self.place(k) for k in some]].astype(np.float32)
         return total
 
 
@@ -96,7 +96,7 @@ def learn(docs: DataFrame, learn_from: Column, size: int = 1024, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hv = hypervectors(size)
         total: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list] = {}
             for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 keys, counts = hv.grams(text)
@@ -129,7 +129,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], size: int = 1024
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hv, known = hypervectors(size), shared.value
-        for b in batches:
+        for b in slices(batches):
             pred, score = [], []
             for text in b.column(1).to_pylist():
                 keys, counts = hv.grams(text)

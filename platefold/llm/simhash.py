@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, slices, stage
 from .components import connected_components
 
 BITS, SEGMENT = 64, 32
@@ -70,7 +70,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = [shingle_fingerprint(t, words, seed) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
@@ -176,7 +176,7 @@ def _near_pairs(fps: DataFrame, crowd: int) -> DataFrame:
     return near.unionByName(star).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = 32) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
     """(doc_id, component_id) of every document with an id: groups of near copies.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
@@ -189,7 +189,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(1).to_pylist()
             twin = [xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts]
             fp = [weighted_fingerprints(t, TABLES) for t in texts]
@@ -211,7 +211,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     both = alike.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             src, dst = [], []
             for a, c, ta, tc in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
                 x, y = _shingles(ta, words), _shingles(tc, words)

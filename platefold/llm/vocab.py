@@ -25,7 +25,7 @@ NOT_SIMPLE = rf"[^{LETTERS} \n.,]|[ \n.,][.,]|[ \n][ \n]|^[.,]"
 #: A space, a word of letters that no file's normaliser changes but for its case, and perhaps a stop.
 PLAIN = re.compile(f"[ ]([{LETTERS}]+)([.,]?)")
 #: Chunks remembered by a worker in each of two generations, and the longest of them; bounds its memory.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 300_000, 64
 #: Put between chunks that are encoded in one call; a chunk that has it is encoded alone.
 MARK = " \x02"
 
@@ -43,13 +43,14 @@ BYTE_CHARS = _byte_chars()
 class Remembered:
     """What was found for chunks, in two generations; those not asked for in the newer one are forgotten."""
 
-    def __init__(self):
+    def __init__(self, most: int = REMEMBERED):
         self.new: dict = {}
         self.old: dict = {}
+        self.most = most
 
     def turn(self) -> None:
         """Begin another generation if this one is full."""
-        if len(self.new) >= REMEMBERED:
+        if len(self.new) >= self.most:
             self.new, self.old = {}, self.new
 
     def get(self, key):
