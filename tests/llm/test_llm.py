@@ -213,7 +213,8 @@ def test_search_against_brute_force(spark, texts, docs, monkeypatch):
     idf = {w: math.log(1 + (n - c + 0.5) / (c + 0.5)) for w, c in df.items()}
     for q in (i for i in words if i % 20 == 0):
         count = collections.Counter(words[q])
-        order = sorted(count, key=lambda w: (df[w] <= 1, -count[w] * idf[w], np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)))
+        own = {w: idf[w] * (k * 2.2 / (k + 1.2 * (0.25 + 0.75 * len(words[q]) / mean))) for w, k in count.items()}
+        order = sorted(count, key=lambda w: (df[w] <= 1, -round(own[w], 9), np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)))
         found = []
         for i, v in words.items():
             tf = collections.Counter(v)
