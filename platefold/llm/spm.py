@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,10 +19,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .common import documents
-from .vocab import LONGEST, REMEMBERED, Remembered
+from .vocab import LONGEST, Remembered
 
 SPACE = "▁"
 NO_PIECE = (float("inf"), 0)
+#: Words remembered in each of two generations, and pairs of tokens.
+WORDS, PAIRS = 400_000, 1_500_000
 #: Texts encoded at a time.
 TEXTS = 1000
 OUT = "doc_id long, ids array<int>, decoded string"
@@ -54,10 +57,13 @@ class BacktrackingEncoder:
             trie.add_word(p, (i, len(p)))
         trie.make_automaton()
         self.trie = trie
-        self.pairs: dict[tuple[int | None, int], bool] = {}
+        self.after: defaultdict[int | None, dict[int, bool]] = defaultdict(dict)
+        self.checked = 0
         self.alone: dict[int, bool] = {}
         self.characters = {p for p in self.id if len(p) == 1}
-        self.seen = Remembered()
+        if not self.characters.issuperset("".join(self.id)):
+            raise ValueError("a piece has a character that is no piece")
+        self.seen = Remembered(WORDS)
 
     def merge(self, text: str) -> list[str]:
         """Plain merging of a short text: the best-ranked adjacent pair, the first of equals, again and again."""
@@ -74,54 +80,55 @@ class BacktrackingEncoder:
         return s
 
     def fits(self, left: int | None, right: int) -> bool:
-        """Whether ``right`` can be a token, and stand after ``left``."""
-        if len(self.pairs) > 4 * REMEMBERED:
-            self.pairs.clear()
+        """Whether ``right`` can be a token, and stand after ``left``; remembered in ``after``."""
         ok = self.alone.get(right)
         if ok is None:
             ok = self.alone[right] = self.merge(self.piece[right]) == [self.piece[right]]
         if ok and left is not None:
             a, b = self.piece[left], self.piece[right]
             ok = self.merge(a + b) == [a, b]
-        self.pairs[left, right] = ok
+        self.after[left][right] = ok
+        self.checked += 1
         return ok
 
     def _known(self, text: str) -> list[int]:
         """Ids of a text all of whose characters are pieces."""
+        size = len(text)
         starts: list[list[tuple[int, int]]] = [[] for _ in text]  # pieces from a position: (end, id), shortest first
         for last, (i, n) in self.trie.iter(text):
             starts[last - n + 1].append((last + 1, i))
-        failed = bytearray((len(text) >> 3) + 1)
-        fits, pairs = self.fits, self.pairs
+        if self.checked > PAIRS:
+            self.after.clear()
+            self.checked = 0
+        failed = bytearray(size + 1)
+        after, fits = self.after, self.fits
         out: list[tuple[int, int, int]] = []  # position, which of starts[position], id
-        at, left, size = 0, None, len(text)
+        at, left = 0, None
         options = starts[0]
         k = len(options)
-        while at < size:
-            found = False
-            while k:
-                k -= 1
+        while True:
+            may = after[left]
+            for k in range(k - 1, -1, -1):
                 end, i = options[k]
-                if failed[end >> 3] >> (end & 7) & 1:
+                if failed[end]:
                     continue
-                ok = pairs.get((left, i))
-                if ok if ok is not None else fits(left, i):
-                    found = True
+                ok = may.get(i)
+                if ok or ok is None and fits(left, i):
                     break
-            if found:
-                out.append((at, k, i))
-                at, left = end, i
-                if at < size:
-                    options = starts[at]
-                    k = len(options)
             else:  # nothing can be continued from here after any token that may stand before
-                failed[at >> 3] |= 1 << (at & 7)
+                failed[at] = 1
                 if not out:
                     raise AssertionError("no token sequence of this model gives the text")
                 at, k, _ = out.pop()
                 left = out[-1][2] if out else None
                 options = starts[at]
-        return [i for _, _, i in out]
+                continue
+            out.append((at, k, i))
+            if end == size:
+                return [i for _, _, i in out]
+            at, left = end, i
+            options = starts[at]
+            k = len(options)
 
     def _parts(self, chunk: str) -> list[str]:
         """The chunk cut where no piece has both neighbours."""
@@ -133,19 +140,19 @@ class BacktrackingEncoder:
         out.append(chunk[at:])
         return out
 
-    def _chunk(self, chunk: str) -> tuple[list[int], str]:
+    def _chunk(self, chunk: str, whole: bool = False) -> tuple[list[int], str]:
+        """Ids of a chunk, and the same in decimal, each followed by a space; ``whole``: it is not to be cut."""
         found = self.seen.get(chunk)
         if found is not None:
             return found
-        ids: list[int] = []
-        for part in self._parts(chunk):
-            if len(part) == 1:  # a character that is no piece takes part in no merge
-                ids += [self.id[part]] if part in self.characters else [self.byte[b] for b in part.encode()]
-            elif part == chunk:
-                ids = self._known(part)
-            else:
-                ids += self._chunk(part)[0]
-        found = ids, "".join(f"{i} " for i in ids)
+        parts = [chunk] if whole else self._parts(chunk)
+        if len(parts) > 1:
+            several = [self._chunk(p, True) for p in parts]
+            found = [i for f in several for i in f[0]], "".join(f[1] for f in several)
+        else:
+            # a character that is no piece takes part in no merge
+            ids = self._known(chunk) if self.characters.issuperset(chunk) else [self.byte[b] for b in chunk.encode()]
+            found = ids, "".join(f"{i} " for i in ids)
         if len(chunk) <= LONGEST:
             self.seen.new[chunk] = found
         return found
