@@ -31,6 +31,8 @@ SHARD_IDS = 1 << 20
 SPARE = 2
 #: Texts encoded at a time.
 TEXTS = 1000
+#: Words that a worker remembers in each of two generations.
+WORDS = 400_000
 
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)  # fixed values: the splitmix64 mixer's
 
@@ -118,7 +120,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str =
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chunk_tokenizer(path, end)
+        tok = chunk_tokenizer(path, end, WORDS)
         width = 2 if max(tok.lib.get_vocab_size(), end + 1) <= 1 << 16 else 4
         part = TaskContext.get().partitionId()
         keys: list = []

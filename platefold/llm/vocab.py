@@ -164,14 +164,14 @@ class ChunkTokenizer:
     Texts with a doubtful character go to the library whole.
     """
 
-    def __init__(self, path: str, end: int | None = None):
+    def __init__(self, path: str, end: int | None = None, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.lib = Tokenizer.from_file(path)
         self.lib.no_truncation()
         self.lib.no_padding()
         self.end = b"" if end is None else array("I", [end]).tobytes()
-        self.seen = Remembered()
+        self.seen = Remembered(most)
         self.mark = self.lib.encode(MARK, add_special_tokens=False).ids
         self.plain = PlainWords.of(path, self.lib)
 
@@ -223,8 +223,8 @@ class ChunkTokenizer:
 _open: dict[tuple, ChunkTokenizer] = {}
 
 
-def chunk_tokenizer(path: str, end: int | None = None) -> ChunkTokenizer:
-    """The worker's tokenizer for a file, opened once."""
+def chunk_tokenizer(path: str, end: int | None = None, most: int = REMEMBERED) -> ChunkTokenizer:
+    """The worker's tokenizer for a file, opened once; ``most``: chunks remembered in each generation."""
     if (path, end) not in _open:
-        _open[path, end] = ChunkTokenizer(path, end)
+        _open[path, end] = ChunkTokenizer(path, end, most)
     return _open[path, end]
