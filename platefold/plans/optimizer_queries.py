@@ -36,7 +36,7 @@ SHOWN = f"select restaurant, rank, array_to_string(path, '-') as items, n, {', '
 
 
 def _combos(spark, sf_dir, prefs=Preferences(), items=ITEMS, target=TARGET, **kw):
-    return optimize.combinations(menu(spark, sf_dir), target, items, TOP, prefs, **kw)
+    return optimize.combinations(menu(spark, sf_dir), target, items, TOP, prefs, **{"prune": True} | kw)
 
 
 def _shown(combos):
@@ -53,8 +53,8 @@ def top_combos_per_menu(spark, sf_dir):
     return _shown(_combos(spark, sf_dir))
 
 
-def top_combos_pruned(spark, sf_dir):
-    return _shown(_combos(spark, sf_dir, prune=True))
+def top_combos_unpruned(spark, sf_dir):
+    return _shown(_combos(spark, sf_dir, prune=False))
 
 
 def top_combos_weighted(spark, sf_dir):
@@ -89,11 +89,11 @@ def candidate_maxima(spark, sf_dir):
     return optimize.candidates(menu(spark, sf_dir), TARGET).groupBy("restaurant").agg(*(F.max(m).alias(f"most_{m}") for m in MACROS))
 
 
-QUERIES = {f.__name__: f for f in (top_combos_per_menu, top_combos_pruned, top_combos_weighted, top_combos_overflow, top_combos_zero_weight, rank_menus_by_accuracy, combo_item_quantities, swap_suggestions, candidate_order, candidate_maxima)}
+QUERIES = {f.__name__: f for f in (top_combos_per_menu, top_combos_unpruned, top_combos_weighted, top_combos_overflow, top_combos_zero_weight, rank_menus_by_accuracy, combo_item_quantities, swap_suggestions, candidate_order, candidate_maxima)}
 _WIDE = optimize.widened(TARGET, SWAP_TOTAL)
 SQL = {
     "top_combos_per_menu": f"{_sql()} {SHOWN}",
-    "top_combos_pruned": f"{_sql()} {SHOWN}",
+    "top_combos_unpruned": f"{_sql()} {SHOWN}",
     "top_combos_weighted": f"{_sql(WEIGHTED)} {SHOWN}",
     "top_combos_overflow": f"{_sql(OVERFLOW, items=2)} {SHOWN}",
     "top_combos_zero_weight": f"{_sql(ZERO, items=2)} {SHOWN}",
