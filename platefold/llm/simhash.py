@@ -8,9 +8,8 @@ wild.  Equal keys give candidates, which are verified on all 64 bits.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from math import log
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -20,18 +19,19 @@ from pyspark.sql import functions as F
 
 from .common import documents, slices, stage
 from .components import connected_components
+from .lm import _counts, pair, tokens
 
 BITS, SEGMENT = 64, 32
 #: Shingles whose bits are unpacked at a time; bounds memory on very long texts.
 BLOCK = 1 << 16
 
 
-def _ones(hashes: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
-    """How many (or how much weight) of ``hashes`` have each bit set, least bit first."""
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of ``hashes`` have each bit set, least bit first."""
     total = np.zeros(BITS)
     for i in range(0, len(hashes), BLOCK):
         bits = np.unpackbits(hashes[i : i + BLOCK].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        total += bits.sum(axis=0, dtype=np.int64) if weights is None else weights[i : i + BLOCK] @ bits
+        total += bits.sum(axis=0, dtype=np.int64)
     return total
 
 
@@ -49,19 +49,6 @@ def shingle_fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return _pack(_ones(h) * 2 > len(h))
 
 
-def weighted_fingerprints(text: str, seeds: tuple[int, ...]) -> list[int]:
-    """A fingerprint for each seed over the text's words, a word weighing 1 + log of its count."""
-    counts = Counter(text.encode().lower().split())
-    if not counts:
-        return [0] * len(seeds)
-    weights = np.fromiter((1 + log(c) for c in counts.values()), float, len(counts))
-    out = []
-    for seed in seeds:
-        h = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in counts), np.uint64, len(counts))
-        out.append(_pack(_ones(h, weights) * 2 > weights.sum()))
-    return out
-
-
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long): the signed 64-bit fingerprint of every whole text.
 
@@ -77,11 +64,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def deletion_variants(fps: DataFrame, column: str = "fp", table: int = 0) -> DataFrame:
+def deletion_variants(fps: DataFrame, column: str = "fp") -> DataFrame:
     """Rows of ``fps``, once per segment and wildcard: key long, bit int.
 
     Two segments of 32 bits serve distances up to 2 (and up to 3 by the same argument).
-    ``key`` holds the table's number, segment, wild position and the rest of the segment;
+    ``key`` holds the segment, wild position and the rest of the segment;
     ``bit`` is the value at the wild position, or 2 for a segment as it is.  Rows that meet in
     a key and differ in ``bit`` differ in exactly that bit of the segment.
     """
@@ -91,7 +78,7 @@ def deletion_variants(fps: DataFrame, column: str = "fp", table: int = 0) -> Dat
     one = "shiftleft(1L, cast(_p as int))"
     return rows.withColumns({
         "bit": F.expr(f"case when _p = {SEGMENT} then 2 when _seg & {one} <> 0L then 1 else 0 end"),
-        "key": F.expr(f"shiftleft(cast(_tag + {table * 2 * (SEGMENT + 1)} as bigint), {SEGMENT}) | (case when _p = {SEGMENT} then _seg else _seg & ~{one} end)"),
+        "key": F.expr(f"shiftleft(cast(_tag as bigint), {SEGMENT}) | (case when _p = {SEGMENT} then _seg else _seg & ~{one} end)"),
     }).drop("_tag", "_p", "_seg")
 
 
@@ -141,39 +128,73 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
-#: Seeds of the tables of near-copy candidates, and the most bits of all tables together in which
-#: a candidate may differ: 0.8 alike in five-word shingles means up to 0.15 of the bits.
-TABLES, MOST_BITS = (11, 23, 47), 40
-PIVOTS = 8
+#: One in so many documents is looked at for shingles that many texts share, and as many of those are told to all.
+SAMPLE, SEEN, COMMON = 16, 4, 200_000
 #: Rows up to which a set of ids is broadcast.
 BROADCAST_IDS = 500_000
 
 
-def _shingles(text: str, words: int) -> set[bytes]:
-    w = text.encode().lower().split()
-    return {b" ".join(x) for x in zip(*(w[i:] for i in range(words)), strict=False)} or {b" ".join(w)}
+def _shingle_hashes(text: str, words: int) -> np.ndarray:
+    """The set of a text's word shingles as sorted hashes; a text of fewer words is one shingle."""
+    t = tokens(text)
+    t = t[:-1] if len(t) > 1 else t
+    n = max(1, len(t) - words + 1)
+    out = t[:n]
+    for j in range(1, min(words, len(t))):
+        out = pair(out, t[j : j + n])
+    return np.unique(out)
 
 
-def _near_pairs(fps: DataFrame, crowd: int) -> DataFrame:
-    """Candidate pairs (a, b) of nodes that share a key of some table."""
-    keyed = [deletion_variants(fps.select("node", f"f{t}"), f"f{t}", t).select("node", "bit", "key") for t in range(len(TABLES))]
-    rows = keyed[0]
-    for k in keyed[1:]:
-        rows = rows.unionByName(k)
-    sized = rows.withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1")
-    pairs = F.expr(
-        f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}), y -> x.bit = 2 or x.bit <> y.bit),
-            y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"""
-    )
-    near = sized.where(f"n <= {crowd}").groupBy("key").agg(F.collect_list(F.struct("bit", "node")).alias("xs")).select(F.inline(pairs))
-    # a crowded key: its members meet the few that lie next to the middle of all of them
-    member = sized.where(f"n > {crowd}").groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", "m.key").join(fps.select("node", "f0"), "node")
-    sums = [F.sum(F.expr(f"shiftright(f0, {i}) & 1")).alias(f"s{i}") for i in range(BITS)]
-    middle = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), *sums)
-    middle = middle.select("key", F.expr(" | ".join(f"(case when 2 * s{i} > n then shiftleft(1L, {i}) else 0L end)" for i in range(BITS))).alias("center"))
-    ranked = member.join(middle, "key").selectExpr("key", "node pivot", "row_number() over (partition by key order by bit_count(f0 ^ center), node) place")
-    star = member.join(ranked.where(f"place <= {PIVOTS}"), "key").where("node <> pivot").selectExpr("least(node, pivot) a", "greatest(node, pivot) b")
-    return near.unionByName(star).distinct()
+def _alike(common: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
+    return common >= similarity * (x + y - common)
+
+
+def _joined(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between the members of one key: enough that any two that are alike are connected.
+
+    ``labels`` tells which are connected already.  Every member that is reached is compared,
+    through the postings of its shingles, with all that are not; those that are shrink.
+    """
+    sizes = np.array([len(x) for x in sets])
+    _, token = np.unique(np.concatenate(sets), return_inverse=True)
+    start = np.cumsum([0, *sizes])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, label, count = np.unique(labels, return_inverse=True, return_counts=True)
+    by_label = np.split(np.argsort(label, kind="stable"), np.cumsum(count)[:-1])
+    left, kinds, links = np.ones(len(sets), bool), int(token.max()) + 1, []
+
+    def index() -> tuple[np.ndarray, np.ndarray]:
+        keep = np.flatnonzero(left[owner])
+        order = keep[np.argsort(token[keep], kind="stable")]
+        return owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
+
+    posts, first = index()
+    held = remaining = len(sets)
+    for seed in np.argsort(-count, kind="stable").tolist():
+        if not left[by_label[seed][0]]:
+            continue
+        queue = [by_label[seed]]
+        left[by_label[seed]] = False
+        remaining -= len(by_label[seed])
+        while queue and remaining:
+            for x in queue.pop().tolist():
+                if 2 * remaining <= held:
+                    posts, first = index()
+                    held = remaining
+                own = token[start[x] : start[x + 1]]
+                lo, n = first[own], first[own + 1] - first[own]
+                at = posts[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                common = np.bincount(at, minlength=len(sets))
+                for y in np.flatnonzero(left & (common > 0) & _alike(common, sizes, sizes[x], similarity)).tolist():
+                    if left[y]:
+                        links.append((x, y))
+                        group = by_label[label[y]]
+                        left[group] = False
+                        remaining -= len(group)
+                        queue.append(group)
+                if not remaining:
+                    break
+    return links
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
@@ -181,46 +202,95 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity``; component_id is the least doc_id reachable.  Texts alike but for A-Z case
-    and white space are one class from the start.  Candidates come from SimHash fingerprints of
-    the words (three tables, a segment equal or one bit off), are kept if all bits together
-    differ little enough, and are verified on their whole texts.  In a key with more than
-    ``crowd`` fingerprints each meets only the eight nearest to their middle, so a group of
-    near copies costs its size, not its square.  Null, empty and blank texts are one class.
+    and white space are one class from the start.  Null, empty and blank texts are one class.
+
+    All such pairs are found, short of equal 64-bit hashes of different shingles.  Shingles have
+    one order for all texts, and two sets of n and m shingles that are alike share one among the
+    first n - ceil(similarity n) + 1 of the one and the same of the other.  These are the keys.
+    The order puts shingles that many documents of a sample share last, which makes keys
+    selective and decides nothing else.  Keys of up to ``crowd`` texts are joined pair by pair
+    and verified on the texts.  Members of a more crowded key are compared in one task, which
+    returns a spanning forest instead of all pairs: first every text in its most crowded key,
+    then all crowded keys whose members are not all connected by then.
     """
+    spark = docs.sparkSession
+    rows = documents(docs, id_col, text_col).dropna(subset=["doc_id"])
+    sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
+    seen = _counts(sample, lambda texts: np.concatenate([_shingle_hashes(t, words) for t in texts])).where(F.col("c") >= SEEN)
+    seen = seen.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    hashes, counts = seen["h"].to_numpy(np.int64).view(np.uint64), seen["c"].to_numpy(np.int64)
+    order = np.argsort(hashes)
+    shared = spark.sparkContext.broadcast((hashes[order], counts[order]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common, often = shared.value
         for b in slices(batches):
-            texts = b.column(1).to_pylist()
-            twin = [xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 for t in texts]
-            fp = [weighted_fingerprints(t, TABLES) for t in texts]
-            columns = [pa.array([f[k] for f in fp], pa.int64()) for k in range(len(TABLES))]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twin, pa.int64()), *columns], ["doc_id", "twin", *(f"f{k}" for k in range(len(TABLES)))])
+            twins, sizes, keys = [], [], []
+            for t in b.column(1).to_pylist():
+                twins.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63)
+                h = _shingle_hashes(t, words)
+                if len(common):
+                    at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                    h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
+                sizes.append(len(h))
+                keys.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "twin", "size", "keys"])
+
+    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>"), "near-keys")
+    classes = stage(fp.groupBy("twin").agg(F.min(F.struct("doc_id", "size", "keys")).alias("m")).select("twin", F.col("m.doc_id").alias("node"), "m.size", "m.keys"), "near-classes")
+    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
+    sized = keyed.withColumns({"n": F.expr("count(1) over (partition by key)"), "s": F.expr("bit_xor(xxhash64(node)) over (partition by key)")})
+    met = stage(sized.where("n > 1"), "near-met")
+    # of keys with the same members, one
+    one = met.groupBy("n", "s").agg(F.min("key").alias("key")).select("key")
+    met = stage(met.join(one, "key", "left_semi"), "near-shared")
+    pairs = F.expr(
+        f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}), y -> least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
+            y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"""
+    )
+    alike = stage(met.where(f"n <= {crowd}").groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("xs")).select(F.inline(pairs)).distinct(), "near-pairs")
+    crowded = met.where(f"n > {crowd}")
 
-    rows = documents(docs, id_col, text_col).dropna(subset=["doc_id"])
-    tables = [f"f{k}" for k in range(len(TABLES))]
-    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, " + ", ".join(f"{t} long" for t in tables)), "near-fingerprints")
-    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("node"), *(F.min(t).alias(t) for t in tables)), "near-classes")
-    fps = classes.select("node", *tables)
-    side = lambda x: fps.select(F.col("node").alias(x), *(F.col(t).alias(f"{x}{t}") for t in tables))
-    differ = " + ".join(f"bit_count(a{t} ^ b{t})" for t in tables)
-    alike = stage(_near_pairs(fps, crowd).join(side("a"), "a").join(side("b"), "b").where(f"{differ} <= {MOST_BITS}").select("a", "b"), "near-pairs")
-    nodes = stage(alike.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "near-nodes")
-    few = nodes.count() <= BROADCAST_IDS
-    # of rows repeated with one id, any text of the class will do
-    texts = rows.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    def texts_of(nodes: DataFrame) -> DataFrame:
+        nodes = stage(nodes.distinct(), "near-nodes")
+        some = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
+        # of rows repeated with one id, any text of the class will do
+        return rows.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+    texts = texts_of(alike.select(F.explode(F.array("a", "b")).alias("doc_id")))
     both = alike.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             src, dst = [], []
             for a, c, ta, tc in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = _shingles(ta, words), _shingles(tc, words)
-                common = len(x & y)
-                if common >= similarity * (len(x) + len(y) - common):
+                x, y = _shingle_hashes(ta, words), _shingle_hashes(tc, words)
+                if _alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity):
                     src.append(a)
                     dst.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    found = connected_components(both.select("a", "b", "ta", "tb").mapInArrow(verify, "src long, dst long"))
+    def forest(table: pa.Table) -> pa.Table:
+        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
+        links = np.array(_joined([_shingle_hashes(t, words) for t in table.column("text").to_pylist()], label, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"src": pa.array(node[links[:, 0]], pa.int64()), "dst": pa.array(node[links[:, 1]], pa.int64())})
+
+    def within(members: DataFrame) -> DataFrame:
+        """Links among (key, node, label) that the members of each key need."""
+        texts = texts_of(members.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
+        return members.join(texts, "node").groupBy("key").applyInArrow(forest, "src long, dst long")
+
+    links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "src long, dst long")
+    found = None
+    if not crowded.isEmpty():
+        most = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", "m.key", F.col("node").alias("label"))
+        links = stage(links.unionByName(within(most)), "near-links")
+        found = connected_components(links)
+        named = crowded.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
+        more = stage(within(stage(named.join(mixed, "key", "left_semi"), "near-mixed")), "near-more")
+        if not more.isEmpty():
+            links, found = links.unionByName(more), None
+    found = connected_components(links) if found is None else found
     labelled = classes.join(found, "node", "left").select("twin", F.coalesce("component", "node").alias("component_id"))
     return fp.join(labelled, "twin").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
