@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pytest
 from platefold.llm import simhash
 
 
@@ -65,3 +66,25 @@ def test_crowded_families(spark):
         w[at : at + 3] = [word(rng) for _ in range(3)]
         texts[d] = " ".join(w)
     assert grouped(spark, texts) == groups(texts)
+
+
+@pytest.mark.parametrize("edit", ["block", "scattered"])
+def test_recall_by_kind_of_edit(spark, edit):
+    """Pairs just above 0.8, by a passage added in one place or by single words changed."""
+    rng = random.Random(edit)
+    vocabulary = [word(rng) for _ in range(2000)]
+    texts = {}
+    for d in range(0, 400, 2):
+        n = rng.choice((100, 300))
+        w = [vocabulary[int(len(vocabulary) * rng.random() ** 3)] for _ in range(n)]
+        texts[d] = " ".join(w)
+        if edit == "block":
+            at, m = rng.randrange(n), int(n * 0.14)
+            w[at:at] = [vocabulary[int(len(vocabulary) * rng.random() ** 3)] for _ in range(m)]
+        else:
+            for at in rng.sample(range(n), max(1, n // 50)):
+                w[at] = word(rng)
+        texts[d + 1] = " ".join(w)
+    expected = groups(texts)
+    assert sum(expected[d] != d for d in texts) > 150
+    assert grouped(spark, texts) == expected
