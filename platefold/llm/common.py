@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir; where it is unset, one of our own in local mode (tests), else an error."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if base is None:
         base = sc.getCheckpointDir()
+    if base is None and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if base is None:
         base = f"file://{tempfile.mkdtemp(prefix='platefold-')}"
     if sc.getCheckpointDir() is None:
@@ -48,6 +50,26 @@ def slices(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
+#: Rows of one key from which it counts as hot, and hot keys at most.
+HOT_ROWS, HOT_KEYS = 100, 50_000
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: list[str], rows: str, how: str = "inner", total: int | None = None) -> DataFrame:
+    """``left`` joined with ``right`` (one row for each key, both read twice: staged), ``how`` inner or left.
+
+    ``rows`` is a column of ``right``: how many rows of ``left`` have the key.  Hot keys are broadcast,
+    so their rows stay where they are; all others are shuffled.  A key is hot from a share of all
+    rows (``total``, where it is known) that only HOT_KEYS keys can have, which bounds the broadcast
+    at any size.
+    """
+    if total is None:
+        total = right.agg(F.sum(rows)).first()[0] or 0
+    bound = max(HOT_ROWS, total / HOT_KEYS)
+    hot = right.where(F.col(rows) > bound)
+    rest = left.join(F.broadcast(hot.select(*on)), on, "left_anti").join(right.where(F.col(rows) <= bound), on, how)
+    return left.join(F.broadcast(hot), on).select(rest.columns).unionByName(rest)
+
+
 def fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

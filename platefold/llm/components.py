@@ -5,24 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import join_hot, shared_dir
 
 
 def _ordered(df: DataFrame) -> DataFrame:
     return df.select(F.greatest("u", "v").alias("hi"), F.least("u", "v").alias("lo")).where("hi <> lo")
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, size: int) -> DataFrame:
     """Every larger neighbour of u is linked to the least of u and its neighbours."""
     both = edges.selectExpr("hi u", "lo v").unionByName(edges.selectExpr("lo u", "hi v"))
-    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-    return _ordered(both.where("v > u").join(least, "u").selectExpr("v u", "m v"))
+    least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("n"))
+    return _ordered(join_hot(both.where("v > u"), least, ["u"], "n", total=2 * size).selectExpr("v u", "m v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, size: int) -> DataFrame:
     """u and its smaller neighbours are linked to the least of them."""
-    least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").selectExpr("lo u", "m v")
+    least = edges.groupBy("hi").agg(F.min("lo").alias("m"), F.count(F.lit(1)).alias("n"))
+    moved = join_hot(edges, least, ["hi"], "n", total=size).selectExpr("lo u", "m v")
     return _ordered(moved.unionByName(least.selectExpr("hi u", "m v")))
 
 
@@ -41,5 +41,5 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
         if tuple(sign) == before or sign[0] == 0:
             return edges.selectExpr("hi node", "lo component").unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         before = tuple(sign)
-        edges = _small_star(_large_star(edges)).distinct().checkpoint()
+        edges = _small_star(_large_star(edges, sign[0]), sign[0]).distinct().checkpoint()
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -1,62 +1,105 @@
 """Exact dedup with a log-structured merge index of digests, in DataFrame operations only.
 
-A batch of documents is a set of memtables, one per input partition.  A flush writes each
-memtable as a run: rows of digest and identifier, sorted by digest, in a Parquet file whose
-digest column carries a Bloom filter and min/max statistics, so that a probe skips runs.
-Compaction merges runs, keeping one identifier for each digest.  Digests only propose
-copies: what they hit is verified on the bytes of the texts.
+The input's partitions fill a few memtables.  A flush writes each as a run: rows of digest and
+identifier, sorted by digest, in Parquet files with min/max statistics and Bloom filters for
+literal look-ups.  Compaction merges runs, keeping one identifier and a count for each digest.
+A probe of many texts first asks a blocked Bloom filter over the digests in question, a table of
+64-bit words; only what it lets through is grouped.  Digests only propose copies: the texts that
+they hit are compared byte for byte, and the bytes decide.
 """
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, stage_path
+from .common import documents, join_hot, stage, stage_path
 
 #: A run's files: each filter has the smallest of eight sizes, 8 KB to 1 MB, that serves its digests.
 FILTERS = {"compression": "zstd", "parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true", "parquet.bloom.filter.candidates.number": "8"}
 ROW = "doc_id long, rid long, digest long, sha string, n long"
+#: Memtables that a batch fills, and runs merged at a time.
+MEMTABLES, FAN_IN = 4, 4
+#: Digests for each word of the probe filter (16 bits each, two set), and words up to which it is broadcast (16 bytes each).
+PER_WORD, BROADCAST_WORDS = 4, 1 << 22
+
+
+def digest_of(text: Column) -> Column:
+    """64 bits of a text; equal ones are candidates only."""
+    return F.xxhash64(text)
+
+
+def _bits(digest: Column) -> Column:
+    """The two bits of its word that a digest sets."""
+    h = F.xxhash64(digest, F.lit(1))
+    one = F.lit(1).cast("long")
+    return F.call_function("shiftleft", one, (h.bitwiseAND(F.lit(63))).cast("int")).bitwiseOR(F.call_function("shiftleft", one, (F.shiftright(h, 6).bitwiseAND(F.lit(63))).cast("int")))
+
+
+def probe_filter(digests: DataFrame, count: int) -> tuple[DataFrame, int]:
+    """A blocked Bloom filter over ``digests`` (digest): rows (word, mask), and the number of words."""
+    words = 1 << max(6, ceil(log2(max(1, count) / PER_WORD)))
+    return digests.groupBy(F.xxhash64("digest").bitwiseAND(F.lit(words - 1)).alias("word")).agg(F.bit_or(_bits(F.col("digest"))).alias("mask")), words
+
+
+def probe(rows: DataFrame, words: DataFrame, size: int) -> DataFrame:
+    """Rows whose digest the filter may hold: all that it holds, and about one in fifty others."""
+    word = F.xxhash64("digest").bitwiseAND(F.lit(size - 1))
+    own = F.broadcast(words) if size <= BROADCAST_WORDS else words
+    return rows.withColumn("word", word).join(own, "word").where(F.col("mask").bitwiseAND(_bits(F.col("digest"))) == _bits(F.col("digest"))).drop("word", "mask")
+
+
+def _order(keep: str) -> Column:
+    """What min or max of puts a null id last."""
+    missing = F.col("doc_id").isNull()
+    if keep == "max":
+        return F.struct((~missing).alias("known"), F.col("doc_id").alias("k")).alias("order")
+    return F.struct(missing.alias("missing"), F.col("doc_id").alias("k")).alias("order")
 
 
 class DigestIndex:
     """Runs of (doc_id, rid, digest, sha, n) under ``path``; ``keep`` says whose row stays: min or max id."""
 
-    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "min", fan_in: int = 8):
+    def __init__(self, spark: SparkSession, path: str | None = None, keep: str = "min", fan_in: int = FAN_IN, memtables: int = MEMTABLES):
         if keep not in ("min", "max"):
             raise ValueError("keep must be min or max")
-        self.spark, self.path, self.keep, self.fan_in = spark, path or stage_path(spark, "lsm"), keep, fan_in
+        self.spark, self.path, self.keep, self.fan_in, self.memtables = spark, path or stage_path(spark, "lsm"), keep, fan_in, memtables
         self.runs: list[str] = []
         self.made = 0
 
-    def _write(self, rows: DataFrame, level: int) -> str:
-        run = f"{self.path}/level={level}/run={self.made}"
+    def _name(self, level: int) -> str:
         self.made += 1
-        rows.sortWithinPartitions("digest").write.options(**FILTERS).parquet(run)
-        return run
+        return f"{self.path}/level-{level}-{self.made}"
 
     def flush(self, docs: DataFrame) -> DataFrame:
-        """Add the memtables of one batch (doc_id, text); returns the run's rows.
+        """Add a batch (doc_id, text): one run for each memtable; returns the rows of these runs.
 
         ``rid`` tells repeated rows of one identifier apart; it is fixed by being written.
         """
-        rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), F.xxhash64("text").alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.lit(1).cast("long").alias("n"))
-        run = self._write(rows, 0)
-        self.runs.append(run)
-        return self.read(run)
-
-    def read(self, *runs: str) -> DataFrame:
-        return self.spark.read.schema(ROW).parquet(*(runs or self.runs))
-
-    def _stays(self) -> Column:
-        """The identifier and row that stay among equals; a null id stays only among nulls."""
+        rows = docs.select("doc_id", F.monotonically_increasing_id().alias("rid"), digest_of(F.col("text")).alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"), F.lit(1).cast("long").alias("n"))
+        base = self._name(0)
+        rows.withColumn("memtable", F.spark_partition_id() % self.memtables).sortWithinPartitions("memtable", "digest").write.partitionBy("memtable").options(**FILTERS).parquet(base)
+        # memtables that no partition fell to have no run
+        filled = [r[0] for r in self.spark.read.schema(f"{ROW}, memtable int").parquet(base).select("memtable").distinct().collect()]
+        new = [f"{base}/memtable={m}" for m in sorted(filled)]
+        self.runs += new
+        return self.read(new)
+
+    def read(self, runs: list[str] | None = None) -> DataFrame:
+        runs = self.runs if runs is None else runs
+        return self.spark.read.schema(ROW).parquet(*runs) if runs else self.spark.createDataFrame([], ROW)
+
+    def _merged(self, rows: DataFrame) -> DataFrame:
+        """One row for each digest: who stays (a null id only among nulls), and how many there are."""
         best = F.max if self.keep == "max" else F.min
-        first = F.coalesce(F.col("doc_id"), F.lit(-(2**63) if self.keep == "max" else 2**63 - 1))
-        return best(F.struct(first.alias("k"), F.col("doc_id"), F.col("rid")))
+        merged = rows.groupBy("digest").agg(best(F.struct(_order(self.keep), "doc_id", "rid")).alias("s"), F.sum("n").alias("n"))
+        return merged.select("s.doc_id", "s.rid", "digest", F.lit(None).cast("string").alias("sha"), "n")
 
     def entries(self) -> DataFrame:
-        """One row per digest and sha over all runs: who stays, and how many rows there are."""
-        return self.read().groupBy("digest", "sha").agg(self._stays().alias("s"), F.sum("n").alias("n")).select("digest", "sha", F.col("s.doc_id").alias("doc_id"), F.col("s.rid").alias("rid"), "n")
+        """One row per digest over all runs."""
+        return self._merged(self.read())
 
     def compact(self) -> None:
         """Merge the runs, ``fan_in`` at a time, until one is left that holds one row for each digest.
@@ -65,19 +108,28 @@ class DigestIndex:
         share moves one row per task.
         """
         level = 0
-        while level == 0 or len(self.runs) > 1:
+        while self.runs and (level == 0 or len(self.runs) > 1):
             level += 1
             merged = []
             for i in range(0, len(self.runs), self.fan_in):
-                best = self.read(*self.runs[i : i + self.fan_in]).groupBy("digest", "sha").agg(self._stays().alias("s"), F.sum("n").alias("n"))
-                merged.append(self._write(best.select("s.doc_id", "s.rid", "digest", "sha", "n"), level))
+                run = self._name(level)
+                self._merged(self.read(self.runs[i : i + self.fan_in])).sortWithinPartitions("digest").write.options(**FILTERS).parquet(run)
+                merged.append(run)
             self.runs = merged
 
-    def seen(self, docs: DataFrame) -> DataFrame:
-        """Rows of ``docs`` (doc_id, text) with ``first_id``: who holds the same digest here, or null."""
-        probe = docs.select("doc_id", "text", F.xxhash64("text").alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
-        held = self.entries().select("digest", "sha", F.col("doc_id").alias("first_id"))
-        return probe.join(held, ["digest", "sha"], "left").select("doc_id", "text", "first_id")
+    def seen(self, docs: DataFrame, held: DataFrame) -> DataFrame:
+        """Rows of ``docs`` (doc_id, text) with ``first_id``: whose text here is the same, or null.
+
+        ``held`` (doc_id, text) are the documents that the index was made of: a hit counts only
+        if the bytes agree with one of its digest.
+        """
+        rows = stage(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), digest_of(F.col("text")).alias("digest")), "probe")
+        asked = stage(rows.select("digest").distinct(), "asked")
+        words, size = probe_filter(asked, asked.count())
+        hits = probe(held.select("doc_id", "text", digest_of(F.col("text")).alias("digest")), stage(words, "words"), size)
+        best = F.max if self.keep == "max" else F.min
+        first = hits.groupBy("digest", "text").agg(best("doc_id").alias("first_id"))
+        return rows.join(first, ["digest", "text"], "left").select("doc_id", "text", "first_id")
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "min") -> DataFrame:
@@ -88,26 +140,27 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with one id, one is kept.  A null id stays only where its whole group has none.  An empty
     table gives an empty result.
 
-    The flushed run has a digest for each row, the compacted one a row for each digest.  Digests
-    that occur once are settled.  The texts of the
-    others are read again and grouped by their bytes, each task collapsing its own copies
-    before the shuffle, so a group of any size moves one row per task.  ``variants`` is the
-    number of different texts behind a digest pair: 1, or the copies would not be trusted.
+    Digests that occur once are settled by the index.  The texts of the others are found by the
+    probe filter and grouped by their bytes; each task collapses its own copies before the
+    shuffle, so a group of any size moves one row per task, and the rows of large groups are
+    joined with a broadcast of those groups alone.  ``variants`` is the number of different texts
+    behind a digest; where it is not 1 the groups are those of the bytes.
     """
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
     index = DigestIndex(spark, keep=keep)
     run = index.flush(rows)
     index.compact()
-    repeated = index.read().where("n > 1")
-    key = [F.xxhash64("text").alias("digest"), F.sha2(F.col("text").cast("binary"), 256).alias("sha")]
-    hit_texts = rows.select("text", *key).join(repeated.select("digest", "sha"), ["digest", "sha"], "left_semi")
+    repeated = stage(index.read().where("n > 1").select("digest", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), "n"), "repeated")
+    words, size = probe_filter(repeated.select("digest"), repeated.count())
+    texts = rows.select("doc_id", "text", digest_of(F.col("text")).alias("digest"))
+    hits = probe(texts.select("digest", "text"), stage(words, "words"), size)
     # byte verification: one row for each different text behind a hit
-    verified = hit_texts.groupBy("digest", "sha", "text").agg(F.count(F.lit(1)).alias("c")).groupBy("digest", "sha").agg(F.count(F.lit(1)).alias("variants"))
-    held = repeated.join(verified, ["digest", "sha"]).select("digest", "sha", F.col("doc_id").alias("keep_id"), F.col("rid").alias("keep_rid"), "n", "variants")
-    out = run.drop("n").join(held, ["digest", "sha"], "left")
+    verified = hits.groupBy("digest", "text").agg(F.count(F.lit(1)).alias("c")).groupBy("digest").agg(F.count(F.lit(1)).alias("variants"))
+    held = stage(repeated.join(verified, "digest"), "held")
+    out = join_hot(run.drop("n"), held, ["digest"], "n", "left")
     single = F.col("n").isNull()
-    return out.select(
+    found = out.where("variants is null or variants = 1").select(
         "doc_id",
         F.when(single, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
@@ -115,3 +168,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.col("sha").alias("text_sha256"),
         F.coalesce("variants", F.lit(1).cast("long")).alias("variants"),
     )
+    shared = held.where("variants > 1").select("digest", "variants")
+    if shared.isEmpty():
+        return found
+    return found.unionByName(_by_bytes(texts.join(shared, "digest"), keep))
+
+
+def _by_bytes(rows: DataFrame, keep: str) -> DataFrame:
+    """Groups of (doc_id, text, digest, variants) by the texts themselves: for digests that different texts share."""
+    rows = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "by-bytes")
+    best = F.max if keep == "max" else F.min
+    groups = rows.groupBy("digest", "text").agg(best(F.struct(_order(keep), "doc_id", "rid")).alias("s"), F.count(F.lit(1)).alias("n"))
+    return rows.join(groups, ["digest", "text"]).select("doc_id", F.col("s.doc_id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("rid") == F.col("s.rid")).alias("kept"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "variants")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stage
+from .common import documents, join_hot, slices, stage
 from .components import connected_components
 from .lm import _counts, pair, tokens
 
@@ -95,7 +95,10 @@ def hamming_links(fps: DataFrame, distance: int = 2, crowd: int = 32) -> DataFra
     """
     if distance not in (1, 2):
         raise ValueError("the distance must be 1 or 2")
-    sized = deletion_variants(fps).withColumn("n", F.expr("count(1) over (partition by key)")).where("n > 1")
+    variants = deletion_variants(fps)
+    # keys are counted first, so that of the variants only those that meet another are shuffled whole
+    met = stage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "variant-keys")
+    sized = stage(join_hot(variants, met, ["key"], "n"), "variants-met")
     pairs = F.expr(
         f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}),
             y -> (x.bit = 2 or x.bit <> y.bit) and bit_count(x.fp ^ y.fp) <= {distance}),
@@ -121,9 +124,10 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     fp = stage(fingerprints(docs, id_col, text_col, words, seed), "fingerprints")
     classes = stage(fp.dropna(subset=["doc_id"]).groupBy("fp").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("rows")), "classes")
     found = connected_components(hamming_links(classes.select("node", "fp"), distance))
-    labelled = classes.join(found, "node", "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id"))
-    sizes = labelled.groupBy("component_id").agg(F.sum("rows").alias("component_size"))
-    return fp.join(labelled.join(sizes, "component_id").drop("rows"), "fp", "left").select(
+    labelled = stage(classes.join(found, "node", "left").select("fp", "rows", F.coalesce("component", "node").alias("component_id")), "labelled")
+    sizes = labelled.groupBy("component_id").agg(F.sum("rows").alias("component_size"), F.count(F.lit(1)).alias("classes"))
+    sized = stage(join_hot(labelled, sizes, ["component_id"], "classes"), "components")
+    return join_hot(fp, sized, ["fp"], "rows", "left").select(
         "doc_id", "fp", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"), F.when(F.col("doc_id").isNotNull(), F.col("component_size")).alias("component_size")
     )
 

@@ -338,15 +338,35 @@ def test_exact_dedup_odd(spark, odd, empty):
     assert by[0][0]["text_sha256"] == hashlib.sha256(b"").hexdigest() and lsm.exact_groups(empty).count() == 0
 
 
+@pytest.mark.parametrize("keep", ["min", "max"])
+def test_exact_dedup_when_digests_collide(spark, odd, monkeypatch, keep):
+    """Different texts behind one digest are told apart by their bytes."""
+    plain = sorted(map(tuple, lsm.exact_groups(odd, keep=keep).drop("variants").collect()), key=repr)
+    monkeypatch.setattr(lsm, "digest_of", lambda text: F.length(text).cast("long") % 3)
+    rows = lsm.exact_groups(odd, keep=keep).collect()
+    assert max(r["variants"] for r in rows) > 3
+    assert sorted((tuple(r)[:-1] for r in rows), key=repr) == plain
+    assert {r["keep_id"] for r in rows if r["doc_id"] in (5, 6)} == {5 if keep == "min" else 6}
+
+
+def test_probe_filter(spark):
+    held, others = (spark.range(a, a + 20_000).select(F.xxhash64("id").alias("digest")) for a in (0, 10**6))
+    words, size = lsm.probe_filter(held, 20_000)
+    assert lsm.probe(held, words, size).count() == 20_000
+    assert lsm.probe(others, words, size).count() < 2_000
+
+
 def test_index_compaction(spark):
-    index = lsm.DigestIndex(spark, keep="min", fan_in=2)
+    index = lsm.DigestIndex(spark, keep="min", fan_in=2, memtables=3)
     batches = [[(i, f"t{i % 7}") for i in range(k, k + 10)] for k in (20, 10, 0)]
     for b in batches:
-        index.flush(spark.createDataFrame(b, "doc_id long, text string"))
+        index.flush(spark.createDataFrame(b, "doc_id long, text string").repartition(4))
+    assert len(index.runs) > 4
     before = sorted(map(tuple, index.entries().select("digest", "doc_id", "n").collect()))
     index.compact()
     assert len(index.runs) == 1 and sorted(map(tuple, index.entries().select("digest", "doc_id", "n").collect())) == before
-    seen = {r["doc_id"]: r["first_id"] for r in index.seen(spark.createDataFrame([(90, "t3"), (91, "new")], "doc_id long, text string")).collect()}
+    held = spark.createDataFrame([x for b in batches for x in b], "doc_id long, text string")
+    seen = {r["doc_id"]: r["first_id"] for r in index.seen(spark.createDataFrame([(90, "t3"), (91, "new")], "doc_id long, text string"), held).collect()}
     assert seen == {90: 3, 91: None}
 
 
