@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df``, computed and kept in the shared checkpoint folder (one of our own only where none is set)."""
+    """``df``, computed and kept in the shared checkpoint folder (one of our own only in local mode, where none is set)."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='platefold-')}")
+        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if base is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='platefold-')}")
     return df.checkpoint()
