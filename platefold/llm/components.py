@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, shared_dir
+from .common import join_hot, stage
 
 
 def _ordered(df: DataFrame) -> DataFrame:
@@ -30,16 +30,15 @@ def connected_components(links: DataFrame, src: str = "src", dst: str = "dst", m
     """(node, component): component is the least id reachable from node.
 
     Only nodes with a link to another one are returned; self links and nulls count for
-    nothing.  Each round is two shuffles with partial aggregation, checkpointed, and the
+    nothing.  Each round is two shuffles with partial aggregation, written to the shared folder, and the
     number of rounds grows with the logarithm of the longest path.
     """
-    shared_dir(links.sparkSession)
-    edges = _ordered(links.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()).distinct().checkpoint()
+    edges = stage(_ordered(links.select(F.col(src).cast("long").alias("u"), F.col(dst).cast("long").alias("v")).dropna()).distinct(), "edges")
     before = None
     for _ in range(max_rounds):
         sign = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         if tuple(sign) == before or sign[0] == 0:
             return edges.selectExpr("hi node", "lo component").unionByName(edges.select(F.col("lo").alias("node"), F.col("lo").alias("component")).distinct())
         before = tuple(sign)
-        edges = _small_star(_large_star(edges, sign[0]), sign[0]).distinct().checkpoint()
+        edges = stage(_small_star(_large_star(edges, sign[0]), sign[0]).distinct(), "edges")
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

@@ -136,6 +136,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 SAMPLE, SEEN, COMMON = 16, 4, 200_000
 #: Rows up to which a set of ids is broadcast.
 BROADCAST_IDS = 500_000
+#: One shared key more is asked for, and told, for every so many shingles of a text.
+MORE = 20
+#: Members from which a key is crowded, homes of a member of crowded keys, and members of a home in a chunk.
+CROWD, HOMES, AT_HOME = 64, 10, 128
+#: Shingles whose columns are multiplied at a time.
+COLUMNS = 8192
+#: Pairs that one copy of a text serves.
+PAIRS_TOGETHER = 500
 
 
 def _shingle_hashes(text: str, words: int) -> np.ndarray:
@@ -149,73 +157,27 @@ def _shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.unique(out)
 
 
-def _alike(common: np.ndarray, x: np.ndarray, y: np.ndarray, similarity: float) -> np.ndarray:
-    return common >= similarity * (x + y - common)
-
-
-def _joined(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links between the members of one key: enough that any two that are alike are connected.
-
-    ``labels`` tells which are connected already.  Every member that is reached is compared,
-    through the postings of its shingles, with all that are not; those that are shrink.
-    """
-    sizes = np.array([len(x) for x in sets])
-    _, token = np.unique(np.concatenate(sets), return_inverse=True)
-    start = np.cumsum([0, *sizes])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    _, label, count = np.unique(labels, return_inverse=True, return_counts=True)
-    by_label = np.split(np.argsort(label, kind="stable"), np.cumsum(count)[:-1])
-    left, kinds, links = np.ones(len(sets), bool), int(token.max()) + 1, []
-
-    def index() -> tuple[np.ndarray, np.ndarray]:
-        keep = np.flatnonzero(left[owner])
-        order = keep[np.argsort(token[keep], kind="stable")]
-        return owner[order], np.searchsorted(token[order], np.arange(kinds + 1))
-
-    posts, first = index()
-    held = remaining = len(sets)
-    for seed in np.argsort(-count, kind="stable").tolist():
-        if not left[by_label[seed][0]]:
-            continue
-        queue = [by_label[seed]]
-        left[by_label[seed]] = False
-        remaining -= len(by_label[seed])
-        while queue and remaining:
-            for x in queue.pop().tolist():
-                if 2 * remaining <= held:
-                    posts, first = index()
-                    held = remaining
-                own = token[start[x] : start[x + 1]]
-                lo, n = first[own], first[own + 1] - first[own]
-                at = posts[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-                common = np.bincount(at, minlength=len(sets))
-                for y in np.flatnonzero(left & (common > 0) & _alike(common, sizes, sizes[x], similarity)).tolist():
-                    if left[y]:
-                        links.append((x, y))
-                        group = by_label[label[y]]
-                        left[group] = False
-                        remaining -= len(group)
-                        queue.append(group)
-                if not remaining:
-                    break
-    return links
-
-
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = 16) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) of every document with an id: groups of near copies.
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is at least
     ``similarity``; component_id is the least doc_id reachable.  Texts alike but for A-Z case
     and white space are one class from the start.  Null, empty and blank texts are one class.
+    Each text of an id that is repeated with different texts is a node of its own; the id gets
+    the least component of them.
 
     All such pairs are found, short of equal 64-bit hashes of different shingles.  Shingles have
-    one order for all texts, and two sets of n and m shingles that are alike share one among the
-    first n - ceil(similarity n) + 1 of the one and the same of the other.  These are the keys.
-    The order puts shingles that many documents of a sample share last, which makes keys
-    selective and decides nothing else.  Keys of up to ``crowd`` texts are joined pair by pair
-    and verified on the texts.  Members of a more crowded key are compared in one task, which
-    returns a spanning forest instead of all pairs: first every text in its most crowded key,
-    then all crowded keys whose members are not all connected by then.
+    one order for all texts; those that many documents of a sample share come last, which makes
+    keys selective and decides nothing else.  Of a set of n shingles the first
+    n - ceil(similarity n) + l are its keys, l = 1 + n div MORE: two sets that are alike share
+    at least the lesser l of them, so pairs that share fewer are no candidates.  Candidates are
+    verified on the texts.
+
+    Members of keys of more than ``crowd`` texts meet at home first: of a text's crowded keys those
+    with the least hash, by HOMES different hashes, are its homes, and texts that share one are
+    compared there on their whole sets, chunk against chunk.  What is connected by then, or was
+    compared, makes no further pair; all other pairs of all keys are made and counted, in groups of
+    twice ``crowd`` members at most.  No task holds a whole key.
     """
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col).dropna(subset=["doc_id"])
@@ -237,64 +199,172 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
                 sizes.append(len(h))
-                keys.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1].view(np.int64))
+                keys.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1 + len(h) // MORE].view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "twin", "size", "keys"])
 
     fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>"), "near-keys")
-    classes = stage(fp.groupBy("twin").agg(F.min(F.struct("doc_id", "size", "keys")).alias("m")).select("twin", F.col("m.doc_id").alias("node"), "m.size", "m.keys"), "near-classes")
-    keyed = classes.select("node", "size", F.explode("keys").alias("key"))
-    sized = keyed.withColumns({"n": F.expr("count(1) over (partition by key)"), "s": F.expr("bit_xor(xxhash64(node)) over (partition by key)")})
-    met = stage(sized.where("n > 1"), "near-met")
-    # of keys with the same members, one
-    one = met.groupBy("n", "s").agg(F.min("key").alias("key")).select("key")
-    met = stage(met.join(one, "key", "left_semi"), "near-shared")
-    pairs = F.expr(
-        f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}), y -> least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
-            y -> struct(least(x.node, y.node) as a, greatest(x.node, y.node) as b))))"""
-    )
-    alike = stage(met.where(f"n <= {crowd}").groupBy("key").agg(F.collect_list(F.struct("node", "size")).alias("xs")).select(F.inline(pairs)).distinct(), "near-pairs")
-    crowded = met.where(f"n > {crowd}")
+    # a class of texts is a node, named by its twin hash: an id may have texts of several classes
+    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "keys")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.size", "m.keys", "rows"), "near-classes")
+    keyed = classes.select(F.col("twin").alias("node"), "size", F.explode("keys").alias("key"))
+    # keys are counted first; of those with the same members one stands for all, with their number
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s")).where("n > 1")
+    met = stage(met.groupBy("n", "s").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "n", "weight"), "near-met")
+    members = stage(join_hot(keyed, met, ["key"], "n"), "near-members")
+
+    # ids that are repeated with different texts: of these only texts of the node's own class will do
+    several = stage(fp.groupBy("doc_id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("doc_id"), "near-several")
+    n_several = several.count()
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        nodes = stage(nodes.distinct(), "near-nodes")
-        some = F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes
-        # of rows repeated with one id, any text of the class will do
-        return rows.join(some, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
-
-    texts = texts_of(alike.select(F.explode(F.array("a", "b")).alias("doc_id")))
-    both = alike.join(texts.selectExpr("doc_id a", "text ta"), "a").join(texts.selectExpr("doc_id b", "text tb"), "b")
+        """(node, text): any text of each class."""
+        wanted = stage(classes.join(nodes.distinct(), classes["twin"] == F.col("node")).select("node", F.col("least").alias("doc_id")), "near-wanted")
+        found = rows.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id")
+        if n_several:
+            some = F.broadcast(several) if n_several <= BROADCAST_IDS else several
+            odd = found.join(some, "doc_id", "left_semi").mapInArrow(own_class, "node long, text string")
+            found = found.join(some, "doc_id", "left_anti").select("node", "text").unionByName(odd)
+        return found.groupBy("node").agg(F.min("text").alias("text"))
+
+    def own_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            text, node = b.column("text").to_pylist(), b.column("node").to_pylist()
+            ok = [xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 == n for t, n in zip(text, node, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, y in zip(node, ok, strict=True) if y], pa.int64()), pa.array([t for t, y in zip(text, ok, strict=True) if y], pa.string())], ["node", "text"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             src, dst = [], []
+            held: dict[str, np.ndarray] = {}  # a text that many are compared with is hashed once
             for a, c, ta, tc in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                x, y = _shingle_hashes(ta, words), _shingle_hashes(tc, words)
-                if _alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity):
+                x, y = (held.setdefault(t, h) for t in (ta, tc) for h in [held[t] if t in held else _shingle_hashes(t, words)])
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                if both >= similarity * (len(x) + len(y) - both) - 1e-9:
                     src.append(a)
                     dst.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    def forest(table: pa.Table) -> pa.Table:
-        node, label = (table.column(c).to_numpy() for c in ("node", "label"))
-        links = np.array(_joined([_shingle_hashes(t, words) for t in table.column("text").to_pylist()], label, similarity), np.int64).reshape(-1, 2)
-        return pa.table({"src": pa.array(node[links[:, 0]], pa.int64()), "dst": pa.array(node[links[:, 1]], pa.int64())})
-
-    def within(members: DataFrame) -> DataFrame:
-        """Links among (key, node, label) that the members of each key need."""
-        texts = texts_of(members.select(F.col("node").alias("doc_id"))).withColumnRenamed("doc_id", "node")
-        return members.join(texts, "node").groupBy("key").applyInArrow(forest, "src long, dst long")
-
-    links = both.select("a", "b", "ta", "tb").mapInArrow(verify, "src long, dst long")
-    found = None
-    if not crowded.isEmpty():
-        most = crowded.groupBy("node").agg(F.max(F.struct("n", "key")).alias("m")).select("node", "m.key", F.col("node").alias("label"))
-        links = stage(links.unionByName(within(most)), "near-links")
-        found = connected_components(links)
-        named = crowded.select("key", "node").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
-        mixed = named.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("key")
-        more = stage(within(stage(named.join(mixed, "key", "left_semi"), "near-mixed")), "near-more")
-        if not more.isEmpty():
-            links, found = links.unionByName(more), None
-    found = connected_components(links) if found is None else found
-    labelled = classes.join(found, "node", "left").select("twin", F.coalesce("component", "node").alias("component_id"))
-    return fp.join(labelled, "twin").select("doc_id", "component_id").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    def with_text(pairs: DataFrame, x: str, y: str, texts: DataFrame, total: int) -> DataFrame:
+        """The text of node ``x`` beside each pair; one with many pairs is dealt over several tasks."""
+        counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
+        parts = F.floor(F.col("n") / PAIRS_TOGETHER)
+        own = texts.withColumnsRenamed({"node": x, "text": f"text_{x}"}).join(counts, x).withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("n")
+        return join_hot(pairs, counts, [x], "n", total=total).withColumn("part", F.pmod(F.xxhash64(y), 1 + parts)).drop("n").join(own, [x, "part"]).drop("part")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """Links among pairs (a, b) of nodes."""
+        pairs = stage(pairs, "near-pairs")
+        total = pairs.count()
+        texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "near-texts")
+        both = with_text(with_text(pairs, "a", "b", texts, total), "b", "a", texts, total)
+        return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), "near-links")
+
+    crowded = members.where(F.col("n") > crowd)
+    homes = stage(crowded.groupBy("node").agg(F.array(*(F.expr(f"xxhash64({turn}, min_by(key, xxhash64(key, {turn})))") for turn in range(HOMES))).alias("homes")), "near-homes")
+    links = _links_at_home(homes, lambda nodes: texts_of(nodes).mapInArrow(_sets(words), "node long, shingles binary"), similarity)
+    labelled = _relabel(members, homes, connected_components(links))
+    last = verified(_candidates(labelled, crowd, similarity))
+    found = connected_components(links.unionByName(last))
+    named = stage(classes.join(found, classes["twin"] == found["node"], "left").select("twin", "least", "rows", F.coalesce("component", "twin").alias("component")), "near-named")
+    ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
+    told = stage(join_hot(named, ids, ["component"], "classes").select("twin", "rows", "component_id"), "near-told")
+    return join_hot(fp.select("doc_id", "twin"), told, ["twin"], "rows").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+
+
+def _sets(words: int):
+    """Each text's set of shingles, as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([_shingle_hashes(t, words).tobytes() for t in b.column(1).to_pylist()], pa.binary())], ["node", "shingles"])
+
+    return run
+
+
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two of the sets share."""
+    kinds, token, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    place = np.cumsum(times > 1) - 1  # shingles of one set alone are left out
+    keep = times[token] > 1
+    owner, column = owner[keep], place[token[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for lo in range(0, int(place[-1]) + 1, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[owner[part], column[part] - lo] = 1
+        total += has @ has.T
+    return total
+
+
+def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
+    """Edges that connect what the matrix connects, one less than there are members."""
+    left, edges = np.ones(len(alike), bool), []
+    for root in range(len(alike)):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        while queue:
+            x = queue.pop()
+            new = np.flatnonzero(alike[x] & left).tolist()
+            left[new] = False
+            edges += [(x, y) for y in new]
+            queue += new
+    return edges
+
+
+def _links_at_home(homes: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """Links among (node, homes): all that the nodes of each home need, found on whole sets.
+
+    A home's members are dealt into chunks, and each two chunks are compared by a task of its own,
+    which gives back a spanning forest; so a task holds twice AT_HOME sets at most.
+    """
+    at = homes.select("node", F.explode("homes").alias("home"))
+    sizes = stage(at.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-home-sizes")
+    chunks = F.ceil(F.col("n") / AT_HOME).cast("int")
+    dealt = join_hot(at, sizes, ["home"], "n").withColumns({"own": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
+    dealt = dealt.select("node", "home", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    sets = sets_of(homes.select("node"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, own = (table.column(c).to_numpy() for c in ("node", "own"))
+        sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
+        size = np.array([len(x) for x in sets])
+        both = _common(sets)
+        alike = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+        if table.column("low")[0] != table.column("high")[0]:
+            alike &= own[:, None] != own[None, :]
+        np.fill_diagonal(alike, False)
+        edges = np.array(_forest(alike), np.int64).reshape(-1, 2)
+        return pa.table({"src": pa.array(node[edges[:, 0]], pa.int64()), "dst": pa.array(node[edges[:, 1]], pa.int64())})
+
+    return stage(dealt.join(sets, "node").groupBy("home", "low", "high").applyInArrow(compare, "src long, dst long").distinct(), "near-links")
+
+
+def _relabel(members: DataFrame, homes: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their homes, and the component that each node is in by now as its label."""
+    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(homes, "node", "left").join(found, "node", "left")
+    own = own.select("node", "keys", F.coalesce("component", "node").alias("label"), F.coalesce("homes", F.array().cast("array<long>")).alias("homes"))
+    return stage(join_hot(members, stage(own, "near-labels"), ["node"], "keys").drop("keys"), "near-labelled")
+
+
+def _candidates(labelled: DataFrame, crowd: int, similarity: float) -> DataFrame:
+    """(a, b): pairs of nodes with different labels and homes that share enough keys and have fitting sizes.
+
+    Members of a key are dealt into chunks of ``crowd``; each pair of chunks is a group of its own.
+    """
+    chunks = F.ceil(F.col("n") / crowd).cast("int")
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("members")).where("l <> m").select("key", "members")
+    rows = join_hot(labelled, stage(mixed, "near-mixed"), ["key"], "members").withColumns({"chunks": chunks, "own": F.pmod(F.xxhash64("node"), chunks).cast("int")})
+    # a member of chunk i goes to the groups (i, j) and (j, i) of all j: written (low, high)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", "weight", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("node", "size", "label", "own", "homes").alias("x"))
+    groups = rows.groupBy("key", "weight", "low", "high").agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    pairs = F.expr(
+        f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)),
+            y -> x.label <> y.label and (low = high or x.own <> y.own) and not arrays_overlap(x.homes, y.homes) and least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
+            y -> struct(x.node as a, y.node as b, least(x.size, y.size) as least))))"""
+    )
+    made = groups.select("weight", F.inline(pairs))
+    return made.groupBy("a", "b", "least").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= 1 + F.floor(F.col("least") / MORE)).select("a", "b")
