@@ -1,9 +1,11 @@
 """Token ids in binary shards, with a minimal perfect hash index for access by document key.
 
 A shard holds the ids of consecutive documents as one raw little-endian array (16 bits where
-the vocabulary allows it, else 32), the documents' keys and lengths in order, and the index:
-levels of bits that give each key a slot of its own, and for each slot a fingerprint of its key
-with the place and number of its ids.  A lookup is a hash or two and one comparison.
+the vocabulary allows it, else 32), the documents' keys in order, and the index: levels of bits
+that give each key a slot of its own, and for each slot a fingerprint of its key with the place
+and number of its ids.  Nothing else says where a document's ids lie; an access is a hash or two
+and one comparison.  A key is a doc_id and a copy number: 0, and more for rows repeated with one
+id; rows without an id are numbered downwards from -1.
 
 Shards are rows of a Parquet table: Spark's commit makes a lost or repeated task harmless, and
 any store that Spark writes to will do.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import documents, stage_path
 from .vocab import chunk_tokenizer
 
-SHARD = "part int, shard int, before long, first_key long, last_key long, n_docs long, n_ids long, width int, keys binary, counts binary, index binary, payload binary"
+SHARD = "part int, shard int, before long, first_key long, last_key long, n_docs long, n_ids long, width int, keys binary, copies binary, index binary, payload binary"
 #: Ids after which a shard is closed; a longer document has a shard of its own.
 SHARD_IDS = 1 << 20
 #: Places for each key in a level of the index.
@@ -58,32 +60,36 @@ class PerfectHash:
         self.before = np.concatenate([[0], np.cumsum(np.bitwise_count(words), dtype=np.int64)])
 
     @staticmethod
-    def _print(keys: np.ndarray) -> np.ndarray:
-        return (mix(keys, 1) >> np.uint64(32)).astype(np.uint32)
+    def _hash(keys: np.ndarray, copies: np.ndarray, seed: int) -> np.ndarray:
+        return mix(keys, seed) ^ mix(copies, seed + (1 << 20))
 
     @classmethod
-    def build(cls, keys: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> PerfectHash:
-        sizes, words, left, level = [], [], keys, 0
+    def _print(cls, keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
+        return (cls._hash(keys, copies, 1) >> np.uint64(32)).astype(np.uint32)
+
+    @classmethod
+    def build(cls, keys: np.ndarray, copies: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> PerfectHash:
+        sizes, words, left, level = [], [], np.arange(len(keys)), 0
         while len(left):
             size = -(-SPARE * len(left) // 64) * 64
-            at = (mix(left, 2 + level) % np.uint64(size)).astype(np.int64)
+            at = (cls._hash(keys[left], copies[left], 2 + level) % np.uint64(size)).astype(np.int64)
             alone = np.bincount(at, minlength=size) == 1
             sizes.append(size)
             words.append(np.packbits(alone, bitorder="little").view("<u8"))
             left = left[~alone[at]]
             level += 1
         made = cls(np.array(sizes, np.int64), np.concatenate([*words, np.zeros(0, "<u8")]).astype("<u8"), *(np.zeros(len(keys), np.uint32) for _ in range(3)))
-        slot = made.slots(keys)
-        made.prints[slot], made.starts[slot], made.counts[slot] = cls._print(keys), starts, counts
+        slot = made.slots(keys, copies)
+        made.prints[slot], made.starts[slot], made.counts[slot] = cls._print(keys, copies), starts, counts
         return made
 
-    def slots(self, keys: np.ndarray) -> np.ndarray:
+    def slots(self, keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
         """Each key's slot; some slot, or -1, for a key that was not built in."""
         slot, live, base = np.full(len(keys), -1), np.arange(len(keys)), 0
         for level, size in enumerate(self.sizes.tolist()):
             if not len(live):
                 break
-            at = (mix(keys[live], 2 + level) % np.uint64(size)).astype(np.int64) + base
+            at = (self._hash(keys[live], copies[live], 2 + level) % np.uint64(size)).astype(np.int64) + base
             word, bit = self.words[at >> 6], (at & 63).astype(np.uint64)
             hit = (word >> bit & np.uint64(1)).astype(bool)
             own = live[hit]
@@ -91,12 +97,12 @@ class PerfectHash:
             live, base = live[~hit], base + size
         return slot
 
-    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def find(self, keys: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(found, start, count) of each key; found is by fingerprint, wrong for one stranger in 2**32."""
         if not len(self.prints):
             return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        slot = self.slots(keys)
-        return (slot >= 0) & (self.prints[slot] == self._print(keys)), self.starts[slot].astype(np.int64), self.counts[slot].astype(np.int64)
+        slot = self.slots(keys, copies)
+        return (slot >= 0) & (self.prints[slot] == self._print(keys, copies)), self.starts[slot].astype(np.int64), self.counts[slot].astype(np.int64)
 
     def to_bytes(self) -> bytes:
         return struct.pack("<qqq", len(self.sizes), len(self.words), len(self.prints)) + self.sizes.astype("<i8").tobytes() + self.words.tobytes() + b"".join(x.astype("<u4").tobytes() for x in (self.prints, self.starts, self.counts))
@@ -114,10 +120,11 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str =
     shards in ascending id order to ``out``.
 
     A null or empty text has the end id alone.  Rows without an id come first.  Rows repeated
-    with one id follow each other, ordered by text; the index leads to the first of them.
+    with one id follow each other, ordered by a hash of the text, so that different texts of one
+    id (or of none) need not lie in one partition.
     """
-    rows = documents(docs, id_col, text_col)
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = documents(docs, id_col, text_col).withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").drop("h")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = chunk_tokenizer(path, end, WORDS)
@@ -129,13 +136,16 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str =
         state = {"before": 0, "shard": 0, "ids": 0}
 
         def close() -> pa.RecordBatch:
-            k = np.array([-(2**63) if x is None else x for x in keys], np.int64)
+            k = np.array([0 if x is None else x for x in keys], np.int64)
+            missing = np.array([x is None for x in keys])
+            new = np.concatenate([[True], (k[1:] != k[:-1]) | (missing[1:] != missing[:-1])])
+            copies = np.arange(len(k)) - np.maximum.accumulate(np.where(new, np.arange(len(k)), 0))
+            copies = np.where(missing, -1 - copies, copies).astype(np.int64)
             c = np.array(counts, np.int64)
-            starts = np.cumsum(c) - c
-            first = np.unique(k, return_index=True)[1]
             payload = np.frombuffer(b"".join(held), "<u4").astype(f"<u{width}").tobytes()
-            index = PerfectHash.build(k[first].view(np.uint64), starts[first], c[first]).to_bytes()
-            row = (part, state["shard"], state["before"], int(k[0]), int(k[-1]), len(k), state["ids"], width, k.astype("<i8").tobytes(), c.astype("<u4").tobytes(), index, payload)
+            index = PerfectHash.build(k.view(np.uint64), copies.view(np.uint64), np.cumsum(c) - c, c).to_bytes()
+            least, most = (int(k[x]) if not missing[x] else -(2**63) for x in (0, -1))
+            row = (part, state["shard"], state["before"], least, most, len(k), state["ids"], width, k.astype("<i8").tobytes(), copies.astype("<i4").tobytes(), index, payload)
             types = [pa.int32(), pa.int32(), *[pa.int64()] * 5, pa.int32(), *[pa.binary()] * 4]
             state["before"] += state["ids"]
             state["shard"] += 1
@@ -158,7 +168,7 @@ def write_ids(docs: DataFrame, path: str, out: str, end: int = 1, id_col: str =
         if keys:
             yield close()
 
-    ordered.mapInArrow(run, SHARD).write.option("compression", "zstd").parquet(out)
+    ordered.mapInArrow(run, SHARD).write.option("compression", "none").parquet(out)
     return out
 
 
@@ -166,13 +176,16 @@ def _ids(payload: bytes, width: int) -> np.ndarray:
     return np.frombuffer(payload, f"<u{width}").astype("<u4")
 
 
+def _keys(row: dict) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["copies"], "<i4").astype(np.int64)
+
+
 def read_documents(spark: SparkSession, store: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32, keyed) of every document, from the shards.
+    """(doc_id, start, n_tokens, ids_crc32) of every document, each fetched by its key.
 
-    ``start`` counts the ids of all documents before it: those of earlier partitions (summed by
-    partition, so the driver sees one number for each), of earlier shards, and in the shard.
-    ``keyed`` says that the index leads from the key to these ids (or to the first row of a
-    repeated key).
+    The index gives the place and number of the ids in the shard's payload; a key that it does
+    not find, or whose fingerprint differs, is an error.  ``start`` adds the ids of earlier
+    partitions (summed by partition: the driver sees one number for each) and shards.
     """
     shards = spark.read.schema(SHARD).parquet(store)
     base, bases = 0, {}
@@ -183,36 +196,39 @@ def read_documents(spark: SparkSession, store: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                keys, counts = np.frombuffer(row["keys"], "<i8"), np.frombuffer(row["counts"], "<u4").astype(np.int64)
-                starts = np.cumsum(counts) - counts
+                keys, copies = _keys(row)
+                found, at, n = PerfectHash.from_bytes(row["index"]).find(keys.view(np.uint64), copies.view(np.uint64))
+                if not found.all():
+                    raise ValueError(f"shard {row['part']}/{row['shard']} lacks {int((~found).sum())} of its keys")
                 raw = memoryview(_ids(row["payload"], row["width"]).tobytes())
-                crc = [zlib.crc32(raw[4 * s : 4 * (s + n)]) for s, n in zip(starts.tolist(), counts.tolist(), strict=True)]
-                found, at, n = PerfectHash.from_bytes(row["index"]).find(keys.view(np.uint64))
-                first = np.concatenate([[True], keys[1:] != keys[:-1]])
-                keyed = found & (~first | ((at == starts) & (n == counts)))
-                doc_id = pa.array(keys, mask=keys == -(2**63))
-                yield pa.RecordBatch.from_arrays([doc_id, pa.array(starts + row["before"] + bases[row["part"]]), pa.array(counts), pa.array(crc, pa.int64()), pa.array(keyed)], ["doc_id", "start", "n_tokens", "ids_crc32", "keyed"])
+                crc = [zlib.crc32(raw[4 * s : 4 * (s + c)]) for s, c in zip(at.tolist(), n.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(keys, mask=copies < 0), pa.array(at + row["before"] + bases[row["part"]]), pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.select("part", "before", "width", "keys", "counts", "index", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long, keyed boolean")
+    return shards.select("part", "shard", "before", "width", "keys", "copies", "index", "payload").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def lookup(spark: SparkSession, store: str, keys: list[int]) -> DataFrame:
-    """(doc_id, ids array<int>) of those of ``keys`` (a short list) that the store has."""
+    """(doc_id, ids array<int>) of those of ``keys`` (a short list) that the store has: the first copy of each.
+
+    The key ranges of the shards, a few bytes each, say where a key can be; only those shards are
+    read.  In a shard a key costs a hash or two, its fingerprint, and its own ids.
+    """
     wanted = np.array(sorted(set(keys)), np.int64)
-    near = F.lit(False)
-    for k in wanted.tolist():
-        near |= F.lit(k).between(F.col("first_key"), F.col("last_key"))
+    shards = spark.read.schema(SHARD).parquet(store)
+    near = F.exists(F.lit(wanted.tolist()).cast("array<long>"), lambda k: k.between(F.col("first_key"), F.col("last_key")))
+    at = [(r[0], r[1]) for r in shards.where(near).select("part", "shard").collect()] if len(wanted) else []
+    own = shards.where(F.col("part").isin(sorted({p for p, _ in at})) & F.col("shard").isin(sorted({s for _, s in at})) & near)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                found, start, n = PerfectHash.from_bytes(row["index"]).find(wanted.view(np.uint64))
-                held = np.isin(wanted, np.frombuffer(row["keys"], "<i8")) & found
-                ids = _ids(row["payload"], row["width"])
-                got = [(int(k), ids[s : s + c].tolist()) for k, s, c in zip(wanted[held], start[held], n[held], strict=True)]
+                here = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
+                found, start, n = PerfectHash.from_bytes(row["index"]).find(here.view(np.uint64), np.zeros(len(here), np.uint64))
+                ids = np.frombuffer(row["payload"], f"<u{row['width']}")
+                got = [(int(k), ids[s : s + c].tolist()) for k, s, c in zip(here[found], start[found], n[found], strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
-    return spark.read.schema(SHARD).parquet(store).where(near).mapInArrow(run, "doc_id long, ids array<int>")
+    return own.select("first_key", "last_key", "width", "index", "payload").mapInArrow(run, "doc_id long, ids array<int>").dropDuplicates(["doc_id"])
 
 
 def write_and_read(docs: DataFrame, path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -398,12 +398,17 @@ def test_id_store(spark, texts, odd, empty):
     at = 0
     for r in rows:
         ids = np.array([*lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids, 1], "<u4")
-        assert (r["start"], r["n_tokens"], r["ids_crc32"], r["keyed"]) == (at, len(ids), zlib.crc32(ids.tobytes()), True)
+        assert (r["start"], r["n_tokens"], r["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
         at += len(ids)
     path = idstore.stage_path(spark, "test")
     idstore.write_ids(odd, P.path("word_bpe_49k.json"), path)
     back = idstore.read_documents(spark, path).collect()
-    assert len(back) == odd.count() and all(r["keyed"] for r in back) and {r["doc_id"] for r in back} == {*range(len(ODD)), None}
+    assert len(back) == odd.count() and {r["doc_id"] for r in back} == {*range(len(ODD)), None}
+    plain = [np.array([*lib.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for t in [*ODD, "no id", ODD[3]]]
+    assert sorted(r["ids_crc32"] for r in back) == sorted(zlib.crc32(x.tobytes()) for x in plain)
+    assert sorted(r["start"] for r in back) == np.cumsum([0, *(r["n_tokens"] for r in sorted(back, key=lambda r: r["start"]))])[:-1].tolist()
+    least = spark.createDataFrame([(-(2**63), "least"), (None, "none"), (None, "none"), (-(2**63), "least")], "doc_id long, text string")
+    assert sorted((r["doc_id"] for r in idstore.write_and_read(least, P.path("word_bpe_49k.json")).collect()), key=str) == [-(2**63)] * 2 + [None] * 2
     got = {r["doc_id"]: r["ids"] for r in idstore.lookup(spark, path, [5, 7, 12345]).collect()}
     assert got == {i: [*lib.encode(ODD[i], add_special_tokens=False).ids, 1] for i in (5, 7)}
     assert idstore.write_and_read(empty, P.path("word_bpe_49k.json")).count() == 0
@@ -411,9 +416,11 @@ def test_id_store(spark, texts, odd, empty):
 
 def test_perfect_hash():
     for n in (0, 1, 2, 1000):
-        keys = np.random.default_rng(n).choice(2**62, n, replace=False).astype(np.uint64)
-        h = idstore.PerfectHash.from_bytes(idstore.PerfectHash.build(keys, np.arange(n), np.arange(n) + 1).to_bytes())
-        assert sorted(h.slots(keys)) == list(range(n))
-        found, at, count = h.find(keys)
-        assert found.all() and (at == np.arange(n)).all() and (count == at + 1).all()
-        assert not h.find(keys + np.uint64(2**63))[0].any()
+        keys = np.random.default_rng(n).choice(2**62, n, replace=False).astype(np.uint64) // np.uint64(2) * np.uint64(2)
+        keys, copies = np.repeat(keys, 2), np.tile(np.array([0, 1], np.uint64), n)
+        keys, copies = (np.array([*x], np.uint64) for x in zip(*sorted(set(zip(keys.tolist(), copies.tolist(), strict=True))), strict=True)) if n else (keys, copies)
+        h = idstore.PerfectHash.from_bytes(idstore.PerfectHash.build(keys, copies, np.arange(len(keys)), np.arange(len(keys)) + 1).to_bytes())
+        assert sorted(h.slots(keys, copies)) == list(range(len(keys)))
+        found, at, count = h.find(keys, copies)
+        assert found.all() and (at == np.arange(len(keys))).all() and (count == at + 1).all()
+        assert not h.find(keys + np.uint64(1), copies)[0].any()
