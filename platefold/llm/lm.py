@@ -1,14 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
 Tokens are 64-bit hashes of words, and an end after each text.  Every token's training count is
-exact; the base is their additively smoothed distribution p.  Counts of pairs of frequent words
-are quantised to powers of a base and stored in a Bloom filter: a pair of level j is put in
-under levels 1 to j, so probing levels until one is missing gives back its level.  The model is
+exact in the base, the additively smoothed distribution p.  Counts of all words and of all pairs
+of adjacent tokens are quantised to powers of a number and stored in a Bloom filter: a key of
+level j is put in under levels 1 to j, so probing levels until one is missing gives back its
+level.  The model is
 
-    P(w | v) = (c(v, w) + mu p(w)) / (c(v) + mu)    for a frequent v, else p(w)
+    P(w | v) = (c(v, w) + m p(w)) / (c(v) + m)        m = a c(v)**b
 
-with c(v, w) read from the filter, 0 for rare words.  Quantising rounds down, so that the
-probabilities after v sum to at most 1 but for the filter's rare false positives.
+with c(v, w) read from the filter, and p(w) and c(v) too unless the word is one of the frequent
+ones that every worker knows exactly.  Quantised c(v, w) and p(w) are rounded down and c(v) up, so
+that the probabilities after v sum to at most 1 but for the filter's rare false positives.
 """
 
 from __future__ import annotations
@@ -25,21 +27,21 @@ from pyspark.sql import functions as F
 from .common import documents, stage
 from .idstore import mix
 
-#: Words whose pairs are counted: as many of the most frequent as stay below this.
+#: Words whose exact counts every worker knows: as many of the most frequent as stay below this.
 HEAD = 100_000
 BASE = 1.5
-LEVELS = 40
 PROBES = 6
 BITS_PER_ENTRY = 10
-#: Pairs in a shard of the filter, and the filter's size up to which it is broadcast.
-SHARD_PAIRS, BROADCAST_BYTES = 1 << 20, 256 << 20
+#: Tokens whose keys share a shard of the filter, and the filter's size up to which it is broadcast.
+SHARD_TOKENS, BROADCAST_BYTES = 1 << 21, 256 << 20
 #: Pairs that are scored at a time.
 SLICE = 1 << 17
-#: Weights of the base that are tried; the best on training texts, each pair's own count less one, is taken.
-WEIGHTS = (3.0, 10.0, 30.0, 100.0, 300.0, 1000.0, 10_000.0, 100_000.0)
+#: Weights (a, b) of the base that are tried; the best on training texts, each pair's own count less one, is taken.
+WEIGHTS = ((1.0, 0.5), (3.0, 0.5), (10.0, 0.5), (30.0, 0.5), (1.0, 0.9), (3.0, 0.9), (10.0, 0.9), (100.0, 0.9))
 EMPTY_SHARD = (np.zeros(9, np.uint8), 64)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
-THRESHOLDS = np.array(sorted({ceil(BASE**j) for j in range(LEVELS)}), np.int64)
+#: The counts at which levels begin; the last is beyond any 64-bit count.
+THRESHOLDS = np.array(sorted({min(ceil(BASE**j), 2**62) for j in range(108)}), np.int64)
 
 
 def tokens(text: str) -> np.ndarray:
@@ -56,6 +58,11 @@ def pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
         return mix(v * np.uint64(0x9E3779B97F4A7C15) + w)
 
 
+def single(w: np.ndarray) -> np.ndarray:
+    """A word's key beside those of pairs."""
+    return mix(w, 50)
+
+
 class Counted:
     """Sums by key within a task, handed on when there are many."""
 
@@ -76,8 +83,8 @@ class Counted:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
 
 
-def _counts(texts: DataFrame, keys_of) -> DataFrame:
-    """(h, c): how often each key occurs, over all texts."""
+def _task_counts(texts: DataFrame, keys_of) -> DataFrame:
+    """(h, c): how often each key occurs, by task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counted()
@@ -89,7 +96,12 @@ def _counts(texts: DataFrame, keys_of) -> DataFrame:
                     yield full
         yield counted.flush()
 
-    return texts.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(run, "h long, c long")
+
+
+def _counts(texts: DataFrame, keys_of) -> DataFrame:
+    """(h, c): how often each key occurs, over all texts."""
+    return _task_counts(texts, keys_of).groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Head:
@@ -161,13 +173,12 @@ class LogFrequencyBloom:
 
 
 def _head(unigrams: DataFrame, most: int, total: int, kinds: int) -> Head:
-    """All words more frequent than the lowest bound that leaves at most ``most`` of them."""
-    by = sorted(((r[0], r[1]) for r in unigrams.groupBy("c").count().collect()), reverse=True)
-    bound, n = by[0][0] if by else 0, 0
-    for c, k in by:
-        if n + k > most:
-            break
-        n, bound = n + k, c - 1
+    """All words more frequent than the least count that leaves at most ``most`` of them.
+
+    The bound is sought among the thresholds, so the driver sees a number for each of these.
+    """
+    reach = unigrams.agg(*(F.count(F.when(F.col("c") > int(t), 1)) for t in THRESHOLDS)).first()
+    bound = next(int(t) for t, n in zip([0, *THRESHOLDS], [kinds, *reach], strict=True) if n <= most)
     rows = unigrams.where(F.col("c") > bound).toPandas()
     return Head(rows["h"].to_numpy(np.int64).view(np.uint64), rows["c"].to_numpy(np.int64), total, kinds)
 
@@ -177,27 +188,44 @@ def _shard_of(h: str, shards: int) -> Column:
     return F.expr(f"cast(pmod(pmod({h}, {shards}L) + case when {h} < 0 then {2**64 % shards}L else 0L end, {shards}L) as int)")
 
 
-def _filter(pairs: DataFrame, shards: int) -> DataFrame:
-    """(shard, size, bits): each shard is built from its own pairs, SHARD_PAIRS or so."""
+def _filter(learned: DataFrame, shards: int) -> DataFrame:
+    """(shard, size, bits): a filter over the counts of all words and pairs of ``learned`` (text).
+
+    Tasks send their own counts straight to the shard, which sums them up: one shuffle.
+    """
+
+    def keys_of(texts: list[str]) -> np.ndarray:
+        words = [tokens(t) for t in texts]
+        at = np.concatenate(words)
+        return np.concatenate([single(at), pair(_prior(at, np.cumsum([0, *map(len, words[:-1])])), at)])
 
     def build(table: pa.Table) -> pa.Table:
-        h = table.column("h").to_numpy().view(np.uint64)
-        c = table.column("c").to_numpy()
+        h, c = (table.column(x).to_numpy() for x in ("h", "c"))
+        order = np.argsort(h)
+        h, c = h[order], c[order]
+        new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+        h, c = h[new].view(np.uint64), np.add.reduceat(c, new)
         size = max(64, BITS_PER_ENTRY * int(level(c).sum()))
         return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([build_shard(h, c).tobytes()], pa.binary())})
 
-    return pairs.withColumn("shard", _shard_of("h", shards)).groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
+    return _task_counts(learned, keys_of).withColumn("shard", _shard_of("h", shards)).groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
+
 
+def _prior(at: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The token before each one; the end before a text's first."""
+    prior = np.roll(at, 1)
+    prior[first] = END
+    return prior
 
-def _probed(asked: DataFrame, built: DataFrame, shards: int, weights: int, gains) -> DataFrame:
-    """``asked`` with its pairs' scores added, where the filter is too large to be broadcast.
 
-    The pairs go to the task that holds their shard, after the shard itself; a task has one
-    shard in memory at a time.
+def _answers(asked: DataFrame, built: DataFrame, shards: int) -> DataFrame:
+    """(rid, keys, counts): what the filter holds of the keys of ``asked`` (rid, keys), where it is too large to be broadcast.
+
+    Keys go to the task that holds their shard, after the shard itself; a task has one shard in
+    memory at a time.  Keys that the filter lacks are not sent back.
     """
-    each = asked.select("rid", F.inline(F.arrays_zip("pair", "cv", "p"))).groupBy("rid", "pair", "cv", "p").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    probes = each.select(_shard_of("pair", shards).alias("shard"), F.lit(1).alias("kind"), "rid", "pair", "cv", "p", "n", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("bits"))
-    held = built.select("shard", F.lit(0).alias("kind"), *(F.lit(None).cast(t).alias(c) for c, t in (("rid", "long"), ("pair", "long"), ("cv", "double"), ("p", "double"), ("n", "double"))), "size", "bits")
+    probes = asked.select("rid", F.explode("keys").alias("h")).select(_shard_of("h", shards).alias("shard"), F.lit(1).alias("kind"), "rid", "h", F.lit(None).cast("long").alias("size"), F.lit(None).cast("binary").alias("bits"))
+    held = built.select("shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("rid"), F.lit(None).cast("long").alias("h"), "size", "bits")
     meet = probes.unionByName(held).repartition("shard").sortWithinPartitions("shard", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,19 +235,14 @@ def _probed(asked: DataFrame, built: DataFrame, shards: int, weights: int, gains
             edges = np.flatnonzero(np.concatenate([[True], (shard[1:] != shard[:-1]) | (kind[1:] != kind[:-1])]))
             for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(shard)], strict=True):
                 if kind[lo] == 0:
-                    now, bloom = shard[lo], LogFrequencyBloom([(np.frombuffer(b.column(8)[lo].as_py(), np.uint8), b.column(7)[lo].as_py())])
-                    continue
-                own = b.slice(lo, hi - lo)
-                h = own.column(3).to_numpy().view(np.uint64)
-                c = bloom.count(h) if shard[lo] == now else np.zeros(len(h), np.int64)
-                n = own.column(6).to_numpy()
-                s, w = (x * n for x in gains(c, own.column(4).to_numpy(), own.column(5).to_numpy()))
-                yield pa.RecordBatch.from_arrays([own.column(2), *(pa.array(x.T.tolist(), pa.list_(pa.float64())) for x in (s, w))], ["rid", "s", "w"])
+                    now, bloom = shard[lo], LogFrequencyBloom([(np.frombuffer(b.column(5)[lo].as_py(), np.uint8), b.column(4)[lo].as_py())])
+                elif shard[lo] == now:
+                    h = b.column(3).slice(lo, hi - lo).to_numpy()
+                    c = bloom.count(h.view(np.uint64))
+                    yield pa.RecordBatch.from_arrays([b.column(2).slice(lo, hi - lo).filter(pa.array(c > 0)), pa.array(h[c > 0]), pa.array(c[c > 0])], ["rid", "h", "c"])
 
-    added = meet.mapInArrow(run, "rid long, s array<double>, w array<double>")
-    sums = added.groupBy("rid").agg(*(F.sum(F.col(x)[k]).alias(f"{x}{k}") for x in "sw" for k in range(weights)))
-    plus = lambda old, x: F.array(*(F.col(old)[k] + F.coalesce(f"{x}{k}", F.lit(0.0)) for k in range(weights)))
-    return asked.join(sums, "rid", "left").select("doc_id", "base", "n_tokens", "known", plus("scores", "s").alias("scores"), plus("without", "w").alias("without"), "rare")
+    found = meet.mapInArrow(run, "rid long, h long, c long")
+    return found.groupBy("rid").agg(F.collect_list(F.struct("h", "c")).alias("x")).select("rid", F.col("x.h").alias("keys"), F.col("x.c").alias("counts"))
 
 
 def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str = "text", head_words: int = HEAD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -229,10 +252,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     Null and empty texts are the end alone.  Repeated rows are scored and counted as often as
     they occur.  Without training rows every known count is 0 and the base is 0.5 / 0.5.
 
-    Shuffled: a row for each word and each pair of frequent words and task, and the rare words of
-    each text.  Broadcast: at most ``head_words`` words, and the filter up to
-    ``broadcast_bytes``; a larger one is probed shard by shard, with the pairs of texts shuffled to
-    the shards.
+    Shuffled: a row for each word and each pair and task, and the rare words of each text.
+    Broadcast: at most ``head_words`` words, and the filter up to ``broadcast_bytes``; a larger
+    one is probed shard by shard, with the keys of texts shuffled to the shards.
     """
     spark = docs.sparkSession
     rows = documents(docs, id_col, text_col)
@@ -240,63 +262,62 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     unigrams = stage(_counts(learned, lambda texts: np.concatenate([tokens(t) for t in texts])), "unigrams")
     total, kinds = (int(x or 0) for x in unigrams.agg(F.sum("c"), F.count(F.lit(1))).first())
     head = spark.sparkContext.broadcast(_head(unigrams, head_words, total, kinds))
-
-    def pairs_of(texts: list[str]) -> np.ndarray:
-        words = [tokens(t) for t in texts]
-        at = np.concatenate(words)
-        ok, prior = head.value.find(at) >= 0, np.roll(at, 1)
-        first = np.cumsum([0, *map(len, words[:-1])])
-        prior[first] = END
-        known = np.roll(ok, 1)
-        known[first] = head.value.find(np.array([END]))[0] >= 0
-        ok &= known
-        return pair(prior[ok], at[ok])
-
-    pairs = stage(_counts(learned, pairs_of), "pairs")
-    shards = max(1, ceil(pairs.count() / SHARD_PAIRS))
-    built = stage(_filter(pairs, shards), "filter")
+    shards = max(1, ceil(total / SHARD_TOKENS))
+    built = stage(_filter(learned, shards), "filter")
     nbytes = int(built.agg(F.sum(F.length("bits"))).first()[0] or 0)
-    mus = np.array(WEIGHTS)
+    share, power = np.array(WEIGHTS).T[:, :, None]
 
     def gains(c: np.ndarray, cv: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 of each pair's probability, by weight; and without its own count."""
-        m = mus[:, None]
-        return np.log10((c + m * p) / (cv + m)), np.log10((np.maximum(c - 1, 0) + m * p) / (np.maximum(cv - 1, 0) + m))
+        return tuple(np.log10((x + m * p) / (n + m)) for x, n in ((c, cv), (np.maximum(c - 1, 0), np.maximum(cv - 1, 0))) for m in (share * np.maximum(n, 1) ** power,))
 
-    def parts(texts: list[str], count) -> dict[str, list]:
-        """What is known of each text: its base, tokens, known tokens, rare words, and, given ``count``,
-        its scores by weight, as they are and without each pair's own count; else the pairs' figures."""
-        h, words = head.value, [tokens(t) for t in texts]
+    def laid_out(texts: list[str]) -> tuple[np.ndarray, ...]:
+        """Tokens, their text, text sizes, places among the frequent words, priors, and different keys asked of the filter."""
+        words = [tokens(t) for t in texts]
         sizes = np.array([len(w) for w in words])
-        at, doc, first = np.concatenate(words), np.repeat(np.arange(len(texts)), sizes), np.cumsum(sizes) - sizes
-        total = lambda of, x: np.bincount(of, x, len(texts))
-        i = h.find(at)
-        before, prior = np.roll(i, 1), np.roll(at, 1)
-        before[first], prior[first] = h.find(np.array([END]))[0], END
+        at, doc = np.concatenate(words), np.repeat(np.arange(len(texts)), sizes)
+        return at, doc, sizes, head.value.find(at), _prior(at, np.cumsum(sizes) - sizes)
+
+    def asked_of(texts: list[str]) -> dict[str, list]:
+        at, doc, _, i, prior = laid_out(texts)
+        rare = at[i < 0]
+        keys, owner = np.concatenate([pair(prior, at), single(rare)]), np.concatenate([doc, doc[i < 0]])
+        return {"keys": [np.unique(keys[owner == k]).view(np.int64) for k in range(len(texts))]}
+
+    def parts(texts: list[str], count) -> dict[str, list]:
+        """What is known of each text: its base, tokens, known tokens, rare words, and its scores by
+        weight, as they are and without each pair's own count.  ``count`` reads the filter."""
+        h = head.value
+        at, doc, sizes, i, prior = laid_out(texts)
+        total_of = lambda of, x: np.bincount(of, x, len(texts))
         logs = np.where(i >= 0, np.log10(h.p[i]), 0.0) if len(h.p) else np.zeros(len(at))
-        both, lone = (i >= 0) & (before >= 0), (i < 0) & (before >= 0)
-        scores = np.zeros((2, len(mus), len(texts)))
-        scores += total(doc[before < 0], logs[before < 0])
-        for less in (0, 1):
-            after = np.maximum(h.counts[before[lone]] - less, 0)
-            for k, mu in enumerate(mus):
-                scores[less, k] += total(doc[lone], np.log10(mu / (after + mu)))
-        keys, owner = pair(prior[both], at[both]), doc[both]
-        cv, p = (h.counts[before[both]], h.p[i[both]]) if len(h.p) else (np.zeros(0), np.zeros(0))
-        if count:
-            for lo in range(0, len(keys), SLICE):
-                part = slice(lo, lo + SLICE)
-                different, where, back = np.unique(keys[part], return_index=True, return_inverse=True)  # frequent pairs are looked up once
-                for less, g in enumerate(gains(count(different), cv[part][where], p[part][where])):
-                    for k in range(len(mus)):
-                        scores[less, k] += total(owner[part], g[k][back])
+        # the words of these texts: least and most that each may have occurred
+        kinds_here, back = np.unique(np.concatenate([at, np.array([END])]), return_inverse=True)
+        place = h.find(kinds_here)
+        least, most = np.zeros(len(kinds_here)), np.zeros(len(kinds_here))
+        frequent = place >= 0
+        if len(h.p):
+            least[frequent] = most[frequent] = h.counts[place[frequent]]
+        read = count(single(kinds_here[~frequent]))
+        least[~frequent], most[~frequent] = read, np.where(read > 0, THRESHOLDS[np.searchsorted(THRESHOLDS, read, "right")] - 1, 0)
+        p_of = (least + 0.5) / (total + 0.5 * (kinds + 1))
+        before = np.roll(back[:-1], 1)
+        before[np.cumsum(sizes) - sizes] = back[-1]
+        scores = np.zeros((2, len(WEIGHTS), len(texts)))
+        keys = pair(prior, at)
+        for lo in range(0, len(keys), SLICE):
+            part = slice(lo, lo + SLICE)
+            different, where, again = np.unique(keys[part], return_index=True, return_inverse=True)  # frequent pairs are looked up once
+            for less, g in enumerate(gains(count(different), most[before[part][where]], p_of[back[:-1][part][where]])):
+                for k in range(len(WEIGHTS)):
+                    scores[less, k] += total_of(doc[part], g[k][again])
         split = lambda x, of: np.split(x, np.searchsorted(of, np.arange(1, len(texts))))
-        out = {"base": total(doc, logs).tolist(), "n_tokens": sizes.tolist(), "known": total(doc, i >= 0).astype(int).tolist(), "rare": split(at[i < 0].view(np.int64), doc[i < 0]), "scores": scores[0].T.tolist(), "without": scores[1].T.tolist()}
-        return out if count else out | {"pair": split(keys.view(np.int64), owner), "cv": split(cv, owner), "p": split(p, owner)}
+        return {"base": total_of(doc, logs).tolist(), "n_tokens": sizes.tolist(), "known": total_of(doc, i >= 0).astype(int).tolist(), "rare": split(at[i < 0].view(np.int64), doc[i < 0]), "scores": scores[0].T.tolist(), "without": scores[1].T.tolist()}
 
-    def scored(count, schema: str) -> object:
+    def mapped(of, schema: str) -> object:
+        """A task that calls ``of`` with a few texts at a time and the rows they come from."""
         kinds_of = {"double": pa.float64(), "long": pa.int64(), "array<double>": pa.list_(pa.float64()), "array<bigint>": pa.list_(pa.int64())}
-        fields = [f.split() for f in schema.split(", ")][1:]
+        (first, _), *fields = (f.split() for f in schema.split(", "))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -307,23 +328,37 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
                     while end < len(texts) and (end == at or size + len(texts[end]) <= 4 * SLICE):
                         size += len(texts[end])
                         end += 1
-                    got = parts(texts[at:end], count)
-                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *(pa.array(got[name], kinds_of[kind]) for name, kind in fields)], ["doc_id", *(name for name, _ in fields)])
+                    got = of(texts[at:end], b.slice(at, end - at))
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(at, end - at), *(pa.array(got[name], kinds_of[kind]) for name, kind in fields)], [first, *(name for name, _ in fields)])
                     at = end
 
         return run
 
+    def told(b: pa.RecordBatch):
+        """A reader of the answers that came with some texts."""
+        keys, counts = (np.concatenate([np.zeros(0, np.int64), *(np.asarray(x or [], np.int64) for x in b.column(k).to_pylist())]) for k in (2, 3))
+        keys, where = np.unique(keys.view(np.uint64), return_index=True)
+        counts = counts[where]
+
+        def count(h: np.ndarray) -> np.ndarray:
+            if not len(keys):
+                return np.zeros(len(h), np.int64)
+            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            return np.where(keys[at] == h, counts[at], 0)
+
+        return count
+
     schema = "doc_id long, base double, n_tokens long, known long, scores array<double>, without array<double>, rare array<bigint>"
     if nbytes <= broadcast_bytes:
         found = {r["shard"]: (np.frombuffer(r["bits"], np.uint8), r["size"]) for r in built.toLocalIterator()}
         bloom = spark.sparkContext.broadcast(LogFrequencyBloom([found.get(s, EMPTY_SHARD) for s in range(shards)] if found else []))
-        out = rows.mapInArrow(scored(lambda h: bloom.value.count(h), schema), schema)
+        out = rows.mapInArrow(mapped(lambda texts, _: parts(texts, bloom.value.count), schema), schema)
     else:
-        with_pairs = schema + ", pair array<bigint>, cv array<double>, p array<double>"
-        asked = stage(rows.mapInArrow(scored(None, with_pairs), with_pairs).withColumn("rid", F.monotonically_increasing_id()), "asked")
-        out = _probed(asked, built, shards, len(mus), gains)
+        kept = stage(rows.withColumn("rid", F.monotonically_increasing_id()), "texts")
+        asked = kept.select("rid", "text").mapInArrow(mapped(lambda texts, _: asked_of(texts), "rid long, keys array<bigint>"), "rid long, keys array<bigint>")
+        out = kept.join(_answers(asked, built, shards), "rid", "left").select("doc_id", "text", "keys", "counts").mapInArrow(mapped(lambda texts, b: parts(texts, told(b)), schema), schema)
     out = stage(out.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "base", "n_tokens", "known", "scores", "without", "rare"), "scored")
-    best = out.where(train).agg(*(F.sum(F.col("without")[k]) for k in range(len(mus)))).first()
+    best = out.where(train).agg(*(F.sum(F.col("without")[k]) for k in range(len(WEIGHTS)))).first()
     k = int(np.argmax([x if x is not None else 0.0 for x in best]))
     # rare words: their exact counts by a join, summed up for each text
     rare = out.select("rid", F.explode("rare").alias("h")).groupBy("rid", "h").agg(F.count(F.lit(1)).alias("n"))
@@ -337,5 +372,5 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + log_rest).alias("base_score"),
-        (F.col("scores")[k] + log_rest).alias("score"),
+        F.col("scores")[k].alias("score"),
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import collections
 import hashlib
 import itertools
@@ -253,6 +254,39 @@ def test_lm_filter_probed_by_shard_gives_the_same(docs):
     assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+@pytest.mark.parametrize("head_words", [0, 500])
+def test_lm_score_against_exact_counts(spark, docs, texts, head_words):
+    """The score by plain dictionaries of quantised counts, by the one of the weights that fits best."""
+    train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs, train, head_words=head_words).collect()}
+    toks = {i: [None, *t.encode().lower().split(), None] for i, t in texts.items()}
+    known = [v for i, v in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1]
+    one = collections.Counter(w for v in known for w in v[1:])
+    two = collections.Counter(x for v in known for x in itertools.pairwise(v))
+    total, kinds, steps = sum(one.values()), len(one), lm.THRESHOLDS.tolist()
+    bound = next(t for t in [0, *steps] if sum(k > t for k in one.values()) <= head_words)
+    exact = {w for w, c in one.items() if c > bound}
+
+    def down(c):
+        return steps[bisect.bisect_right(steps, c) - 1] if c else 0
+
+    def up(c):
+        return steps[bisect.bisect_right(steps, c)] - 1 if c else 0
+
+    def score(v, share, power):
+        s = 0.0
+        for a, w in itertools.pairwise(v):
+            p = ((one[w] if w in exact else down(one[w])) + 0.5) / (total + 0.5 * (kinds + 1))
+            n = one[a] if a in exact else up(one[a])
+            m = share * max(n, 1) ** power
+            s += math.log10((down(two[a, w]) + m * p) / (n + m))
+        return s
+
+    some = sorted(i for i in toks if len(toks[i]) < 300)[:40]
+    off = {x: sum(abs(score(toks[i], *x) - got[i]) / len(toks[i]) for i in some) / len(some) for x in lm.WEIGHTS}
+    assert min(off.values()) < 0.01  # false positives of the filter are all that is left
+
+
 def test_log_frequency_filter():
     rng = np.random.default_rng(0)
     h, c = rng.integers(0, 2**63, 5000).astype(np.uint64), rng.geometric(0.2, 5000)
