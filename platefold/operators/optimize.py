@@ -2,8 +2,9 @@
 
 Meals are built level by level: a meal of k + 1 items is one of k items joined with an item of
 the same restaurant that does not come before its last one and keeps the totals feasible.  Each
-level is one equi-join with a residual range condition.  Meals are dealt out by restaurant and
-first item, and each task keeps its own best before they meet by restaurant.
+level is one equi-join with a residual range condition.  The best scores so far are kept, a few
+for each restaurant: a meal that stays below them is not made at the last level and, where the
+search is pruned, not extended before.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from ..staging import settle
 
 #: How far a single item may exceed a binding macro to be looked at, and what it must hold.
 SLACK, LEAST_PROTEIN, LEAST_CARBS = 1.3, 1, 1
+#: Items up to which all are broadcast (a few tens of bytes each), and parts of a restaurant beyond that.
+BROADCAST_ITEMS, SALTS = 200_000, 16
 
 
 def effective(target: Target, prefs: Preferences) -> dict[str, float]:
@@ -54,9 +57,9 @@ def _window(key: str, *order):
     return Window.partitionBy(key).orderBy(*order)
 
 
-def score(eff: dict[str, float], prefs: Preferences, totals: str = "") -> Column:
+def score(eff: dict[str, float], prefs: Preferences, of=F.col) -> Column:
     """How full the effective targets are, each 1 at most; a macro of weight 0 counts for nothing."""
-    parts = [F.least(F.col(totals + m) / F.lit(max(eff[m], 1.0)), F.lit(1.0)) if prefs[m].weight > 0 else F.lit(0.0) for m in MACROS]
+    parts = [F.least(of(m) / F.lit(max(eff[m], 1.0)), F.lit(1.0)) if prefs[m].weight > 0 else F.lit(0.0) for m in MACROS]
     return reduce(lambda a, b: a + b, parts)
 
 
@@ -78,38 +81,77 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
     if not 1 <= max_items <= 5:
         raise ValueError("max_items must be 1 to 5")
     eff = effective(target, prefs)
-    cand = candidates(items, target, prefs)
-    if prune or max_frontier:
-        cand = settle(cand)
+    cand = settle(candidates(items, target, prefs))
     side = cand.select(F.col("restaurant"), F.col("i").alias("j"), *(F.col(m).alias(f"add_{m}") for m in MACROS))
+    # meals are spread by their last item; items go to all of them, by broadcast or by a copy for each salt
+    small = cand.count() <= BROADCAST_ITEMS
+    salt = F.pmod("last", F.lit(SALTS))
+    side = F.broadcast(side) if small else side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     level = cand.select("restaurant", F.array("i").alias("path"), F.col("i").alias("last"), *MACROS, F.lit(False).alias("cut")).where(feasible(eff, prefs, F.col))
-    # meals are spread by their first item, so that a large menu is not searched in one task
-    level = level.repartition("restaurant", "last")
-    levels = [level]
-    most = cand.groupBy("restaurant").agg(*(F.max(m).alias(f"most_{m}") for m in MACROS))
+    # a number of parts of its own: a few rows make many pairs, so parts must not be put together by size
+    parts = 4 * max(cand.sparkSession.sparkContext.defaultParallelism, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
+    best = settle(_best(level.withColumn("score", score(eff, prefs)).withColumn("n", F.lit(1)), top))
+    most = _reach(cand, eff, prefs)
+    total = lambda m: F.col(m) + F.col(f"add_{m}")
     for k in range(1, max_items):
+        last = k == max_items - 1
+        floor = best.groupBy("restaurant").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
         if prune or max_frontier:
-            level = levels[-1] = settle(level)
-            level = _bounded(level, levels, most, eff, prefs, max_items - k, top if prune else None, max_frontier)
-        fits = feasible(eff, prefs, lambda m: F.col(m) + F.col(f"add_{m}"))
-        level = level.join(side, "restaurant").where((F.col("j") >= F.col("last")) & fits)
-        level = level.select("restaurant", F.concat("path", F.array("j")).alias("path"), F.col("j").alias("last"), *((F.col(m) + F.col(f"add_{m}")).alias(m) for m in MACROS), "cut")
-        levels.append(level)
-    found = reduce(DataFrame.unionByName, levels).withColumn("score", score(eff, prefs)).withColumn("n", F.size("path"))
-    ranked = found.withColumn("rank", F.row_number().over(_window("restaurant", F.desc("score"), "n", "path"))).where(F.col("rank") <= top)
+            level = _bounded(level, floor, most, eff, prefs, max_items - k, prune, max_frontier)
+        known = level.join(F.broadcast(floor) if small else floor, "restaurant", "left").repartition(parts, "restaurant", "last")
+        made = (known if small else known.withColumn("salt", salt.cast("int"))).join(side, "restaurant" if small else ["restaurant", "salt"])
+        made = made.where((F.col("j") >= F.col("last")) & feasible(eff, prefs, total))
+        if last:
+            made = made.where(F.col("floor").isNull() | (score(eff, prefs, of=total) >= F.col("floor")))
+        level = made.select("restaurant", F.concat("path", F.array("j")).alias("path"), F.col("j").alias("last"), *(total(m).alias(m) for m in MACROS), "cut")
+        if not last:
+            level = settle(level)
+        scored = level.withColumn("score", score(eff, prefs)).withColumn("n", F.lit(k + 1))
+        # only what reaches the best so far need be ranked
+        reach = scored.join(F.broadcast(floor) if small else floor, "restaurant", "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).select(*best.columns)
+        best = settle(_best(best.unionByName(reach), top))
+    ranked = best.withColumn("rank", F.row_number().over(_window("restaurant", F.desc("score"), "n", "path")))
     accuracy = {m: F.abs(F.col(m) - F.lit(float(target[m]))) / F.lit(max(float(target[m]), 1.0)) for m in MACROS}
     mean = reduce(lambda a, b: a + b, accuracy.values()) / 4
     return ranked.select("restaurant", "rank", "path", "n", *MACROS, "score", *(a.alias(f"{m}_off") for m, a in accuracy.items()), mean.alias("avg_accuracy"), F.col("cut").alias("truncated"))
 
 
-def _bounded(level: DataFrame, levels: list[DataFrame], most: DataFrame, eff, prefs, slots: int, top: int | None, max_frontier: int | None) -> DataFrame:
-    """The meals of ``level`` that are worth extending."""
-    upper = reduce(lambda a, b: a + b, [F.least((F.col(m) + slots * F.col(f"most_{m}")) / F.lit(max(eff[m], 1.0)), F.lit(1.0)) if prefs[m].weight > 0 else F.lit(0.0) for m in MACROS])
-    open_ = level.join(most, "restaurant").withColumn("upper", upper)
-    if top:
-        best = reduce(DataFrame.unionByName, levels).withColumn("score", score(eff, prefs)).select("restaurant", "score")
-        nth = best.withColumn("r", F.row_number().over(_window("restaurant", F.desc("score")))).where(F.col("r") == top).select("restaurant", F.col("score").alias("floor"))
-        open_ = open_.join(nth, "restaurant", "left").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
+def _best(scored: DataFrame, top: int) -> DataFrame:
+    """The ``top`` meals of each restaurant by score, then fewer items, then path."""
+    ranked = scored.withColumn("r", F.row_number().over(_window("restaurant", F.desc("score"), "n", "path"))).where(F.col("r") <= top)
+    return ranked.select("restaurant", "path", "last", *MACROS, "cut", "score", "n")
+
+
+def _reach(cand: DataFrame, eff, prefs) -> DataFrame:
+    """(restaurant, last, most_*, rate_*): the most that an item from ``last`` on holds of each macro, and of each for a calorie."""
+    from pyspark.sql import Window
+
+    after = Window.partitionBy("restaurant").orderBy(F.desc("i"))
+    most = [F.max(m).over(after).cast("double").alias(f"most_{m}") for m in MACROS]
+    # an item without calories but with some of a macro has no rate: the calories then tell nothing
+    rates = [F.max(F.when(F.col(m) <= 0, 0.0).when(F.col("calories") > 0, F.col(m) / F.col("calories")).otherwise(float("inf"))).over(after).alias(f"rate_{m}") for m in MACROS]
+    return settle(cand.select("restaurant", F.col("i").alias("last"), *most, *rates))
+
+
+def _bounded(level: DataFrame, floor: DataFrame, most: DataFrame, eff, prefs, slots: int, prune: bool, max_frontier: int | None) -> DataFrame:
+    """The meals of ``level`` that are worth extending.
+
+    What ``slots`` more items can add to a macro is bounded by the most that one holds and, where
+    calories bind, by the calories left times the most of it for a calorie; only items from the
+    meal's last one on count.
+    """
+    left = F.lit(eff["calories"]) - F.col("calories")
+    parts = []
+    for m in MACROS:
+        if prefs[m].weight <= 0:
+            continue
+        more = slots * F.col(f"most_{m}")
+        if prefs["calories"].binding:
+            more = F.least(more, F.when(left <= 0, F.when(F.col(f"rate_{m}") == float("inf"), more).otherwise(0.0)).otherwise(left * F.col(f"rate_{m}")))
+        parts.append(F.least((F.col(m) + more) / F.lit(max(eff[m], 1.0)), F.lit(1.0)))
+    open_ = level.join(most, ["restaurant", "last"]).withColumn("upper", reduce(lambda a, b: a + b, parts, F.lit(0.0)) + F.lit(1e-9))
+    if prune:
+        open_ = open_.join(floor, "restaurant", "left").where(F.col("floor").isNull() | (F.col("upper") >= F.col("floor")))
     if max_frontier:
         open_ = open_.withColumn("r", F.row_number().over(_window("restaurant", F.desc("upper"), "path")))
         open_ = open_.withColumn("cut", F.expr(f"cut or max(r) over (partition by restaurant) > {max_frontier}")).where(F.col("r") <= max_frontier)

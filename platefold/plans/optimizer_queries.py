@@ -57,6 +57,10 @@ def top_combos_unpruned(spark, sf_dir):
     return _shown(_combos(spark, sf_dir, prune=False))
 
 
+def top_combos_five_items(spark, sf_dir):
+    return _shown(_combos(spark, sf_dir, items=5))
+
+
 def top_combos_weighted(spark, sf_dir):
     return _shown(_combos(spark, sf_dir, WEIGHTED))
 
@@ -78,7 +82,7 @@ def combo_item_quantities(spark, sf_dir):
 
 
 def swap_suggestions(spark, sf_dir):
-    return optimize.swap_suggestions(menu(spark, sf_dir), TARGET, SWAP_TOTAL, SWAP_MEAL, max_items=2)
+    return optimize.swap_suggestions(menu(spark, sf_dir), TARGET, SWAP_TOTAL, SWAP_MEAL, max_items=3)
 
 
 def candidate_order(spark, sf_dir):
@@ -89,18 +93,19 @@ def candidate_maxima(spark, sf_dir):
     return optimize.candidates(menu(spark, sf_dir), TARGET).groupBy("restaurant").agg(*(F.max(m).alias(f"most_{m}") for m in MACROS))
 
 
-QUERIES = {f.__name__: f for f in (top_combos_per_menu, top_combos_unpruned, top_combos_weighted, top_combos_overflow, top_combos_zero_weight, rank_menus_by_accuracy, combo_item_quantities, swap_suggestions, candidate_order, candidate_maxima)}
+QUERIES = {f.__name__: f for f in (top_combos_per_menu, top_combos_five_items, top_combos_unpruned, top_combos_weighted, top_combos_overflow, top_combos_zero_weight, rank_menus_by_accuracy, combo_item_quantities, swap_suggestions, candidate_order, candidate_maxima)}
 _WIDE = optimize.widened(TARGET, SWAP_TOTAL)
 SQL = {
     "top_combos_per_menu": f"{_sql()} {SHOWN}",
     "top_combos_unpruned": f"{_sql()} {SHOWN}",
+    "top_combos_five_items": f"{_sql(items=5)} {SHOWN}",
     "top_combos_weighted": f"{_sql(WEIGHTED)} {SHOWN}",
     "top_combos_overflow": f"{_sql(OVERFLOW, items=2)} {SHOWN}",
     "top_combos_zero_weight": f"{_sql(ZERO, items=2)} {SHOWN}",
     "rank_menus_by_accuracy": f"{_sql()} select restaurant, round(avg_accuracy, 9) as avg_accuracy, row_number() over (order by avg_accuracy, restaurant) as place from best where rank = 1",
     "combo_item_quantities": f"""{_sql()}, each as (select restaurant, rank, unnest(path) as i, generate_subscripts(path, 1) - 1 as pos from best)
         select e.restaurant, e.rank, c.name, count(*) as quantity, min(e.pos) as first_pos from each e join cand c using (restaurant, i) group by 1, 2, 3""",
-    "swap_suggestions": f"""{_sql(target=_WIDE, items=2, top=10)}, each as (select restaurant, rank, unnest(path) as i, generate_subscripts(path, 1) as pos from best),
+    "swap_suggestions": f"""{_sql(target=_WIDE, items=3, top=10)}, each as (select restaurant, rank, unnest(path) as i, generate_subscripts(path, 1) as pos from best),
         firsts as (select e.restaurant, c.name, min(row(e.rank, e.pos)) as spot from each e join cand c using (restaurant, i) group by 1, 2),
         placed as (select *, row_number() over (partition by restaurant order by spot) as place from firsts)
         select restaurant, place, name from placed where place <= 10 and name not in ('part_1', 'part_2')""",

@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """``df``, computed and kept in the shared checkpoint folder (one of our own only in local mode, where none is set)."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if base is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        sc.setCheckpointDir(base or f"file://{tempfile.mkdtemp(prefix='platefold-')}")
-    return df.checkpoint()
+    """``df``, written once to the shared checkpoint folder and read back (a folder of our own only in local mode, where none is set)."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if base is None:
+        base = f"file://{tempfile.mkdtemp(prefix='platefold-')}"
+        spark.sparkContext.setCheckpointDir(base)
+    path = f"{base.rstrip('/')}/platefold-settled-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
