@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import exprs
 from ..macros import MACROS
@@ -45,13 +47,29 @@ def segments_on_reset(rows: DataFrame, doc: str, order: str, serves: str) -> Dat
 def resolve_collisions(items: DataFrame) -> DataFrame:
     """Items (restaurant, item_seq, name, category, macros) with ``final_name``, unique in a restaurant.
 
-    Of one name's items, those with macros that an earlier one has are dropped.  If a later
-    item's category is given and differs from the first one's, which is given too, then at the
-    first such item both get their category in parentheses.  All other later items are
-    numbered from 2 in order.
+    Of one name's items, those with macros that an earlier one has are dropped; missing macros
+    are equal to missing ones only.  If a later item's category is given and differs from the first
+    one's, which is given too, then at the first such item both get their category in
+    parentheses.  All other later items are numbered from 2 in order, by the next free number.
+
+    Names that already end in parentheses belong to the family of the name before them: their
+    items count as earlier variants, and their numbers are taken.  Such families, rare and
+    small, are named one item after the other; all others by windows.
     """
-    macros = F.concat_ws("|", *MACROS)
-    rows = keep_first(items.withColumn("_m", macros), [*FAMILY, "_m"], "item_seq").drop("_m")
+    base = F.substring_index("name", " (", 1)
+    rows = items.withColumn("_base", base)
+    odd = rows.where((F.col("name") != F.col("_base")) | F.col("category").rlike(r"^\d+$")).select("restaurant", "_base").distinct()
+    plain = _numbered(rows.join(odd, ["restaurant", "_base"], "left_anti").drop("_base"))
+    if odd.isEmpty():
+        return plain
+    mixed = rows.join(odd, ["restaurant", "_base"], "left_semi")
+    named = mixed.groupBy("restaurant", "_base").applyInPandas(_named_in_order, T.StructType([*items.schema.fields, T.StructField("final_name", T.StringType())]))
+    return plain.unionByName(named)
+
+
+def _numbered(items: DataFrame) -> DataFrame:
+    """Final names of families whose names have no parentheses."""
+    rows = keep_first(items, [*FAMILY, *MACROS], "item_seq")
     family = Window.partitionBy(*FAMILY).orderBy("item_seq")
     whole = Window.partitionBy(*FAMILY)
     rows = rows.withColumn("_k", F.row_number().over(family)).withColumn("_c1", F.first("category").over(family))
@@ -65,6 +83,33 @@ def resolve_collisions(items: DataFrame) -> DataFrame:
     return rows.withColumn("final_name", final).drop("_k", "_c1", "_s", "_n")
 
 
+def _named_in_order(family: pd.DataFrame) -> pd.DataFrame:
+    """One family's items, each named after all before it."""
+    family = family.sort_values("item_seq", kind="stable")
+    held: dict[str, int] = {}  # final name: row
+    told = lambda x: None if pd.isna(x) else x
+    macros = [tuple(map(told, m)) for m in family[list(MACROS)].itertuples(index=False)]
+    names, kinds = family["name"].tolist(), [told(c) for c in family["category"]]
+    for row, name in enumerate(names):
+        variants = [x for x in held if x == name or x.startswith(f"{name} (") and x.endswith(")") and len(x) > len(name) + 3]
+        if any(macros[held[x]] == macros[row] for x in variants):
+            continue
+        first = held.get(name)
+        if not variants:
+            held[name] = row
+        elif first is not None and kinds[first] and kinds[row] and kinds[first] != kinds[row]:
+            held[f"{name} ({kinds[first]})"] = held.pop(name)
+            held[f"{name} ({kinds[row]})"] = row
+        else:
+            n = 2
+            while f"{name} ({n})" in held:
+                n += 1
+            held[f"{name} ({n})"] = row
+    final = {row: name for name, row in held.items()}
+    kept = family.iloc[sorted(final)].drop(columns="_base")
+    return kept.assign(final_name=[final[row] for row in sorted(final)])
+
+
 def stamp_variants(items: DataFrame) -> DataFrame:
     """Add variant_of, variant_label and variant_option where a group has several rows and options.
 

@@ -162,16 +162,42 @@ def wrapped_rows(spark, sf_dir):
     return layout.attach_wrapped(l).select("doc_id", "y", "row")
 
 
-@query(f"with m as ({MENU_SQL}) select restaurant, count(*) filter (where item_seq % 2 = 0) = 2 as valid from m group by 1")
+GROUPS = [("g", None, 1, "exactly", 2), ("h", "c0", 1, "one", None), ("k", "c1", 1, "many", None)]
+TREE = "group_id string, parent_choice_id string, ord int, selection string, count int"
+
+
+VALIDITY = f"""with m as ({MENU_SQL}), g as (select restaurant, count(*) n, bool_or(item_seq % 3 = 0) zero, bool_or(item_seq % 3 = 1) one, {", ".join(f"sum({x}) {x}" for x in MACROS)} from m where item_seq % 29 = 0 group by 1),
+    h as (select restaurant, count(*) n, {", ".join(f"sum({x}) {x}" for x in MACROS)} from m where item_seq % 31 = 0 group by 1),
+    k as (select restaurant, {", ".join(f"sum({x}) {x}" for x in MACROS)} from m where item_seq % 37 = 0 group by 1)
+    select r.restaurant, coalesce(g.n, 0) = 2 and (not coalesce(zero, false) or coalesce(h.n, 0) = 1) as valid,
+        {", ".join(f"(coalesce(g.{x}, 0) + case when zero then coalesce(h.{x}, 0) else 0 end + case when one then coalesce(k.{x}, 0) else 0 end)::bigint as {x}" for x in MACROS)}
+    from (select distinct restaurant from m) r left join g using (restaurant) left join h using (restaurant) left join k using (restaurant)"""
+
+
+@query(VALIDITY)
 def build_validity(spark, sf_dir):
     m = menu(spark, sf_dir)
-    picks = m.where("item_seq % 2 = 0").select("restaurant", F.lit("g").alias("group_id"))
-    n = m.select("restaurant").distinct().join(picks.groupBy("restaurant").agg(F.count(F.lit(1)).alias("n")), "restaurant", "left")
-    return n.select("restaurant", (F.coalesce("n", F.lit(0)) == 2).alias("valid"))
+    picks = m.where("item_seq % 29 = 0").withColumn("group_id", F.lit("g"))
+    for n, g in ((31, "h"), (37, "k")):
+        picks = picks.unionByName(m.where(f"item_seq % {n} = 0").withColumn("group_id", F.lit(g)))
+    picks = picks.select(F.col("restaurant").alias("build"), "group_id", F.expr("case when group_id = 'g' then concat('c', item_seq % 3) else concat(group_id, item_seq) end").alias("choice_id"), *MACROS)
+    return tree.valid_picks(spark.createDataFrame(GROUPS, TREE), picks, m.select(F.col("restaurant").alias("build"))).withColumnRenamed("build", "restaurant")
 
 
-@query()
+@query(f"with v as ({VALIDITY}) select * exclude (valid) from v where valid")
 def build_picks(spark, sf_dir):
-    groups = spark.createDataFrame([("a", "one", None), ("b", "exactly", 2), ("c", "many", None)], "group_id string, selection string, count int")
-    picks = menu(spark, sf_dir).where("item_seq <= 3").select(F.expr("case when item_seq = 1 then 'a' else 'b' end").alias("group_id"), *MACROS)
-    return tree.valid_picks(groups, picks)
+    """What valid builds add up to."""
+    return build_validity(spark, sf_dir).where("valid").drop("valid")
+
+
+@query("""with l as (select p_partkey as meal, [['Rice', 'Beans', 'Corn', 'Hot'][1 + p_partkey % 4], ['Rice', 'Beans', 'Corn', 'Hot'][1 + p_partkey // 4 % 4], ['Rice', 'Beans', 'Corn', 'Mild'][1 + p_partkey // 16 % 4]] as t from part)
+    select meal, 0 as depth, 'a' as group_id, 'a-' || t[1] as choice_id from l where t[1] in ('Rice', 'Beans')
+    union all select distinct meal, 0, 'b', 'b-' || x from (select meal, unnest(t[2:3]) as x from l) where x in ('Rice', 'Beans', 'Corn')
+    union all select meal, 1, 'c', 'c-' || t[2] from l where t[1] = 'Rice' and t[2] in ('Hot', 'Mild')""")
+def label_picks(spark, sf_dir):
+    groups = spark.createDataFrame([("a", None, 1, "one", None), ("b", None, 2, "exactly", 2), ("c", "a-Rice", 1, "one", None)], TREE)
+    offers = [("a", "Rice"), ("a", "Beans"), ("b", "Rice"), ("b", "Beans"), ("b", "Corn"), ("c", "Hot"), ("c", "Mild")]
+    choices = spark.createDataFrame([(g, f"{g}-{x}", k, x) for k, (g, x) in enumerate(offers)], "group_id string, choice_id string, ord int, label string")
+    at = lambda n, last: F.expr(f"element_at(array('Rice', 'Beans', 'Corn', '{last}'), cast(1 + (p_partkey div {n}) % 4 as int))")
+    meals = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("meal"), F.array(at(1, "Hot"), at(4, "Hot"), at(16, "Mild")).alias("labels"))
+    return tree.resolve_labels(groups, choices, meals).select("meal", "depth", "group_id", "choice_id")

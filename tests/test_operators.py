@@ -115,9 +115,26 @@ def test_nested_groups_multiply(spark):
     )
     got = {tuple(r["labels"]): r["calories"] for r in tree.expand(g, c, "protein").where("group_id = 'a'").collect()}
     assert got == {("x", "p", "r"): 111, ("x", "p", "s"): 112, ("x", "q", "r"): 121, ("x", "q", "s"): 122}
+    meals = spark.createDataFrame([("".join(x), list(x)) for x in got], "meal string, labels array<string>")
+    picks = tree.resolve_labels(g, c, meals).collect()
     for labels in got:
-        picks = tree.resolve_labels(g, c, list(labels)).orderBy("depth", "ord").collect()
-        assert sorted(r["choice_id"] for r in picks) == sorted({"x": "a0", "p": "b0", "q": "b1", "r": "c0", "s": "c1"}[x] for x in labels)
+        assert sorted(r["choice_id"] for r in picks if r["meal"] == "".join(labels)) == sorted({"x": "a0", "p": "b0", "q": "b1", "r": "c0", "s": "c1"}[x] for x in labels)
+
+
+def test_labels_are_used_up(spark):
+    """Two roots that both offer Rice and Beans: each takes its own labels."""
+    g, c = trees(spark, [("a", None, 1, "A", "one", None), ("b", None, 2, "B", "exactly", 2), ("m", None, 3, "M", "many", None)], [("a0", "a", 0, "Rice", 1), ("a1", "a", 1, "Beans", 1), ("b0", "b", 0, "Rice", 1), ("b1", "b", 1, "Beans", 1), ("b2", "b", 2, "Corn", 1), ("m0", "m", 0, "Rice", 1)])
+    meals = spark.createDataFrame([(1, ["Rice", "Beans", "Corn"]), (2, ["Beans", "Rice", "Beans"]), (3, []), (4, ["other"])], "meal int, labels array<string>")
+    got = {(r["meal"], r["choice_id"]) for r in tree.resolve_labels(g, c, meals).collect()}
+    assert got == {(1, "a0"), (1, "b1"), (1, "b2"), (2, "a1"), (2, "b0"), (2, "b1")}
+
+
+def test_only_groups_under_picked_choices_are_asked(spark):
+    g, _ = trees(spark, [("a", None, 1, "A", "one", None), ("b", "a0", 1, "B", "one", None)], [("a0", "a", 0, "x", 1)])
+    picks = spark.createDataFrame([(1, "a", "a1", 5.0), (2, "a", "a0", 5.0), (3, "a", "a0", 5.0), (3, "b", "b0", 2.0), (4, "b", "b0", 9.0), (4, "a", "a1", 1.0)], "build int, group_id string, choice_id string, calories double")
+    picks = picks.select("*", *(F.lit(1.0).alias(m) for m in ("protein", "fat", "carbs")))
+    got = {r["build"]: (r["valid"], r["calories"]) for r in tree.valid_picks(g, picks, spark.range(1, 6).selectExpr("cast(id as int) build")).collect()}
+    assert got == {1: (True, 5), 2: (False, 5), 3: (True, 7), 4: (True, 1), 5: (False, 0)}
 
 
 def test_dominant_macro():
@@ -189,6 +206,13 @@ def test_collision_order(spark):
     assert got == {1: "a (X)", 3: "a (2)", 4: "a (Y)", 5: "a (3)"}
 
 
+def test_collisions_with_taken_names_and_missing_macros(spark):
+    rows = [(1, "a", 100, None, 5), (2, "a (2)", 7, 1, 1), (3, "a", 100, 5, None), (4, "a", 7, 1, 1), (5, "a", 100, None, 5), (6, "a (2)", 8, 1, 1), (7, "b", 100, None, 5), (8, "b", 100, 5, None), (9, "b", 100, None, 5)]
+    df = spark.createDataFrame([("r", k, n, None, float(x), y and float(y), z and float(z), 1.0) for k, n, x, y, z in rows], "restaurant string, item_seq int, name string, category string, calories double, protein double, fat double, carbs double")
+    got = {r["item_seq"]: r["final_name"] for r in normalize.resolve_collisions(df).collect()}
+    assert got == {1: "a", 2: "a (2)", 3: "a (3)", 6: "a (2) (2)", 7: "b", 8: "b (2)"}
+
+
 def test_snapshots_keep_the_last_good(spark, tmp_path):
     schema = "restaurant string, items array<string>, updated_at string"
     src, out, cp = (str(tmp_path / x) for x in ("in", "out", "cp"))
