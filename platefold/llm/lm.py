@@ -24,16 +24,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, slices, stage
 from .idstore import mix
 
 #: Words whose exact counts every worker knows: as many of the most frequent as stay below this.
 HEAD = 100_000
 BASE = 1.5
-PROBES = 6
-BITS_PER_ENTRY = 10
+PROBES = 5
+BITS_PER_ENTRY = 8
 #: Tokens whose keys share a shard of the filter, and the filter's size up to which it is broadcast.
-SHARD_TOKENS, BROADCAST_BYTES = 1 << 21, 256 << 20
+SHARD_TOKENS, BROADCAST_BYTES = 1 << 20, 256 << 20
 #: Pairs that are scored at a time.
 SLICE = 1 << 17
 #: Weights (a, b) of the base that are tried; the best on training texts, each pair's own count less one, is taken.
@@ -88,12 +88,10 @@ def _task_counts(texts: DataFrame, keys_of) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counted = Counted()
-        for b in batches:
-            texts = b.column(0).to_pylist()
-            for at in range(0, len(texts), 100):
-                full = counted.add(keys_of(texts[at : at + 100]))
-                if full is not None:
-                    yield full
+        for b in slices(batches, 100):
+            full = counted.add(keys_of(b.column(0).to_pylist()))
+            if full is not None:
+                yield full
         yield counted.flush()
 
     return texts.mapInArrow(run, "h long, c long")
@@ -320,7 +318,7 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         (first, _), *fields = (f.split() for f in schema.split(", "))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 texts = b.column(1).to_pylist()
                 at = 0
                 while at < len(texts):  # as many texts as hold so many characters, one at least
