@@ -35,7 +35,7 @@ BITS_PER_ENTRY = 8
 #: Tokens whose keys share a shard of the filter, and the filter's size up to which it is broadcast.
 SHARD_TOKENS, BROADCAST_BYTES = 1 << 20, 256 << 20
 #: Pairs that are scored at a time.
-SLICE = 1 << 17
+SLICE = 1 << 15
 #: Weights (a, b) of the base that are tried; the best on training texts, each pair's own count less one, is taken.
 WEIGHTS = ((1.0, 0.5), (3.0, 0.5), (10.0, 0.5), (30.0, 0.5), (1.0, 0.9), (3.0, 0.9), (10.0, 0.9), (100.0, 0.9))
 EMPTY_SHARD = (np.zeros(9, np.uint8), 64)
@@ -356,6 +356,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         asked = kept.select("rid", "text").mapInArrow(mapped(lambda texts, _: asked_of(texts), "rid long, keys array<bigint>"), "rid long, keys array<bigint>")
         out = kept.join(_answers(asked, built, shards), "rid", "left").select("doc_id", "text", "keys", "counts").mapInArrow(mapped(lambda texts, b: parts(texts, told(b)), schema), schema)
     out = stage(out.withColumn("rid", F.monotonically_increasing_id()).select("rid", "doc_id", "base", "n_tokens", "known", "scores", "without", "rare"), "scored")
+    head.unpersist()
+    if nbytes <= broadcast_bytes:
+        bloom.unpersist()
     best = out.where(train).agg(*(F.sum(F.col("without")[k]) for k in range(len(WEIGHTS)))).first()
     k = int(np.argmax([x if x is not None else 0.0 for x in best]))
     # rare words: their exact counts by a join, summed up for each text
