@@ -30,15 +30,16 @@ from .idstore import mix
 #: Words whose exact counts every worker knows: as many of the most frequent as stay below this.
 HEAD = 100_000
 BASE = 1.5
+#: A key's bits under a level lie in one 64-bit word, so that they are probed at once.
 PROBES = 5
-BITS_PER_ENTRY = 8
+BITS_PER_ENTRY = 12
 #: Tokens whose keys share a shard of the filter, and the filter's size up to which it is broadcast.
 SHARD_TOKENS, BROADCAST_BYTES = 1 << 20, 256 << 20
 #: Pairs that are scored at a time.
 SLICE = 1 << 15
 #: Weights (a, b) of the base that are tried; the best on training texts, each pair's own count less one, is taken.
 WEIGHTS = ((1.0, 0.5), (3.0, 0.5), (10.0, 0.5), (30.0, 0.5), (1.0, 0.9), (3.0, 0.9), (10.0, 0.9), (100.0, 0.9))
-EMPTY_SHARD = (np.zeros(9, np.uint8), 64)
+EMPTY_SHARD = (np.zeros(8, np.uint8), 64)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word holds a space
 #: The counts at which levels begin; the last is beyond any 64-bit count.
 THRESHOLDS = np.array(sorted({min(ceil(BASE**j), 2**62) for j in range(108)}), np.int64)
@@ -83,23 +84,19 @@ class Counted:
         return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "c"])
 
 
-def _task_counts(texts: DataFrame, keys_of) -> DataFrame:
-    """(h, c): how often each key occurs, by task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counted = Counted()
-        for b in slices(batches, 100):
-            full = counted.add(keys_of(b.column(0).to_pylist()))
-            if full is not None:
-                yield full
-        yield counted.flush()
-
-    return texts.mapInArrow(run, "h long, c long")
+def _counted(batches: Iterator[pa.RecordBatch], keys_of) -> Iterator[pa.RecordBatch]:
+    """(h, c): how often each key of a task's texts occurs."""
+    counted = Counted()
+    for b in slices(batches, 100):
+        full = counted.add(keys_of(b.column(0).to_pylist()))
+        if full is not None:
+            yield full
+    yield counted.flush()
 
 
 def _counts(texts: DataFrame, keys_of) -> DataFrame:
     """(h, c): how often each key occurs, over all texts."""
-    return _task_counts(texts, keys_of).groupBy("h").agg(F.sum("c").alias("c"))
+    return texts.mapInArrow(lambda batches: _counted(batches, keys_of), "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
 class Head:
@@ -123,34 +120,37 @@ def level(counts: np.ndarray) -> np.ndarray:
     return np.searchsorted(THRESHOLDS, counts, "right")
 
 
-def _places(h: np.ndarray, lev: int, size: np.ndarray | np.uint64) -> Iterator[np.ndarray]:
-    """PROBES bit places, below ``size`` (32 bits), for each pair under a level."""
-    with np.errstate(over="ignore"):
-        a = mix(h, 100 + lev)
-        b = (a << np.uint64(32) | a >> np.uint64(32)) | np.uint64(1)
-        for k in range(PROBES):
-            yield ((a + np.uint64(k) * b) >> np.uint64(32)) * size >> np.uint64(32)
+def _words(size: np.ndarray | int) -> np.ndarray | int:
+    """Words of a filter of ``size`` bits."""
+    return -(-size // 64)
+
+
+def _places(h: np.ndarray, lev: int, words: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+    """For each key under a level: its word, below ``words`` (32 bits), and its bits there, at most PROBES."""
+    a = mix(h, 100 + lev)
+    bits = np.zeros(len(h), np.uint64)
+    for k in range(PROBES):
+        bits |= np.uint64(1) << (a >> np.uint64(6 * k) & np.uint64(63))
+    return ((a >> np.uint64(32)) * np.asarray(words, np.uint64) >> np.uint64(32)).astype(np.int64), bits
 
 
 def build_shard(h: np.ndarray, c: np.ndarray) -> np.ndarray:
     """A filter over pairs and their levels, as bytes of bits."""
     top = level(c)
-    size = np.uint64(max(64, BITS_PER_ENTRY * int(top.sum())))
-    bits = np.zeros(int(size) // 8 + 1, np.uint8)
+    out = np.zeros(_words(max(64, BITS_PER_ENTRY * int(top.sum()))), np.uint64)
     for j in range(1, int(top.max(initial=0)) + 1):
-        own = h[top >= j]
-        for at in _places(own, j, size):
-            np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), (1 << (at & np.uint64(7))).astype(np.uint8))
-    return bits
+        at, bits = _places(h[top >= j], j, len(out))
+        np.bitwise_or.at(out, at, bits)
+    return out.view(np.uint8)
 
 
 class LogFrequencyBloom:
     """Shards of the filter, one after the other in one array; a pair's shard is its hash's remainder."""
 
     def __init__(self, shards: list[tuple[np.ndarray, int]]):
-        self.sizes = np.array([n for _, n in shards], np.uint64)
-        self.starts = np.cumsum([0, *(len(x) for x, _ in shards[:-1])]).astype(np.int64)
-        self.bits = np.concatenate([x for x, _ in shards]) if shards else np.zeros(0, np.uint8)
+        self.sizes = np.array([_words(n) for _, n in shards], np.int64)
+        self.starts = np.cumsum([0, *self.sizes[:-1]])
+        self.words = (np.concatenate([x for x, _ in shards]) if shards else np.zeros(0, np.uint8)).view(np.uint64)
 
     def count(self, h: np.ndarray) -> np.ndarray:
         """The quantised count of each pair, 0 if it is not held."""
@@ -161,11 +161,8 @@ class LogFrequencyBloom:
             if not len(live):
                 break
             own = shard[live]
-            ok = np.ones(len(live), bool)
-            for at in _places(h[live], j, self.sizes[own]):
-                byte = self.bits[self.starts[own] + (at >> np.uint64(3)).astype(np.int64)]
-                ok &= (byte >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
-            live = live[ok]
+            at, bits = _places(h[live], j, self.sizes[own])
+            live = live[self.words[self.starts[own] + at] & bits == bits]
             found[live] = THRESHOLDS[j - 1]
         return found
 
@@ -189,7 +186,8 @@ def _shard_of(h: str, shards: int) -> Column:
 def _filter(learned: DataFrame, shards: int) -> DataFrame:
     """(shard, size, bits): a filter over the counts of all words and pairs of ``learned`` (text).
 
-    Tasks send their own counts straight to the shard, which sums them up: one shuffle.
+    Tasks send their own counts straight to the shard, which sums them up: one shuffle, whose rows
+    are a task's keys and counts for a shard, packed.
     """
 
     def keys_of(texts: list[str]) -> np.ndarray:
@@ -197,8 +195,20 @@ def _filter(learned: DataFrame, shards: int) -> DataFrame:
         at = np.concatenate(words)
         return np.concatenate([single(at), pair(_prior(at, np.cumsum([0, *map(len, words[:-1])])), at)])
 
+    def packed(counted: pa.RecordBatch) -> pa.RecordBatch:
+        h, c = (counted.column(k).to_numpy() for k in (0, 1))
+        shard = (h.view(np.uint64) % np.uint64(shards)).astype(np.int32)
+        order = np.argsort(shard, kind="stable")
+        ids, first = np.unique(shard[order], return_index=True)
+        ends = pa.py_buffer((8 * np.append(first, len(h))).astype(np.int32))
+        blocks = (pa.BinaryArray.from_buffers(pa.binary(), len(ids), [None, ends, pa.py_buffer(x[order])]) for x in (h, c))
+        return pa.RecordBatch.from_arrays([pa.array(ids), *blocks], ["shard", "h", "c"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return map(packed, _counted(batches, keys_of))
+
     def build(table: pa.Table) -> pa.Table:
-        h, c = (table.column(x).to_numpy() for x in ("h", "c"))
+        h, c = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table.column(k)]) for k in ("h", "c"))
         order = np.argsort(h)
         h, c = h[order], c[order]
         new = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
@@ -206,7 +216,7 @@ def _filter(learned: DataFrame, shards: int) -> DataFrame:
         size = max(64, BITS_PER_ENTRY * int(level(c).sum()))
         return pa.table({"shard": table.column("shard")[:1].cast(pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([build_shard(h, c).tobytes()], pa.binary())})
 
-    return _task_counts(learned, keys_of).withColumn("shard", _shard_of("h", shards)).groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
+    return learned.mapInArrow(run, "shard int, h binary, c binary").groupBy("shard").applyInArrow(build, "shard int, size long, bits binary")
 
 
 def _prior(at: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -263,21 +273,26 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
     shards = max(1, ceil(total / SHARD_TOKENS))
     built = stage(_filter(learned, shards), "filter")
     nbytes = int(built.agg(F.sum(F.length("bits"))).first()[0] or 0)
-    share, power = np.array(WEIGHTS).T[:, :, None]
 
-    def gains(c: np.ndarray, cv: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def gains(c: np.ndarray, cv: np.ndarray, p: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         """log10 of each pair's probability, by weight; and without its own count."""
-        return tuple(np.log10((x + m * p) / (n + m)) for x, n in ((c, cv), (np.maximum(c - 1, 0), np.maximum(cv - 1, 0))) for m in (share * np.maximum(n, 1) ** power,))
+        out = []
+        for x, n in ((c, cv), (np.maximum(c - 1, 0), np.maximum(cv - 1, 0))):
+            raised = {b: np.maximum(n, 1) ** b for _, b in WEIGHTS}
+            weights = (a * raised[b] for a, b in WEIGHTS)
+            out.append([np.log10((x + m * p) / (n + m)) for m in weights])
+        return tuple(out)
 
     def laid_out(texts: list[str]) -> tuple[np.ndarray, ...]:
-        """Tokens, their text, text sizes, places among the frequent words, priors, and different keys asked of the filter."""
+        """Tokens, their text, text sizes and priors."""
         words = [tokens(t) for t in texts]
         sizes = np.array([len(w) for w in words])
         at, doc = np.concatenate(words), np.repeat(np.arange(len(texts)), sizes)
-        return at, doc, sizes, head.value.find(at), _prior(at, np.cumsum(sizes) - sizes)
+        return at, doc, sizes, _prior(at, np.cumsum(sizes) - sizes)
 
     def asked_of(texts: list[str]) -> dict[str, list]:
-        at, doc, _, i, prior = laid_out(texts)
+        at, doc, _, prior = laid_out(texts)
+        i = head.value.find(at)
         rare = at[i < 0]
         keys, owner = np.concatenate([pair(prior, at), single(rare)]), np.concatenate([doc, doc[i < 0]])
         return {"keys": [np.unique(keys[owner == k]).view(np.int64) for k in range(len(texts))]}
@@ -286,12 +301,13 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         """What is known of each text: its base, tokens, known tokens, rare words, and its scores by
         weight, as they are and without each pair's own count.  ``count`` reads the filter."""
         h = head.value
-        at, doc, sizes, i, prior = laid_out(texts)
+        at, doc, sizes, prior = laid_out(texts)
         total_of = lambda of, x: np.bincount(of, x, len(texts))
-        logs = np.where(i >= 0, np.log10(h.p[i]), 0.0) if len(h.p) else np.zeros(len(at))
         # the words of these texts: least and most that each may have occurred
         kinds_here, back = np.unique(np.concatenate([at, np.array([END])]), return_inverse=True)
         place = h.find(kinds_here)
+        i = place[back[:-1]]
+        logs = np.where(place >= 0, np.log10(h.p[place]), 0.0)[back[:-1]] if len(h.p) else np.zeros(len(at))
         least, most = np.zeros(len(kinds_here)), np.zeros(len(kinds_here))
         frequent = place >= 0
         if len(h.p):
