@@ -64,28 +64,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
 
 
-def deletion_variants(fps: DataFrame, column: str = "fp") -> DataFrame:
-    """Rows of ``fps``, once per segment and wildcard: key long, bit int.
+def segments(fps: DataFrame, column: str = "fp") -> DataFrame:
+    """Rows of ``fps``, once per segment: ``value`` long holds the segment's index and its bits.
 
     Two segments of 32 bits serve distances up to 2 (and up to 3 by the same argument).
-    ``key`` holds the segment, wild position and the rest of the segment;
-    ``bit`` is the value at the wild position, or 2 for a segment as it is.  Rows that meet in
-    a key and differ in ``bit`` differ in exactly that bit of the segment.
     """
-    tags = F.explode(F.sequence(F.lit(0), F.lit(2 * (SEGMENT + 1) - 1)))
-    rows = fps.withColumn("_tag", tags).withColumn("_p", F.expr(f"_tag % {SEGMENT + 1}"))
-    rows = rows.withColumn("_seg", F.expr(f"shiftright({column}, cast((_tag div {SEGMENT + 1}) * {SEGMENT} as int)) & {(1 << SEGMENT) - 1}L"))
-    one = "shiftleft(1L, cast(_p as int))"
-    return rows.withColumns({
-        "bit": F.expr(f"case when _p = {SEGMENT} then 2 when _seg & {one} <> 0L then 1 else 0 end"),
-        "key": F.expr(f"shiftleft(cast(_tag as bigint), {SEGMENT}) | (case when _p = {SEGMENT} then _seg else _seg & ~{one} end)"),
-    }).drop("_tag", "_p", "_seg")
+    parts = F.array(*(F.expr(f"{i << SEGMENT}L | (shiftright({column}, {i * SEGMENT}) & {(1 << SEGMENT) - 1}L)") for i in range(BITS // SEGMENT)))
+    return fps.withColumn("value", F.explode(parts))
+
+
+def deletion_variants(values: DataFrame) -> DataFrame:
+    """Rows of ``values`` (value, ... of :func:`segments`), once per wild bit: key long, bit int.
+
+    ``key`` holds the wild position and the rest of the value; ``bit`` is what stands at the wild
+    position.  Of different values at most two meet in a key, and they differ in that bit alone.
+    """
+    rows = values.withColumn("_p", F.explode(F.sequence(F.lit(0), F.lit(SEGMENT - 1))))
+    one = "shiftleft(1L, _p)"
+    key = F.expr(f"shiftleft(cast(_p as bigint), {SEGMENT + 1}) | (value & ~{one})")
+    return rows.withColumns({"key": key, "bit": F.expr(f"cast(value & {one} <> 0L as int)")}).drop("_p")
 
 
 def hamming_links(fps: DataFrame, distance: int = 2, crowd: int = 32) -> DataFrame:
     """Links (src, dst) between rows of ``fps`` (node long, fp long, fp distinct), enough of
     them that two fingerprints within ``distance`` bits (1 or 2) are connected.
 
+    Different segments are indexed once, however many fingerprints have them: under each wild
+    bit, where two that differ in it meet, and as they are, where fingerprints with the same
+    segment meet.  Only fingerprints of such segments are joined with their keys.
+
     Keys shared by 2 to ``crowd`` fingerprints are joined pair by pair and verified.  In a
     more crowded key that would be all pairs of a group, so each of its fingerprints is
     instead put into the ball of radius one around it: 65 values, itself and every single
@@ -95,10 +102,16 @@ def hamming_links(fps: DataFrame, distance: int = 2, crowd: int = 32) -> DataFra
     """
     if distance not in (1, 2):
         raise ValueError("the distance must be 1 or 2")
-    variants = deletion_variants(fps)
-    # keys are counted first, so that of the variants only those that meet another are shuffled whole
-    met = stage(variants.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "variant-keys")
-    sized = stage(join_hot(variants, met, ["key"], "n"), "variants-met")
+    cut = segments(fps)
+    values = stage(cut.groupBy("value").agg(F.count(F.lit(1)).alias("m")), "segments")
+    # how many fingerprints have the segment with the wild bit clear, and set
+    sides = [F.sum(F.when(F.col("bit") == b, F.col("m")).otherwise(0)).alias(f"m{b}") for b in (0, 1)]
+    wild = deletion_variants(values).groupBy("key").agg(*sides).where("m0 > 0 and m1 > 0")
+    clear, mask = f"(key & {(1 << SEGMENT + 1) - 1}L)", f"shiftleft(1L, cast(shiftright(key, {SEGMENT + 1}) as int))"
+    both = wild.select(F.expr(f"inline(array(struct({clear} as value, m0 as m, key, 0 as bit, m0 + m1 as n), struct({clear} | {mask} as value, m1 as m, key, 1 as bit, m0 + m1 as n)))"))
+    same = values.where("m > 1").selectExpr("value", "m", f"value | {SEGMENT << SEGMENT + 1}L as key", "2 as bit", "m as n")
+    met = both.unionByName(same).groupBy("value").agg(F.max("m").alias("m"), F.collect_list(F.struct("key", "bit", "n")).alias("keys"))
+    sized = stage(join_hot(cut, stage(met, "variants-met"), ["value"], "m").select("node", "fp", F.inline("keys")), "variants")
     pairs = F.expr(
         f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, {crowd}),
             y -> (x.bit = 2 or x.bit <> y.bit) and bit_count(x.fp ^ y.fp) <= {distance}),
