@@ -205,9 +205,9 @@ def test_packing_plan_uses_the_histogram():
     assert sum(n * c for n, c in h.items()) / (1024 * sum(plan.repeats)) > 0.995
 
 
-def test_search_against_brute_force(spark, texts, docs, monkeypatch):
-    monkeypatch.setattr(search, "BLOCK", 4)
-    rows = search.search(docs, F.col("doc_id") % 20 == 0).collect()
+@pytest.mark.parametrize("most", [12, None])  # lists walked one by one, and windows of documents
+def test_search_against_brute_force(spark, texts, docs, most):
+    rows = search.search(docs, F.col("doc_id") % 20 == 0, most=most, block=4).collect()
     words = {i: t.encode().lower().split() for i, t in texts.items()}
     df = collections.Counter(w for v in words.values() for w in set(v))
     n, mean = len(words), sum(map(len, words.values())) / len(words)
@@ -219,7 +219,7 @@ def test_search_against_brute_force(spark, texts, docs, monkeypatch):
         found = []
         for i, v in words.items():
             tf = collections.Counter(v)
-            s = sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(v) / mean)) for w in order[:12])
+            s = sum(idf[w] * tf[w] * 2.2 / (tf[w] + 1.2 * (0.25 + 0.75 * len(v) / mean)) for w in order[:most])
             if s > 0:
                 found.append((-round(s, 9), i))
         got = [(-round(r["score"], 9), r["doc_id"]) for r in sorted(rows, key=lambda r: r["rank"]) if r["query_id"] == q]
