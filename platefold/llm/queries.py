@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_count, idstore, langid, lm, lsm, packing, quality, search, simhash, spm
+from . import bitslice, bpe_count, idstore, langid, ledger, lm, lsm, merkle, oracles, packing, quality, search, simhash, spm
 from .common import fold
 
 TOKENS = 1024
@@ -70,8 +71,27 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spm.digests(_docs(spark, sf_dir), _tokenizer("piece_bpe_32k.model"))
 
 
+def op11_impact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.search(bitslice.build_index(_docs(spark, sf_dir)), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ledger.Ledger(spark).scan(_docs(spark, sf_dir), "doc_id")
+    base = F.filter("findings", lambda x: x["kind"].isin(*ledger.BASE))
+    of_kind = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long")
+    counts = [of_kind(k).alias(f"n_{k}") for k in ledger.BASE]
+    return found.select(F.col("path").alias("doc_id"), *counts, F.sha2(ledger.listed(base).cast("binary"), 256).alias("base_sha256"), ledger.listed(F.col("findings")).alias("spans"), "blob")
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    found = merkle.verified(docs, other={"text": lowered}, where=F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(False)))
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_lm_scores, op5_token_counts, op6_language_id, op7_exact_dedup, op8_quality, op9_id_store, op10_sentencepiece)}
+    return {f.__name__: f for f in (op1_simhash, op2_packing, op3_search, op4_lm_scores, op5_token_counts, op6_language_id, op7_exact_dedup, op8_quality, op9_id_store, op10_sentencepiece, op11_impact_search, op12_secret_ledger, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -80,5 +100,8 @@ def oracle_sql() -> dict[str, str]:
             with d as (select doc_id, coalesce(text, '') t from documents)
             select doc_id, max(doc_id) over (partition by t) keep_id, count(*) over (partition by t) group_size,
                    doc_id = max(doc_id) over (partition by t) kept, sha256(t) text_sha256
-            from d"""
+            from d""",
+        "op11_impact_search": oracles.IMPACT_SEARCH,
+        "op12_secret_ledger": oracles.secret_ledger(),
+        "op13_merkle_manifest": oracles.merkle_manifest(),
     }
