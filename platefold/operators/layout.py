@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,24 +10,26 @@ from ..functions.exprs import join_wrapped
 COLUMN_TOLERANCE = 26
 
 
+def _heads(values: Column, joins) -> Column:
+    """Of values in descending order those that begin a group: one that does not join the group's first value begins the next."""
+    last = lambda acc: F.get(acc, F.size(acc) - 1)
+    return F.aggregate(values, F.array().cast("array<double>"), lambda acc, v: F.when(F.coalesce(joins(last(acc), v), F.lit(False)), acc).otherwise(F.concat(acc, F.array(v))))
+
+
+def _grouped_down(rows: DataFrame, page: list[str], at: str, joins, out: str) -> DataFrame:
+    """``rows`` with ``out``: the number of their group, counted from 1 down each page by ``at``. A page's different values are folded once."""
+    values = F.sort_array(F.collect_set(F.col(at).cast("double")), asc=False)
+    heads = rows.groupBy(*page).agg(_heads(values, joins).alias("_heads"))
+    return rows.join(heads, page).withColumn(out, F.size(F.filter("_heads", lambda h: h >= F.col(at))).cast("long")).drop("_heads")
+
+
 def cluster_lines(glyphs: DataFrame, tolerance: float = 3.0) -> DataFrame:
     """Glyphs (doc_id, page, x, y, ...) with ``line``, counted from 1 down each page.
 
-    From the top, a line takes all that lies within ``tolerance`` of its first baseline.  That is
-    a distance to the line's first glyph, not to the last one, so each page is walked in order.
+    From the top, a line takes all that lies within ``tolerance`` of its first baseline: a
+    distance to the line's first glyph, not to the last one.
     """
-
-    def walk(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["y", "x"], ascending=[False, True], kind="stable")
-        line, first, out = 0, None, []
-        for y in page["y"]:
-            if first is None or abs(first - y) > tolerance:
-                line, first = line + 1, y
-            out.append(line)
-        return page.assign(line=out)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in glyphs.schema.fields) + ", line long"
-    return glyphs.groupBy("doc_id", "page").applyInPandas(walk, schema)
+    return _grouped_down(glyphs, ["doc_id", "page"], "y", lambda first, y: first - y <= tolerance, "line")
 
 
 def nearest_column(cells: DataFrame, columns: DataFrame, x: str = "x", tolerance: float = COLUMN_TOLERANCE) -> DataFrame:
@@ -154,21 +155,10 @@ def section_of(rows: DataFrame, sections: DataFrame, page: list[str], key: list[
 def merge_labels(frags: DataFrame, page: list[str], gap: float) -> DataFrame:
     """Labels of rotated fragments (page, cy, lo, hi, x, str): (page, label_id, cy, lo, hi, label).
 
-    From the top, a fragment joins the first label whose first fragment is nearer than ``gap``.
+    From the top, a fragment joins the label whose first fragment is nearer than ``gap``; first
+    fragments lie ``gap`` apart, so there is one at most.
     """
-
-    def merge(p: pd.DataFrame) -> pd.DataFrame:
-        heads: list[float] = []
-        ids = []
-        for cy in p.sort_values("cy", ascending=False, kind="stable")["cy"]:
-            k = next((i for i, h in enumerate(heads) if abs(h - cy) < gap), len(heads))
-            if k == len(heads):
-                heads.append(cy)
-            ids.append(k)
-        return p.sort_values("cy", ascending=False, kind="stable").assign(label_id=ids)
-
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in frags.schema.fields) + ", label_id long"
-    marked = frags.groupBy(*page).applyInPandas(merge, schema)
+    marked = _grouped_down(frags, page, "cy", lambda first, cy: first - cy < gap, "label_id")
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "str"))), lambda c: c["str"]), " ")
     return marked.groupBy(*page, "label_id").agg(F.avg("cy").alias("cy"), F.min("lo").alias("lo"), F.max("hi").alias("hi"), text.alias("label"))
 

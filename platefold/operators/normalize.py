@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,25 +56,24 @@ def resolve_collisions(items: DataFrame) -> DataFrame:
     parentheses.  All other later items are numbered from 2 in order, by the next free number.
 
     Names that already end in parentheses belong to the family of the name before them: their
-    items count as earlier variants, and their numbers are taken.  Such families, rare and
-    small, are named one item after the other; all others by windows.
+    items count as earlier variants, and their numbers are taken; a name given for a category takes the
+    place of an item that has it already.  Such families are folded in order, one family at a time in
+    each task; all others are named by windows over the same shuffle.
     """
-    base = F.substring_index("name", " (", 1)
-    rows = items.withColumn("_base", base)
-    odd = rows.where((F.col("name") != F.col("_base")) | F.col("category").rlike(r"^\d+$")).select("restaurant", "_base").distinct()
-    plain = _numbered(rows.join(odd, ["restaurant", "_base"], "left_anti").drop("_base"))
-    if odd.isEmpty():
-        return plain
-    mixed = rows.join(odd, ["restaurant", "_base"], "left_semi")
-    named = mixed.groupBy("restaurant", "_base").applyInPandas(_named_in_order, T.StructType([*items.schema.fields, T.StructField("final_name", T.StringType())]))
+    rows = items.withColumn("_base", F.substring_index("name", " (", 1))
+    odd = F.bool_or((F.col("name") != F.col("_base")) | F.coalesce(F.col("category").rlike(r"^\d+$"), F.lit(False)))
+    rows = rows.withColumn("_odd", F.coalesce(odd.over(Window.partitionBy("restaurant", "_base")), F.lit(False)))
+    plain = _numbered(rows.where("not _odd")).drop("_base", "_odd")
+    in_order = rows.where("_odd").drop("_odd").repartition("restaurant", "_base").sortWithinPartitions("restaurant", "_base", "item_seq")
+    named = in_order.mapInPandas(_fold_families, T.StructType([*items.schema.fields, T.StructField("final_name", T.StringType())]))
     return plain.unionByName(named)
 
 
 def _numbered(items: DataFrame) -> DataFrame:
-    """Final names of families whose names have no parentheses."""
-    rows = keep_first(items, [*FAMILY, *MACROS], "item_seq")
-    family = Window.partitionBy(*FAMILY).orderBy("item_seq")
-    whole = Window.partitionBy(*FAMILY)
+    """Final names of families whose names have no parentheses: the name is the base."""
+    rows = keep_first(items, ["restaurant", "_base", *MACROS], "item_seq")
+    whole = Window.partitionBy("restaurant", "_base")
+    family = whole.orderBy("item_seq")
     rows = rows.withColumn("_k", F.row_number().over(family)).withColumn("_c1", F.first("category").over(family))
     differs = (F.col("_k") >= 2) & (F.coalesce("category", F.lit("")) != "") & (F.coalesce("_c1", F.lit("")) != "") & (F.col("category") != F.col("_c1"))
     rows = rows.withColumn("_s", F.min(F.when(differs, F.col("_k"))).over(whole))
@@ -83,31 +85,102 @@ def _numbered(items: DataFrame) -> DataFrame:
     return rows.withColumn("final_name", final).drop("_k", "_c1", "_s", "_n")
 
 
-def _named_in_order(family: pd.DataFrame) -> pd.DataFrame:
-    """One family's items, each named after all before it."""
-    family = family.sort_values("item_seq", kind="stable")
-    held: dict[str, int] = {}  # final name: row
+def _roots(name: str) -> list[str]:
+    """The names whose family a final name is in: itself, and what stands before each of its parentheses."""
+    cuts = [k for k in range(1, len(name)) if name.startswith(" (", k) and k < len(name) - 3] if name.endswith(")") else []
+    return [name, *(name[:k] for k in cuts)]
+
+
+class _Family:
+    """What is known of a family so far.
+
+    ``below`` counts the macros of the items under each name that a final name belongs to, so one look-up
+    tells a repeat.  ``owner`` has the final names in use, ``free`` the least number that may be
+    free for a name.
+    """
+
+    def __init__(self, macros: list[tuple]):
+        self.macros = macros
+        self.below: dict[str, Counter] = {}
+        self.owner: dict[str, int] = {}
+        self.free: dict[str, int] = {}
+
+    def give(self, final: str, row: int) -> None:
+        """A name that is in use already changes hands."""
+        if final in self.owner:
+            self.release(final)
+        self.owner[final] = row
+        for root in _roots(final):
+            self.below.setdefault(root, Counter())[self.macros[row]] += 1
+
+    def release(self, final: str) -> int:
+        row = self.owner.pop(final)
+        for root in _roots(final):
+            self.below[root] -= Counter([self.macros[row]])
+        root, _, number = final[:-1].rpartition(" (")
+        if number.isdigit() and root in self.free:
+            self.free[root] = min(self.free[root], max(2, int(number)))
+        return row
+
+    def number(self, name: str) -> str:
+        n = self.free.get(name, 2)
+        while f"{name} ({n})" in self.owner:
+            n += 1
+        self.free[name] = n
+        return f"{name} ({n})"
+
+
+def _fold_families(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Items in order of restaurant, base name and place with their final names; repeats are left out. One family is held at a time, and one batch."""
+    rest = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch])
+        if rows.empty:
+            continue
+        keys = rows[["restaurant", "_base"]].astype(object).where(rows[["restaurant", "_base"]].notna(), None).to_numpy()
+        last = (keys == keys[-1]).all(axis=1)
+        cut = len(rows) - (int(last[::-1].argmin()) if not last.all() else len(rows))
+        rest = rows.iloc[cut:]
+        if cut:
+            yield _folded(rows.iloc[:cut])
+    if rest is not None:
+        yield _folded(rest)
+
+
+def _folded(rows: pd.DataFrame) -> pd.DataFrame:
     told = lambda x: None if pd.isna(x) else x
-    macros = [tuple(map(told, m)) for m in family[list(MACROS)].itertuples(index=False)]
-    names, kinds = family["name"].tolist(), [told(c) for c in family["category"]]
-    for row, name in enumerate(names):
-        variants = [x for x in held if x == name or x.startswith(f"{name} (") and x.endswith(")") and len(x) > len(name) + 3]
-        if any(macros[held[x]] == macros[row] for x in variants):
+    macros = [tuple(map(told, m)) for m in rows[list(MACROS)].itertuples(index=False)]
+    kinds = [told(c) or "" for c in rows["category"]]
+    names: dict[int, str] = {}
+    family, of = _Family(macros), None
+    for row, (restaurant, base, name) in enumerate(rows[["restaurant", "_base", "name"]].itertuples(index=False)):
+        if (told(restaurant), told(base)) != of:
+            names |= {k: final for final, k in family.owner.items()}
+            family, of = _Family(macros), (told(restaurant), told(base))
+        below = family.below.get(name)
+        if below and macros[row] in below:
             continue
-        first = held.get(name)
-        if not variants:
-            held[name] = row
-        elif first is not None and kinds[first] and kinds[row] and kinds[first] != kinds[row]:
-            held[f"{name} ({kinds[first]})"] = held.pop(name)
-            held[f"{name} ({kinds[row]})"] = row
-        else:
-            n = 2
-            while f"{name} ({n})" in held:
-                n += 1
-            held[f"{name} ({n})"] = row
-    final = {row: name for name, row in held.items()}
-    kept = family.iloc[sorted(final)].drop(columns="_base")
-    return kept.assign(final_name=[final[row] for row in sorted(final)])
+        other = kinds[family.owner[name]] if name in family.owner else ""
+        final = name if not below else None
+        if below and other and kinds[row] and other != kinds[row]:
+            family.give(f"{name} ({other})", family.release(name))
+            final = f"{name} ({kinds[row]})"
+        family.give(final or family.number(name), row)
+    names |= {k: final for final, k in family.owner.items()}
+    kept = sorted(names)
+    return rows.iloc[kept].drop(columns="_base").assign(final_name=[names[k] for k in kept])
+
+
+def add_variants(items: DataFrame) -> DataFrame:
+    """Items with ``variant`` (struct base, label, option, or null) under their final names, in one pass.
+
+    A variant is named "base (option)" and stamped with variant_of, variant_label and
+    variant_option; then names are resolved as those of all other items.
+    """
+    v = F.col("variant")
+    name = F.when(v.isNull(), F.col("name")).otherwise(F.concat(v["base"], F.lit(" ("), v["option"], F.lit(")")))
+    stamped = items.withColumn("name", name).withColumns({"variant_of": v["base"], "variant_label": v["label"], "variant_option": v["option"]})
+    return resolve_collisions(stamped.drop("variant"))
 
 
 def stamp_variants(items: DataFrame) -> DataFrame:
