@@ -42,6 +42,11 @@ def as_rows(cart: DataFrame) -> DataFrame:
     return cart.select("user_id", "restaurant", "name", F.explode(F.sequence(F.lit(1), F.col("qty").cast("int"))).alias("piece"))
 
 
+def from_rows(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, qty) of the rows (keys, on) that are on: the inverse of :func:`as_rows`."""
+    return rows.where("on").groupBy(*keys).agg(F.count(F.lit(1)).alias("qty"))
+
+
 def switch_off_last(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     """Rows (keys, seq, on) with the last one that is on switched off in each group."""
     w = Window.partitionBy(*keys, "on").orderBy(F.desc(order))

@@ -104,8 +104,36 @@ def toggle_category(categories: Column, category: Column) -> Column:
 
 
 def add_term(terms: Column, term: Column) -> Column:
-    """Add a term unless one equal but for case is there."""
-    return F.when(F.exists(terms, lambda t: F.lower(t) == F.lower(term)) | (F.trim(term) == ""), terms).otherwise(F.array_append(terms, term))
+    """Add a term, trimmed, unless it is blank or one equal but for case is there."""
+    t = F.trim(term)
+    return F.when(F.exists(terms, lambda x: F.lower(x) == F.lower(t)) | (t == ""), terms).otherwise(F.array_append(terms, t))
+
+
+def remove_term(terms: Column, term: Column) -> Column:
+    """Without the terms equal to ``term``, case and all."""
+    return F.filter(terms, lambda x: x != term)
+
+
+def merge_preferences(stored: Column, defaults: dict[str, str], fixed: dict[str, str] | None = None) -> Column:
+    """A map of preferences: the defaults, what a JSON object has stored over them, and ``fixed`` over both.
+
+    A text that is no JSON object counts as nothing stored; a stored null is a null.
+    """
+    as_map = lambda d: F.create_map(*(F.lit(x) for kv in d.items() for x in kv)) if d else F.create_map().cast("map<string,string>")
+    read = F.coalesce(F.from_json(stored, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    under = lambda top, base: F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(top, k)), top)
+    merged = under(read, as_map(defaults))
+    return under(as_map(fixed or {}), merged) if fixed else merged
+
+
+def in_scope(section: Column, name: Column, scope: str, drop: str | None = None) -> Column:
+    """Whether a row's section is one that ``scope`` matches and its name is none that ``drop`` does.
+
+    The name guards the seam between sections, where a row's place can put it into the next one;
+    a row without a section is in none.
+    """
+    own = F.coalesce(section.rlike(scope), F.lit(False))
+    return own & ~F.coalesce(name.rlike(drop), F.lit(False)) if drop else own
 
 
 def active_filters(filters: DataFrame) -> DataFrame:

@@ -207,7 +207,7 @@ def within_headings(rows: DataFrame, doc: str, order: str, start: Column, stop:
     return marked.where((F.col("_a") == 1) & (F.col("_z") == 0) & ~start).drop("_a", "_z")
 
 
-def assemble_tables(cells: DataFrame, patterns: dict[str, str], anchor_role: str = "calories", heading_height: float = 14.0, tolerance: float = COLUMN_TOLERANCE, line_tolerance: float = 3.0, wrap_gap: float = 14.0) -> DataFrame:
+def assemble_tables(cells: DataFrame, patterns: dict[str, str], anchor_role: str = "calories", heading_height: float = 14.0, tolerance: float = COLUMN_TOLERANCE, line_tolerance: float = 3.0, wrap_gap: float = 14.0, accept: Column | None = None) -> DataFrame:
     """(doc_id, table_id, title, page, y, row): the rows of a document's tables, from positioned text.
 
     ``cells`` is (doc_id, page, x, y, height, str).  Lines are read down the pages.  A line all of
@@ -215,7 +215,8 @@ def assemble_tables(cells: DataFrame, patterns: dict[str, str], anchor_role: str
     before, or if it is the first, and else goes on with the table.  A line with a glyph of
     ``heading_height`` or more is a heading.  Other lines below a header are mapped to its
     columns; one with the ``anchor_role`` begins a row, and near lines after it continue it.
-    ``row`` maps roles to texts, wrapped words put together again.
+    ``row`` maps roles to texts, wrapped words put together again.  ``accept`` is a predicate over
+    title, page, y and row; rows for which it does not hold are left out.
     """
     lined = cluster_lines(cells, line_tolerance)
     line_key = ["doc_id", "page", "line"]
@@ -251,4 +252,5 @@ def assemble_tables(cells: DataFrame, patterns: dict[str, str], anchor_role: str
     whole = each.groupBy("doc_id", "table_id", "title", "page", "row", "role", "y").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "str"))), lambda c: c["str"]), " ").alias("text"))
     wrapped = F.aggregate(F.sort_array(F.collect_list(F.struct("y", "text")), asc=False), F.lit(""), lambda acc, x: join_wrapped(acc, x["text"]))
     texts = whole.groupBy("doc_id", "table_id", "title", "page", "row", "role").agg(wrapped.alias("text"), F.max("y").alias("y"))
-    return texts.groupBy("doc_id", "table_id", "title", "page", "row").agg(F.max("y").alias("y"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "text")))).alias("cells")).select("doc_id", "table_id", "title", "page", "y", F.col("cells").alias("row"))
+    rows = texts.groupBy("doc_id", "table_id", "title", "page", "row").agg(F.max("y").alias("y"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("role", "text")))).alias("cells")).select("doc_id", "table_id", "title", "page", "y", F.col("cells").alias("row"))
+    return rows if accept is None else rows.where(F.coalesce(accept, F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import exprs
@@ -44,3 +44,28 @@ def report(combos: DataFrame, target: Target) -> DataFrame:
         exprs.accuracy_percent(F.col("avg_accuracy")).alias("match"),
         best.alias("best"),
     )
+
+
+LOCALE = "UNICODE"
+
+
+def locale_place(text: str, keys: list[str], collation: str = LOCALE) -> Column:
+    """A row's place among its ``keys`` in the order of a locale's collation, from 1; by bytes where it sees no difference."""
+    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    return F.row_number().over(w.orderBy(F.collate(F.col(text), collation), text))
+
+
+def items_by_category(items: DataFrame, search: str = "") -> DataFrame:
+    """(restaurant, category, place, n, names): a restaurant's items whose name contains ``search``, by category in locale order.
+
+    Items without a category are under Other; names are in the menu's order.
+    """
+    kept = items.where(F.contains(F.lower("name"), F.lit(search.strip().lower())))
+    listed = kept.groupBy("restaurant", F.coalesce("category", F.lit("Other")).alias("category")).agg(F.transform(F.array_sort(F.collect_list(F.struct("item_seq", "name"))), lambda x: x["name"]).alias("names"))
+    return listed.select("restaurant", "category", locale_place("category", ["restaurant"]).alias("place"), F.size("names").alias("n"), "names")
+
+
+def outcome_counts(rows: DataFrame, keys: list[str], outcomes: list[str], status: str = "status") -> DataFrame:
+    """(keys, one count for each outcome, other): what became of the rows, in one aggregation."""
+    counts = [F.count_if(F.col(status) == o).alias(o) for o in outcomes]
+    return rows.groupBy(*keys).agg(*counts, F.count_if(~F.coalesce(F.col(status).isin(*outcomes), F.lit(False))).alias("other"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import item_queries, optimizer_queries, page_queries, source_queries, text_queries
+from . import document_queries, item_queries, optimizer_queries, page_queries, source_queries, text_queries
 
-PARTS = (optimizer_queries, item_queries, text_queries, source_queries, page_queries)
+PARTS = (optimizer_queries, item_queries, text_queries, source_queries, page_queries, document_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -90,13 +90,13 @@ def value_by_label(pairs: Column, pattern: str, without: str = "of which") -> Co
 
 def menu_tree(spark: SparkSession, nodes: DataFrame, root: str, deepest: int = 12) -> DataFrame:
     """(depth, node, category) below ``root`` of (node, parent, ord, label): the category is the parent's label."""
-    nodes.createOrReplaceTempView("_menu_nodes")
-    return spark.sql(f"""
+    tree = """
         with recursive t(depth, node, category) as (
-            select 0, node, cast(null as string) from _menu_nodes where node = '{root}'
+            select 0, node, cast(null as string) from {nodes} where node = :root
             union all
-            select t.depth + 1, n.node, p.label from t join _menu_nodes n on n.parent = t.node join _menu_nodes p on p.node = t.node where t.depth < {deepest})
-        select depth, node, category from t""")
+            select t.depth + 1, n.node, p.label from t join {nodes} n on n.parent = t.node join {nodes} p on p.node = t.node where t.depth < :deepest)
+        select depth, node, category from t"""
+    return spark.sql(tree, args={"root": root, "deepest": deepest}, nodes=nodes)
 
 
 def resolve_references(values: DataFrame, root: int, deepest: int = 12) -> DataFrame:
