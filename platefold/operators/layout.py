@@ -35,24 +35,26 @@ def cluster_lines(glyphs: DataFrame, tolerance: float = 3.0) -> DataFrame:
 def nearest_column(cells: DataFrame, columns: DataFrame, x: str = "x", tolerance: float = COLUMN_TOLERANCE) -> DataFrame:
     """Cells with ``role``: the column (role, anchor, ord) nearest within ``tolerance``, the first of equals, or null.
 
-    Columns are a document's header cells, a few dozen rows at most, so the anchors go into the
-    expression and the cells are not moved.
+    ``columns`` may have a doc_id: then a document's cells go to its own columns, else all to the
+    same.  A header is one row, with its columns as an array.
     """
-    anchors = sorted(((r["ord"], r["role"], float(r["anchor"])) for r in columns.select("ord", "role", "anchor").limit(1001).collect()))
-    if len(anchors) > 1000:
-        raise ValueError("more than 1,000 columns")
-    near = F.array(*(F.struct(F.abs(F.col(x) - a).alias("d"), F.lit(o).alias("o"), F.lit(r).alias("role")) for o, r, a in anchors))
-    best = F.array_min(F.filter(near, lambda c: c["d"] <= tolerance))
-    return cells.withColumn("role", best["role"] if anchors else F.lit(None).cast("string"))
+    own = ["doc_id"] if "doc_id" in columns.columns else []
+    heads = columns.groupBy(*own).agg(F.collect_list(F.struct(F.col("anchor").cast("double").alias("anchor"), "ord", "role")).alias("_heads"))
+    both = cells.join(heads, own, "left") if own else cells.crossJoin(F.broadcast(heads))  # one row
+    near = F.transform("_heads", lambda h: F.struct(F.abs(F.col(x) - h["anchor"]).alias("d"), h["ord"].alias("o"), h["role"].alias("role")))
+    return both.withColumn("role", F.array_min(F.filter(near, lambda c: c["d"] <= tolerance))["role"]).drop("_heads")
 
 
 def best_grid(cells: DataFrame, grids: DataFrame, line: list[str], tolerance: float = COLUMN_TOLERANCE) -> DataFrame:
     """(line, grid, hits): for each line the grid that most of its cells fall into; the first of equals.
 
-    ``grids`` is (grid, ord, anchor), a few dozen rows, broadcast.
+    ``grids`` is (grid, grid_ord, ord, anchor).  Cells and anchors meet by strips of x as wide as the
+    tolerance: an anchor lies in its own and in both next to it.
     """
-    hit = cells.join(F.broadcast(grids), F.abs(cells["x"] - grids["anchor"]) <= tolerance)
-    counts = hit.groupBy(*line, "grid", "grid_ord").agg(F.count_distinct("ord").alias("hits"))
+    strip = lambda c: F.floor(c / F.lit(float(tolerance)))
+    at = grids.select("grid", "grid_ord", F.col("ord").alias("_ord"), "anchor", F.explode(F.array(*(strip(F.col("anchor")) + k for k in (-1, 0, 1)))).alias("_strip"))
+    hit = cells.select(*line, F.col("x").alias("_x"), strip(F.col("x")).alias("_strip")).join(at, "_strip").where(F.abs(F.col("_x") - F.col("anchor")) <= tolerance)
+    counts = hit.groupBy(*line, "grid", "grid_ord").agg(F.count_distinct("_ord").alias("hits"))
     return counts.groupBy(*line).agg(F.max_by(F.struct("grid", "hits"), F.struct("hits", -F.col("grid_ord"))).alias("b")).select(*line, "b.grid", "b.hits")
 
 

@@ -15,12 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..macros import MACROS, Preferences, Target
-from ..staging import settle
+from ..staging import placed, settle
 
 #: How far a single item may exceed a binding macro to be looked at, and what it must hold.
 SLACK, LEAST_PROTEIN, LEAST_CARBS = 1.3, 1, 1
-#: Items up to which all are broadcast (a few tens of bytes each), and parts of a restaurant beyond that.
-BROADCAST_ITEMS, SALTS = 200_000, 16
+#: Items up to which all are broadcast (a few tens of bytes each).
+BROADCAST_ITEMS = 200_000
 
 
 def effective(target: Target, prefs: Preferences) -> dict[str, float]:
@@ -83,23 +83,29 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
     eff = effective(target, prefs)
     cand = settle(candidates(items, target, prefs))
     side = cand.select(F.col("restaurant"), F.col("i").alias("j"), *(F.col(m).alias(f"add_{m}") for m in MACROS))
-    # meals are spread by their last item; items go to all of them, by broadcast or by a copy for each salt
+    # meals are spread by their last item; items go to all of them, by broadcast or by a copy for each part of their restaurant
     small = cand.count() <= BROADCAST_ITEMS
-    salt = F.pmod("last", F.lit(SALTS))
-    side = F.broadcast(side) if small else side.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    if small:
+        side = F.broadcast(side)
+    else:
+        sizes = settle(cand.groupBy("restaurant").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / 4).cast("int").alias("salts")))
+        side = side.join(sizes, "restaurant").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     level = cand.select("restaurant", F.array("i").alias("path"), F.col("i").alias("last"), *MACROS, F.lit(False).alias("cut")).where(feasible(eff, prefs, F.col))
     # a number of parts of its own: a few rows make many pairs, so parts must not be put together by size
     parts = 4 * max(cand.sparkSession.sparkContext.defaultParallelism, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
     best = settle(_best(level.withColumn("score", score(eff, prefs)).withColumn("n", F.lit(1)), top))
-    most = _reach(cand, eff, prefs)
+    most = _reach(cand, eff, prefs) if prune or max_frontier else None
     total = lambda m: F.col(m) + F.col(f"add_{m}")
     for k in range(1, max_items):
         last = k == max_items - 1
         floor = best.groupBy("restaurant").agg(F.when(F.count(F.lit(1)) == top, F.min("score")).alias("floor"))
-        if prune or max_frontier:
+        if max_frontier or prune and k > 1:  # single items set no score that another item would not reach
             level = _bounded(level, floor, most, eff, prefs, max_items - k, prune, max_frontier)
-        known = level.join(F.broadcast(floor) if small else floor, "restaurant", "left").repartition(parts, "restaurant", "last")
-        made = (known if small else known.withColumn("salt", salt.cast("int"))).join(side, "restaurant" if small else ["restaurant", "salt"])
+        known = level.join(F.broadcast(floor) if small else floor, "restaurant", "left")
+        if small:
+            made = known.repartition(parts, "restaurant", "last").join(side, "restaurant")
+        else:  # the join itself moves the meals, once
+            made = known.join(sizes, "restaurant").withColumn("salt", F.pmod("last", "salts").cast("int")).join(side, ["restaurant", "salt"])
         made = made.where((F.col("j") >= F.col("last")) & feasible(eff, prefs, total))
         if last:
             made = made.where(F.col("floor").isNull() | (score(eff, prefs, of=total) >= F.col("floor")))
@@ -172,7 +178,7 @@ def item_quantities(combos: DataFrame, items: DataFrame, target: Target, prefs:
 def restaurants_by_accuracy(combos: DataFrame) -> DataFrame:
     """(restaurant, avg_accuracy, place): restaurants by how near their best meal comes."""
     first = combos.where(F.col("rank") == 1).select("restaurant", "avg_accuracy")
-    return first.withColumn("place", F.expr("row_number() over (order by avg_accuracy, restaurant)"))
+    return placed(first, ["avg_accuracy", "restaurant"])
 
 
 def widened(target: Target, total: dict[str, float]) -> Target:

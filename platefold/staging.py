@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -20,3 +21,18 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{base.rstrip('/')}/platefold-settled-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def placed(df: DataFrame, order: list, out: str = "place") -> DataFrame:
+    """``df`` with ``out``, each row's place in ``order`` over the whole frame, from 1.
+
+    One range sort; rows are counted in their own partitions, and only the counts, one for each
+    partition, are summed up.  Ties of all columns of ``order`` come in any order.
+    """
+    id_, part = (next(n for n in (f"{base}{'_' * k}" for k in range(len(df.columns) + 1)) if n not in df.columns) for base in ("_id", "_part"))
+    rows = settle(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(id_, F.monotonically_increasing_id()))
+    rows = rows.withColumn(part, F.shiftright(id_, 33))
+    counts = rows.groupBy(part).agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.alias("a").join(counts.alias("b"), F.col(f"b.{part}") < F.col(f"a.{part}"), "left").groupBy(F.col(f"a.{part}").alias(part)).agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_before"))
+    both = rows.join(before, part)
+    return both.withColumn(out, F.col("_before") + F.col(id_).bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop(id_, part, "_before")

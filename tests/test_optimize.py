@@ -56,6 +56,26 @@ def test_brute_force(spark, seed):
         assert found == wanted
 
 
+def test_many_items_are_joined_by_parts_of_their_restaurant(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [(rng.choice(["a", "a", "a", "b"]), [rng.randint(50, 400), rng.randint(1, 30), rng.randint(0, 25), rng.randint(1, 50)]) for _ in range(70)]
+    target = Target(600, 40, 30, 70)
+    wanted = optimize.combinations(frame(spark, rows), target, 3, 4).select("restaurant", "rank", "path").collect()
+    monkeypatch.setattr(optimize, "BROADCAST_ITEMS", 0)
+    for prune in (False, True):
+        got = optimize.combinations(frame(spark, rows), target, 3, 4, prune=prune).select("restaurant", "rank", "path").collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, wanted))
+
+
+def test_places_of_restaurants_without_a_window(spark):
+    from platefold.staging import placed
+
+    df = spark.range(997).selectExpr("id", "id % 10 v", "'x' _id").repartition(7)
+    got = sorted((r["place"], r["v"], r["id"]) for r in placed(df, ["v", "id"]).collect())
+    assert [(v, i) for _, v, i in got] == sorted((i % 10, i) for i in range(997))
+    assert [p for p, _, _ in got] == list(range(1, 998))
+
+
 def test_preferences_change_the_best(spark):
     rows = [("r", [300, 40, 40, 15]), ("r", [300, 40, 50, 15])]
     fat_low = Preferences(fat=Preference(0.8))
