@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,6 +52,18 @@ def slices(batches, rows: int = 500):
             yield b.slice(at, rows)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """What runs inside sends at most ``rows`` rows to a Python worker at a time: with whole texts in them, ten thousand would fill its memory and the JVM's buffers."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 #: Rows of one key from which it counts as hot, and hot keys at most.
 HOT_ROWS, HOT_KEYS = 100, 50_000
 

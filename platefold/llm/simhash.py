@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, join_hot, slices, stage
+from .common import documents, join_hot, slices, small_batches, stage
 from .components import connected_components
 from .lm import _counts, pair, tokens
 
@@ -186,14 +186,24 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     at least the lesser l of them, so pairs that share fewer are no candidates.  Candidates are
     verified on the texts.
 
-    Members of keys of more than ``crowd`` texts meet at home first: of a text's crowded keys those
+    A key is wide for a text if so few of its shingles come before it that a text of the same size
+    with no earlier shingle in common can still be alike.  Two texts for both of which a key is not
+    wide do not have it as their first in common: the smaller one's shingles from there on are too few.
+    So in keys of more than ``crowd`` texts only pairs with a wide member are made, and pages of one
+    template with enough text of their own, for which its shingles are not wide, make none.
+
+    Members of such keys meet at home first: of a text's crowded keys with wide members those
     with the least hash, by HOMES different hashes, are its homes, and texts that share one are
     compared there on their whole sets, chunk against chunk.  What is connected by then, or was
-    compared, makes no further pair; all other pairs of all keys are made and counted, in groups of
+    compared, makes no further pair; all other pairs are made and counted, in groups of
     twice ``crowd`` members at most.  No task holds a whole key.
     """
-    spark = docs.sparkSession
-    rows = documents(docs, id_col, text_col).dropna(subset=["doc_id"])
+    with small_batches(docs.sparkSession):
+        return _near_duplicate_groups(documents(docs, id_col, text_col).dropna(subset=["doc_id"]), words, similarity, crowd)
+
+
+def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd: int) -> DataFrame:
+    spark = rows.sparkSession
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     seen = _counts(sample, lambda texts: np.concatenate([_shingle_hashes(t, words) for t in texts])).where(F.col("c") >= SEEN)
     seen = seen.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
@@ -218,11 +228,21 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>"), "near-keys")
     # a class of texts is a node, named by its twin hash: an id may have texts of several classes
     classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "keys")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.size", "m.keys", "rows"), "near-classes")
-    keyed = classes.select(F.col("twin").alias("node"), "size", F.explode("keys").alias("key"))
-    # keys are counted first; of those with the same members one stands for all, with their number
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s")).where("n > 1")
-    met = stage(met.groupBy("n", "s").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "n", "weight"), "near-met")
-    members = stage(join_hot(keyed, met, ["key"], "n"), "near-members")
+    keyed = classes.select(F.col("twin").alias("node"), "size", F.posexplode("keys").alias("place", "key"))
+    # keys are counted first; of those with the same members the first in the order of all texts stands for all, with their number
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.min(F.struct("node", "place")).alias("of")).where("n > 1")
+    met = stage(met.groupBy("n", "s").agg(F.min_by("key", F.struct("of.place", "key")).alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "n", "weight"), "near-met")
+    # a text of this size has this share of its shingles in common with one of the same size that is alike
+    share = 2 * similarity / (1 + similarity)
+    wide = (F.col("size") - F.col("place")) + F.lit(1e-6) >= F.lit(share) * F.col("size")
+    members = join_hot(keyed, met, ["key"], "n").withColumn("wide", (F.col("n") <= crowd) | wide).drop("place")
+    members = stage(members, "near-members")
+    # keys that nobody is wide for are left out; what a text misses by that, or by not meeting its like, is told with it
+    narrow = members.where("not wide").groupBy("node").agg(F.sum("weight").alias("missed"))
+    sized = members.where(F.col("n") > crowd).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if("wide").alias("w"))
+    sized = stage(sized, "near-sized")
+    closed = sized.where("w = 0").select("key")
+    members = stage(members.join(F.broadcast(closed) if closed.count() <= BROADCAST_IDS else closed, "key", "left_anti"), "near-members")
 
     # ids that are repeated with different texts: of these only texts of the node's own class will do
     several = stage(fp.groupBy("doc_id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("doc_id"), "near-several")
@@ -272,9 +292,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), "near-links")
 
     crowded = members.where(F.col("n") > crowd)
-    homes = stage(crowded.groupBy("node").agg(F.array(*(F.expr(f"xxhash64({turn}, min_by(key, xxhash64(key, {turn})))") for turn in range(HOMES))).alias("homes")), "near-homes")
+    home = lambda turn: F.expr(f"min_by(struct(xxhash64({turn}, key) as home, wide), xxhash64(key, {turn}))")
+    homes = crowded.groupBy("node").agg(F.array(*(home(turn) for turn in range(HOMES))).alias("at"))
+    homes = stage(homes.select("node", F.transform("at", lambda x: x["home"]).alias("homes"), F.transform(F.filter("at", lambda x: x["wide"]), lambda x: x["home"]).alias("wide_homes")), "near-homes")
     links = _links_at_home(homes, lambda nodes: texts_of(nodes).mapInArrow(_sets(words), "node long, shingles binary"), similarity)
-    labelled = _relabel(members, homes, connected_components(links))
+    labelled = _relabel(members, homes, narrow, connected_components(links))
     last = verified(_candidates(labelled, crowd, similarity))
     found = connected_components(links.unionByName(last))
     named = stage(classes.join(found, classes["twin"] == found["node"], "left").select("twin", "least", "rows", F.coalesce("component", "twin").alias("component")), "near-named")
@@ -327,17 +349,28 @@ def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
+def _dealt(rows: DataFrame, n: str, wide_n: str, each: int) -> DataFrame:
+    """``rows`` (node, wide, and the counts of a group's members and of its wide ones) once for each two chunks that a member is compared in.
+
+    Wide members are in chunks of their own, which meet each other and those of the rest; a pair of
+    chunks is (low, high), ``own`` a member's own one.
+    """
+    w, r = (F.ceil(c / F.lit(each)).cast("int") for c in (F.col(wide_n), F.col(n) - F.col(wide_n)))
+    own = F.when(F.col("wide"), F.pmod(F.xxhash64("node"), F.greatest(w, F.lit(1)))).otherwise(w + F.pmod(F.xxhash64("node"), F.greatest(r, F.lit(1)))).cast("int")
+    others = F.when(F.col("wide"), w + r).otherwise(w)
+    dealt = rows.withColumns({"own": own, "others": others}).where("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
+    return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "others")
+
+
 def _links_at_home(homes: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links among (node, homes): all that the nodes of each home need, found on whole sets.
+    """Links among (node, homes, wide_homes): all that the nodes of each home need with a wide one of it, found on whole sets.
 
     A home's members are dealt into chunks, and each two chunks are compared by a task of its own,
     which gives back a spanning forest; so a task holds twice AT_HOME sets at most.
     """
-    at = homes.select("node", F.explode("homes").alias("home"))
-    sizes = stage(at.groupBy("home").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-home-sizes")
-    chunks = F.ceil(F.col("n") / AT_HOME).cast("int")
-    dealt = join_hot(at, sizes, ["home"], "n").withColumns({"own": F.pmod(F.xxhash64("node"), chunks).cast("int"), "other": F.explode(F.sequence(F.lit(0), chunks - 1))})
-    dealt = dealt.select("node", "home", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    at = homes.select("node", F.explode("homes").alias("home"), "wide_homes").select("node", "home", F.array_contains("wide_homes", F.col("home")).alias("wide"))
+    sizes = stage(at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0"), "near-home-sizes")
+    dealt = _dealt(join_hot(at, sizes, ["home"], "n"), "n", "w", AT_HOME).select("node", "home", "own", "low", "high")
     sets = sets_of(homes.select("node"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -355,29 +388,29 @@ def _links_at_home(homes: DataFrame, sets_of, similarity: float) -> DataFrame:
     return stage(dealt.join(sets, "node").groupBy("home", "low", "high").applyInArrow(compare, "src long, dst long").distinct(), "near-links")
 
 
-def _relabel(members: DataFrame, homes: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with their homes, and the component that each node is in by now as its label."""
-    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(homes, "node", "left").join(found, "node", "left")
-    own = own.select("node", "keys", F.coalesce("component", "node").alias("label"), F.coalesce("homes", F.array().cast("array<long>")).alias("homes"))
+def _relabel(members: DataFrame, homes: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with their homes, the keys they miss, and the component that each node is in by now as its label."""
+    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(homes, "node", "left").join(narrow, "node", "left").join(found, "node", "left")
+    none = F.array().cast("array<long>")
+    own = own.select("node", "keys", F.coalesce("component", "node").alias("label"), F.coalesce("missed", F.lit(0)).alias("missed"), F.coalesce("homes", none).alias("homes"), F.coalesce("wide_homes", none).alias("wide_homes"))
     return stage(join_hot(members, stage(own, "near-labels"), ["node"], "keys").drop("keys"), "near-labelled")
 
 
 def _candidates(labelled: DataFrame, crowd: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes with different labels and homes that share enough keys and have fitting sizes.
+    """(a, b): pairs of nodes with different labels, not compared at a home, that share enough keys and have fitting sizes.
 
-    Members of a key are dealt into chunks of ``crowd``; each pair of chunks is a group of its own.
+    A key of up to ``crowd`` members is one group.  Members of others are dealt into chunks of
+    ``crowd``; each pair of chunks with a wide one is a group of its own.  Of the keys that two texts share at
+    most those can be left out that the lesser of them misses.
     """
-    chunks = F.ceil(F.col("n") / crowd).cast("int")
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("members")).where("l <> m").select("key", "members")
-    rows = join_hot(labelled, stage(mixed, "near-mixed"), ["key"], "members").withColumns({"chunks": chunks, "own": F.pmod(F.xxhash64("node"), chunks).cast("int")})
-    # a member of chunk i goes to the groups (i, j) and (j, i) of all j: written (low, high)
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", "weight", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.struct("node", "size", "label", "own", "homes").alias("x"))
+    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("members"), F.count_if("wide").alias("w")).where("l <> m").select("key", "members", "w")
+    rows = _dealt(join_hot(labelled, stage(mixed, "near-mixed"), ["key"], "members"), "members", "w", crowd)
+    rows = rows.select("key", "weight", "low", "high", F.struct("node", "size", "label", "own", "missed", "homes", "wide_homes").alias("x"))
     groups = rows.groupBy("key", "weight", "low", "high").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pairs = F.expr(
         f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)),
-            y -> x.label <> y.label and (low = high or x.own <> y.own) and not arrays_overlap(x.homes, y.homes) and least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
-            y -> struct(x.node as a, y.node as b, least(x.size, y.size) as least))))"""
+            y -> x.label <> y.label and (low = high or x.own <> y.own) and not arrays_overlap(x.wide_homes, y.homes) and not arrays_overlap(x.homes, y.wide_homes) and least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
+            y -> struct(x.node as a, y.node as b, 1 + least(x.size, y.size) div {MORE} - least(x.missed, y.missed) as wanted))))"""
     )
     made = groups.select("weight", F.inline(pairs))
-    return made.groupBy("a", "b", "least").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= 1 + F.floor(F.col("least") / MORE)).select("a", "b")
+    return made.groupBy("a", "b", "wanted").agg(F.sum("weight").alias("shared")).where(F.col("shared") >= F.col("wanted")).select("a", "b")

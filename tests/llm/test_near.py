@@ -88,3 +88,38 @@ def test_recall_by_kind_of_edit(spark, edit):
     expected = groups(texts)
     assert sum(expected[d] != d for d in texts) > 150
     assert grouped(spark, texts) == expected
+
+
+def template_texts(rng, size, shared=150, own=42):
+    base = [word(rng) for _ in range(shared)]
+    return {d: " ".join(base + [word(rng) for _ in range(own)]) for d in range(size)}
+
+
+def test_pages_of_one_template(spark):
+    """Hundreds of pages with the same passage and enough text of their own, among them true copies and the bare passage."""
+    rng = random.Random(11)
+    texts = template_texts(rng, 300)
+    for d in range(0, 300, 30):  # copies of some pages, a few words changed
+        w = texts[d].split()
+        for at in rng.sample(range(len(w)), 4):
+            w[at] = word(rng)
+        texts[1000 + d] = " ".join(w)
+    w = texts[7].split()[:150]
+    for d in range(2000, 2090):  # the passage with little beside it
+        texts[d] = " ".join(w + [word(rng) for _ in range(rng.randint(0, 25))])
+    assert grouped(spark, texts) == groups(texts)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_templates_near_the_threshold(spark, seed):
+    """Own text from far too much to almost none, before, after and around the passage."""
+    rng = random.Random(seed)
+    base = [word(rng) for _ in range(100)]
+    texts = {}
+    for d in range(260):
+        before, after = ([word(rng) for _ in range(rng.choice((0, 2, 5, 10, 20)))] for _ in range(2))
+        cut = rng.choice((0, 0, 5))
+        texts[d] = " ".join(before + base[cut:] + after)
+    expected = groups(texts)
+    assert 1 < len(set(expected.values())) < 260
+    assert grouped(spark, texts) == expected
