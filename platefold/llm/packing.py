@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stage
+from .common import documents, small_batches, stage
 from .vocab import chunk_tokenizer
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
@@ -175,7 +175,8 @@ def pack(docs: DataFrame, path: str, window: int = 1024, end: int = 0, id_col: s
     ``window`` numbers.
     """
     spark = docs.sparkSession
-    cut = stage(pieces(docs, path, window, end, id_col, text_col, with_ids).withColumn("rid", F.monotonically_increasing_id()), "pieces")
+    with small_batches(spark):
+        cut = stage(pieces(docs, path, window, end, id_col, text_col, with_ids).withColumn("rid", F.monotonically_increasing_id()), "pieces")
     sizes = {r[0]: r[1] for r in cut.groupBy("length").count().collect()}
     places = solve(sizes, window).places()
     parts = max(1, ceil(max(sizes.values(), default=1) / RANKED))
