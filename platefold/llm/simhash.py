@@ -151,8 +151,10 @@ SAMPLE, SEEN, COMMON = 16, 4, 200_000
 BROADCAST_IDS = 500_000
 #: One shared key more is asked for, and told, for every so many shingles of a text.
 MORE = 20
-#: Members from which a key is crowded, homes of a member of crowded keys, and members of a home in a chunk.
-CROWD, HOMES, AT_HOME = 64, 10, 128
+#: Members from which a key is crowded, homes of a member of crowded keys, pivots of a home in each round, and members that meet them in a task.
+CROWD, HOMES, PIVOTS, AT_HOME = 64, 3, (8, 64), 128
+#: Bits of a sketch for each shingle, at least.
+SKETCH = 4
 #: Shingles whose columns are multiplied at a time.
 COLUMNS = 8192
 #: Pairs that one copy of a text serves.
@@ -170,6 +172,25 @@ def _shingle_hashes(text: str, words: int) -> np.ndarray:
     return np.unique(out)
 
 
+def _sketch(hashes: np.ndarray) -> bytes:
+    """A bitmap of the set, of a power of two of bits: each shingle sets one."""
+    bits = max(64, 1 << (SKETCH * len(hashes) - 1).bit_length())
+    out = np.zeros(bits, bool)
+    out[(hashes >> np.uint64(20)) & np.uint64(bits - 1)] = True
+    return np.packbits(out, bitorder="little").tobytes()
+
+
+def _may_be_alike(x: np.ndarray, n: int, y: np.ndarray, m: int, similarity: float) -> bool:
+    """Whether two sketches of sets of n and m leave room for the similarity: a bit that only one has is a shingle that only one has.
+
+    The longer one is folded to the length of the other; a place is the lowest bits of a hash in both.
+    """
+    k = min(len(x), len(y))
+    x, y = (np.bitwise_or.reduce(z.reshape(-1, k), axis=0) for z in (x, y))
+    both = min(n - int(np.bitwise_count(x & ~y).sum()), m - int(np.bitwise_count(y & ~x).sum()))
+    return both >= similarity * (n + m - both) - 1e-9
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, crowd: int = CROWD) -> DataFrame:
     """(doc_id, component_id) of every document with an id: groups of near copies.
 
@@ -192,11 +213,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     So in keys of more than ``crowd`` texts only pairs with a wide member are made, and pages of one
     template with enough text of their own, for which its shingles are not wide, make none.
 
-    Members of such keys meet at home first: of a text's crowded keys with wide members those
-    with the least hash, by HOMES different hashes, are its homes, and texts that share one are
-    compared there on their whole sets, chunk against chunk.  What is connected by then, or was
-    compared, makes no further pair; all other pairs are made and counted, in groups of
-    twice ``crowd`` members at most.  No task holds a whole key.
+    Members of such keys meet pivots first: of a text's crowded keys with wide members those
+    with the least hash, by HOMES different hashes, are its homes, and it is compared on whole sets with
+    a few wide members of each; what is not in a home's largest component then, with more of them.
+    That puts most of a family of copies in one component, at a cost
+    in proportion to its members, and decides nothing else: what is connected by then makes no
+    further pair, and all other pairs are made and counted, in groups of
+    twice ``crowd`` members at most.  Of a key's members those of its largest component meet only the others.
+    No task holds a whole key.
     """
     with small_batches(docs.sparkSession):
         return _near_duplicate_groups(documents(docs, id_col, text_col).dropna(subset=["doc_id"]), words, similarity, crowd)
@@ -214,20 +238,21 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         for b in slices(batches):
-            twins, sizes, keys = [], [], []
+            twins, sizes, keys, sketches = [], [], [], []
             for t in b.column(1).to_pylist():
                 twins.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63)
                 h = _shingle_hashes(t, words)
+                sketches.append(_sketch(h))
                 if len(common):
                     at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                     h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
                 sizes.append(len(h))
                 keys.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1 + len(h) // MORE].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "twin", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "twin", "size", "keys", "sketch"])
 
-    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>"), "near-keys")
+    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>, sketch binary"), "near-keys")
     # a class of texts is a node, named by its twin hash: an id may have texts of several classes
-    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "keys")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.size", "m.keys", "rows"), "near-classes")
+    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "keys", "sketch")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.size", "m.keys", "m.sketch", "rows"), "near-classes")
     keyed = classes.select(F.col("twin").alias("node"), "size", F.posexplode("keys").alias("place", "key"))
     # keys are counted first; of those with the same members the first in the order of all texts stands for all, with their number
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.min(F.struct("node", "place")).alias("of")).where("n > 1")
@@ -264,6 +289,13 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
             ok = [xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63 == n for t, n in zip(text, node, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([n for n, y in zip(node, ok, strict=True) if y], pa.int64()), pa.array([t for t, y in zip(text, ok, strict=True) if y], pa.string())], ["node", "text"])
 
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            held: dict[bytes, np.ndarray] = {}
+            words_of = lambda raw: held[raw] if raw in held else held.setdefault(raw, np.frombuffer(raw, "<u8"))
+            close = [_may_be_alike(words_of(x), n, words_of(y), m, similarity) for n, x, m, y in zip(*(b.column(c).to_pylist() for c in ("size_a", "sketch_a", "size_b", "sketch_b")), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(close, pa.bool_())), b.column(1).filter(pa.array(close, pa.bool_()))], ["a", "b"])
+
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             src, dst = [], []
@@ -276,27 +308,38 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
                     dst.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
-    def with_text(pairs: DataFrame, x: str, y: str, texts: DataFrame, total: int) -> DataFrame:
-        """The text of node ``x`` beside each pair; one with many pairs is dealt over several tasks."""
+    def beside(pairs: DataFrame, x: str, y: str, what: DataFrame, total: int) -> DataFrame:
+        """What ``what`` (node, ...) has for node ``x`` beside each pair; a node with many pairs is dealt over several tasks."""
         counts = pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n"))
         parts = F.floor(F.col("n") / PAIRS_TOGETHER)
-        own = texts.withColumnsRenamed({"node": x, "text": f"text_{x}"}).join(counts, x).withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("n")
+        own = what.withColumnsRenamed({c: x if c == "node" else f"{c}_{x}" for c in what.columns}).join(counts, x).withColumn("part", F.explode(F.sequence(F.lit(0), parts))).drop("n")
         return join_hot(pairs, counts, [x], "n", total=total).withColumn("part", F.pmod(F.xxhash64(y), 1 + parts)).drop("n").join(own, [x, "part"]).drop("part")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """Links among pairs (a, b) of nodes."""
+        """Links among pairs (a, b) of nodes: first by sketches, which are small and rule most of them out, then by the texts."""
         pairs = stage(pairs, "near-pairs")
         total = pairs.count()
+        sketches = classes.select(F.col("twin").alias("node"), "size", "sketch").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
+        sketches = stage(sketches, "near-sketches")
+        told = beside(beside(pairs, "a", "b", sketches, total), "b", "a", sketches, total)
+        pairs = stage(told.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(compared, "a long, b long"), "near-close")
+        total = pairs.count()
         texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "near-texts")
-        both = with_text(with_text(pairs, "a", "b", texts, total), "b", "a", texts, total)
+        both = beside(beside(pairs, "a", "b", texts, total), "b", "a", texts, total)
         return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), "near-links")
 
     crowded = members.where(F.col("n") > crowd)
-    home = lambda turn: F.expr(f"min_by(struct(xxhash64({turn}, key) as home, wide), xxhash64(key, {turn}))")
-    homes = crowded.groupBy("node").agg(F.array(*(home(turn) for turn in range(HOMES))).alias("at"))
-    homes = stage(homes.select("node", F.transform("at", lambda x: x["home"]).alias("homes"), F.transform(F.filter("at", lambda x: x["wide"]), lambda x: x["home"]).alias("wide_homes")), "near-homes")
-    links = _links_at_home(homes, lambda nodes: texts_of(nodes).mapInArrow(_sets(words), "node long, shingles binary"), similarity)
-    labelled = _relabel(members, homes, narrow, connected_components(links))
+    at = stage(_homes(crowded), "near-homes")
+    sets = stage(texts_of(at.select("node")).mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
+    links = spark.createDataFrame([], "src long, dst long")
+    found = spark.createDataFrame([], "node long, component long")
+    for turn, pivots in enumerate(PIVOTS):
+        more = _links_to_pivots(at, found, sets, similarity, pivots, turn)
+        if more.isEmpty():
+            break
+        links = links.unionByName(more)
+        found = connected_components(links)
+    labelled = _relabel(members, narrow, found)
     last = verified(_candidates(labelled, crowd, similarity))
     found = connected_components(links.unionByName(last))
     named = stage(classes.join(found, classes["twin"] == found["node"], "left").select("twin", "least", "rows", F.coalesce("component", "twin").alias("component")), "near-named")
@@ -349,67 +392,84 @@ def _forest(alike: np.ndarray) -> list[tuple[int, int]]:
     return edges
 
 
-def _dealt(rows: DataFrame, n: str, wide_n: str, each: int) -> DataFrame:
-    """``rows`` (node, wide, and the counts of a group's members and of its wide ones) once for each two chunks that a member is compared in.
+def _dealt(rows: DataFrame, n: str, some_n: str, some: str, each: int) -> DataFrame:
+    """``rows`` (node, ``some``, and the counts of a group's members and of those marked) once for each two chunks that a member is compared in.
 
-    Wide members are in chunks of their own, which meet each other and those of the rest; a pair of
-    chunks is (low, high), ``own`` a member's own one.
+    Marked members are in chunks of their own, which meet each other and those of the rest; a pair
+    of chunks is (low, high), ``own`` a member's own one.
     """
-    w, r = (F.ceil(c / F.lit(each)).cast("int") for c in (F.col(wide_n), F.col(n) - F.col(wide_n)))
-    own = F.when(F.col("wide"), F.pmod(F.xxhash64("node"), F.greatest(w, F.lit(1)))).otherwise(w + F.pmod(F.xxhash64("node"), F.greatest(r, F.lit(1)))).cast("int")
-    others = F.when(F.col("wide"), w + r).otherwise(w)
+    w, r = (F.ceil(c / F.lit(each)).cast("int") for c in (F.col(some_n), F.col(n) - F.col(some_n)))
+    own = F.when(F.col(some), F.pmod(F.xxhash64("node"), F.greatest(w, F.lit(1)))).otherwise(w + F.pmod(F.xxhash64("node"), F.greatest(r, F.lit(1)))).cast("int")
+    others = F.when(F.col(some), w + r).otherwise(w)
     dealt = rows.withColumns({"own": own, "others": others}).where("others > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("others") - 1)))
     return dealt.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("other", "others")
 
 
-def _links_at_home(homes: DataFrame, sets_of, similarity: float) -> DataFrame:
-    """Links among (node, homes, wide_homes): all that the nodes of each home need with a wide one of it, found on whole sets.
+def _homes(crowded: DataFrame) -> DataFrame:
+    """(node, home, wide): the homes of the members (node, key, wide) of crowded keys."""
+    home = lambda turn: F.expr(f"min_by(struct(xxhash64({turn}, key) as home, wide), xxhash64(key, {turn}))")
+    return crowded.groupBy("node").agg(F.array(*(home(turn) for turn in range(HOMES))).alias("at")).select("node", F.explode("at").alias("x")).select("node", "x.home", "x.wide")
+
+
+def _links_to_pivots(at: DataFrame, found: DataFrame, sets: DataFrame, similarity: float, pivots: int, turn: int) -> DataFrame:
+    """(src, dst): links of members (node, home, wide) of homes with two components or more to ``pivots`` wide ones of each.
 
-    A home's members are dealt into chunks, and each two chunks are compared by a task of its own,
-    which gives back a spanning forest; so a task holds twice AT_HOME sets at most.
+    Members of a home's largest component, by ``found`` (node, component), are compared as pivots only.  The others
+    are dealt into chunks, and the pivots go to each; a task holds AT_HOME sets and the pivots', and gives
+    back a spanning forest, an edge for a member at most.
     """
-    at = homes.select("node", F.explode("homes").alias("home"), "wide_homes").select("node", "home", F.array_contains("wide_homes", F.col("home")).alias("wide"))
-    sizes = stage(at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0"), "near-home-sizes")
-    dealt = _dealt(join_hot(at, sizes, ["home"], "n"), "n", "w", AT_HOME).select("node", "home", "own", "low", "high")
-    sets = sets_of(homes.select("node"))
+    own = at.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    own = stage(own, "near-at")
+    by = own.groupBy("home", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("wide").alias("w"))
+    sizes = by.groupBy("home").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("w").alias("w")).where("top.c < n and w > 0")
+    sizes = stage(sizes.select("home", "n", F.col("top.label").alias("largest"), F.ceil((F.col("n") - F.col("top.c") + 1) / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
+    place = F.expr(f"row_number() over (partition by home order by xxhash64(node, home, {turn}), node)")
+    chosen = own.where("wide").withColumn("r", place).where(F.col("r") <= pivots).join(sizes, "home").select("node", "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
+    dealt = join_hot(own, sizes, ["home"], "n").where("label <> largest").select("node", "home", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("pivot"))
+    both = chosen.unionByName(dealt).groupBy("node", "home", "chunk").agg(F.bool_or("pivot").alias("pivot"))
 
     def compare(table: pa.Table) -> pa.Table:
-        node, own = (table.column(c).to_numpy() for c in ("node", "own"))
+        node, pivot = (table.column(c).to_numpy() for c in ("node", "pivot"))
         sets = [np.frombuffer(x, np.uint64) for x in table.column("shingles").to_pylist()]
         size = np.array([len(x) for x in sets])
         both = _common(sets)
         alike = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
-        if table.column("low")[0] != table.column("high")[0]:
-            alike &= own[:, None] != own[None, :]
+        alike &= pivot[:, None] | pivot[None, :]
         np.fill_diagonal(alike, False)
         edges = np.array(_forest(alike), np.int64).reshape(-1, 2)
         return pa.table({"src": pa.array(node[edges[:, 0]], pa.int64()), "dst": pa.array(node[edges[:, 1]], pa.int64())})
 
-    return stage(dealt.join(sets, "node").groupBy("home", "low", "high").applyInArrow(compare, "src long, dst long").distinct(), "near-links")
+    return stage(both.join(sets, "node").groupBy("home", "chunk").applyInArrow(compare, "src long, dst long").distinct(), "near-links")
 
 
-def _relabel(members: DataFrame, homes: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
-    """``members`` with their homes, the keys they miss, and the component that each node is in by now as its label."""
-    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(homes, "node", "left").join(narrow, "node", "left").join(found, "node", "left")
-    none = F.array().cast("array<long>")
-    own = own.select("node", "keys", F.coalesce("component", "node").alias("label"), F.coalesce("missed", F.lit(0)).alias("missed"), F.coalesce("homes", none).alias("homes"), F.coalesce("wide_homes", none).alias("wide_homes"))
+def _relabel(members: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
+    """``members`` with the number of keys they miss, and the component that each node is in by now as its label."""
+    own = members.groupBy("node").agg(F.count(F.lit(1)).alias("keys")).join(narrow, "node", "left").join(found, "node", "left")
+    own = own.select("node", "keys", F.coalesce("component", "node").alias("label"), F.coalesce("missed", F.lit(0)).alias("missed"))
     return stage(join_hot(members, stage(own, "near-labels"), ["node"], "keys").drop("keys"), "near-labelled")
 
 
 def _candidates(labelled: DataFrame, crowd: int, similarity: float) -> DataFrame:
-    """(a, b): pairs of nodes with different labels, not compared at a home, that share enough keys and have fitting sizes.
+    """(a, b): pairs of nodes with different labels that share enough keys and have fitting sizes.
 
     A key of up to ``crowd`` members is one group.  Members of others are dealt into chunks of
-    ``crowd``; each pair of chunks with a wide one is a group of its own.  Of the keys that two texts share at
+    ``crowd``: those of the key's largest component meet the others only, or those for whom the key is not wide
+    the wide ones only, whichever leaves fewer.  Of the keys that two texts share at
     most those can be left out that the lesser of them misses.
     """
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("members"), F.count_if("wide").alias("w")).where("l <> m").select("key", "members", "w")
-    rows = _dealt(join_hot(labelled, stage(mixed, "near-mixed"), ["key"], "members"), "members", "w", crowd)
-    rows = rows.select("key", "weight", "low", "high", F.struct("node", "size", "label", "own", "missed", "homes", "wide_homes").alias("x"))
+    counts = labelled.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("wide").alias("w"))
+    mixed = counts.groupBy("key").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("members"), F.sum("w").alias("w")).where("top.c < members")
+    mixed = mixed.withColumn("others", F.col("members") - F.col("top.c")).withColumn("by_label", F.col("others") <= F.col("w"))
+    mixed = mixed.select("key", "members", F.col("top.label").alias("largest"), "by_label", F.least("others", "w").alias("marked_n"))
+    rows = join_hot(labelled, stage(mixed, "near-mixed"), ["key"], "members")
+    small = F.col("members") <= crowd
+    rows = rows.withColumn("marked", small | F.when(F.col("by_label"), F.col("label") != F.col("largest")).otherwise(F.col("wide"))).withColumn("marked_n", F.when(small, F.col("members")).otherwise(F.col("marked_n")))
+    rows = _dealt(rows, "members", "marked_n", "marked", crowd)
+    rows = rows.select("key", "weight", "low", "high", F.struct("node", "size", "label", "own", "missed", "wide").alias("x"))
     groups = rows.groupBy("key", "weight", "low", "high").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     pairs = F.expr(
         f"""flatten(transform(xs, (x, i) -> transform(filter(slice(xs, i + 2, size(xs)),
-            y -> x.label <> y.label and (low = high or x.own <> y.own) and not arrays_overlap(x.wide_homes, y.homes) and not arrays_overlap(x.homes, y.wide_homes) and least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
+            y -> x.label <> y.label and (low = high or x.own <> y.own) and (x.wide or y.wide) and least(x.size, y.size) >= {similarity - 1e-9!r}D * greatest(x.size, y.size)),
             y -> struct(x.node as a, y.node as b, 1 + least(x.size, y.size) div {MORE} - least(x.missed, y.missed) as wanted))))"""
     )
     made = groups.select("weight", F.inline(pairs))

@@ -123,3 +123,20 @@ def test_templates_near_the_threshold(spark, seed):
     expected = groups(texts)
     assert 1 < len(set(expected.values())) < 260
     assert grouped(spark, texts) == expected
+
+
+def test_sketches_never_rule_out_what_is_alike():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    for n in (1, 3, 40, 300, 5000):
+        for share in (0.5, 0.75, 0.8, 0.85, 0.95, 1.0):
+            base = rng.integers(0, 2**63, n, np.uint64)
+            for m in (n, max(1, int(n * 0.85))):
+                kept = base[: int(min(n, m) * share)]
+                x, y = base, np.concatenate([kept, rng.integers(0, 2**63, m - len(kept), np.uint64)])
+                both = len(np.intersect1d(x, y))
+                may = simhash._may_be_alike(*(z for h in (x, y) for z in (np.frombuffer(simhash._sketch(h), "<u8"), len(np.unique(h)))), 0.8)
+                assert may or both < 0.8 * (len(np.unique(x)) + len(np.unique(y)) - both)
+                if n >= 300 and share == 0.5:
+                    assert not may
