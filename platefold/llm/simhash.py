@@ -152,7 +152,7 @@ BROADCAST_IDS = 500_000
 #: One shared key more is asked for, and told, for every so many shingles of a text.
 MORE = 20
 #: Members from which a key is crowded, homes of a member of crowded keys, pivots of a home in each round, and members that meet them in a task.
-CROWD, HOMES, PIVOTS, AT_HOME = 64, 3, (8, 64), 128
+CROWD, HOMES, PIVOTS, AT_HOME = 64, 3, (32,), 128
 #: Bits of a sketch for each shingle, at least.
 SKETCH = 4
 #: Shingles whose columns are multiplied at a time.
