@@ -151,8 +151,8 @@ SAMPLE, SEEN, COMMON = 16, 4, 200_000
 BROADCAST_IDS = 500_000
 #: One shared key more is asked for, and told, for every so many shingles of a text.
 MORE = 20
-#: Members from which a key is crowded, homes of a member of crowded keys, pivots of a home in each round, and members that meet them in a task.
-CROWD, HOMES, PIVOTS, AT_HOME = 64, 3, (32,), 128
+#: Members from which a key is crowded, homes of a member of crowded keys, pivots of a home, and members that meet them in a task.
+CROWD, HOMES, PIVOTS, AT_HOME = 64, 3, 32, 128
 #: Bits of a sketch for each shingle, at least.
 SKETCH = 4
 #: Shingles whose columns are multiplied at a time.
@@ -215,8 +215,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Members of such keys meet pivots first: of a text's crowded keys with wide members those
     with the least hash, by HOMES different hashes, are its homes, and it is compared on whole sets with
-    a few wide members of each; what is not in a home's largest component then, with more of them.
-    That puts most of a family of copies in one component, at a cost
+    PIVOTS wide members of each.  That puts most of a family of copies in one component, at a cost
     in proportion to its members, and decides nothing else: what is connected by then makes no
     further pair, and all other pairs are made and counted, in groups of
     twice ``crowd`` members at most.  Of a key's members those of its largest component meet only the others.
@@ -230,8 +229,8 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     spark = rows.sparkSession
     sample = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0).select("text")
     seen = _counts(sample, lambda texts: np.concatenate([_shingle_hashes(t, words) for t in texts])).where(F.col("c") >= SEEN)
-    seen = seen.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
-    hashes, counts = seen["h"].to_numpy(np.int64).view(np.uint64), seen["c"].to_numpy(np.int64)
+    seen = seen.orderBy(F.desc("c"), "h").limit(COMMON).toArrow()
+    hashes, counts = seen.column("h").to_numpy().astype(np.int64).view(np.uint64), seen.column("c").to_numpy().astype(np.int64)
     order = np.argsort(hashes)
     shared = spark.sparkContext.broadcast((hashes[order], counts[order]))
 
@@ -331,14 +330,8 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     crowded = members.where(F.col("n") > crowd)
     at = stage(_homes(crowded), "near-homes")
     sets = stage(texts_of(at.select("node")).mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
-    links = spark.createDataFrame([], "src long, dst long")
-    found = spark.createDataFrame([], "node long, component long")
-    for turn, pivots in enumerate(PIVOTS):
-        more = _links_to_pivots(at, found, sets, similarity, pivots, turn)
-        if more.isEmpty():
-            break
-        links = links.unionByName(more)
-        found = connected_components(links)
+    links = stage(_links_to_pivots(at, sets, similarity), "near-links")
+    found = connected_components(links)
     labelled = _relabel(members, narrow, found)
     last = verified(_candidates(labelled, crowd, similarity))
     found = connected_components(links.unionByName(last))
@@ -411,21 +404,17 @@ def _homes(crowded: DataFrame) -> DataFrame:
     return crowded.groupBy("node").agg(F.array(*(home(turn) for turn in range(HOMES))).alias("at")).select("node", F.explode("at").alias("x")).select("node", "x.home", "x.wide")
 
 
-def _links_to_pivots(at: DataFrame, found: DataFrame, sets: DataFrame, similarity: float, pivots: int, turn: int) -> DataFrame:
-    """(src, dst): links of members (node, home, wide) of homes with two components or more to ``pivots`` wide ones of each.
+def _links_to_pivots(at: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(src, dst): links of members (node, home, wide) to PIVOTS wide ones of each of their homes.
 
-    Members of a home's largest component, by ``found`` (node, component), are compared as pivots only.  The others
-    are dealt into chunks, and the pivots go to each; a task holds AT_HOME sets and the pivots', and gives
+    A home's members are dealt into chunks, and the pivots go to each; a task holds AT_HOME sets and the pivots', and gives
     back a spanning forest, an edge for a member at most.
     """
-    own = at.join(found, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    own = stage(own, "near-at")
-    by = own.groupBy("home", "label").agg(F.count(F.lit(1)).alias("c"), F.count_if("wide").alias("w"))
-    sizes = by.groupBy("home").agg(F.max(F.struct("c", "label")).alias("top"), F.sum("c").alias("n"), F.sum("w").alias("w")).where("top.c < n and w > 0")
-    sizes = stage(sizes.select("home", "n", F.col("top.label").alias("largest"), F.ceil((F.col("n") - F.col("top.c") + 1) / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
-    place = F.expr(f"row_number() over (partition by home order by xxhash64(node, home, {turn}), node)")
-    chosen = own.where("wide").withColumn("r", place).where(F.col("r") <= pivots).join(sizes, "home").select("node", "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
-    dealt = join_hot(own, sizes, ["home"], "n").where("label <> largest").select("node", "home", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("pivot"))
+    sizes = at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0")
+    sizes = stage(sizes.select("home", "n", F.ceil(F.col("n") / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
+    place = F.expr("row_number() over (partition by home order by xxhash64(node, home), node)")
+    chosen = at.where("wide").withColumn("r", place).where(F.col("r") <= PIVOTS).join(sizes, "home").select("node", "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
+    dealt = join_hot(at, sizes, ["home"], "n").select("node", "home", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("pivot"))
     both = chosen.unionByName(dealt).groupBy("node", "home", "chunk").agg(F.bool_or("pivot").alias("pivot"))
 
     def compare(table: pa.Table) -> pa.Table:
@@ -439,7 +428,7 @@ def _links_to_pivots(at: DataFrame, found: DataFrame, sets: DataFrame, similarit
         edges = np.array(_forest(alike), np.int64).reshape(-1, 2)
         return pa.table({"src": pa.array(node[edges[:, 0]], pa.int64()), "dst": pa.array(node[edges[:, 1]], pa.int64())})
 
-    return stage(both.join(sets, "node").groupBy("home", "chunk").applyInArrow(compare, "src long, dst long").distinct(), "near-links")
+    return both.join(sets, "node").groupBy("home", "chunk").applyInArrow(compare, "src long, dst long").distinct()
 
 
 def _relabel(members: DataFrame, narrow: DataFrame, found: DataFrame) -> DataFrame:
