@@ -261,12 +261,8 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     wide = (F.col("size") - F.col("place")) + F.lit(1e-6) >= F.lit(share) * F.col("size")
     members = join_hot(keyed, met, ["key"], "n").withColumn("wide", (F.col("n") <= crowd) | wide).drop("place")
     members = stage(members, "near-members")
-    # keys that nobody is wide for are left out; what a text misses by that, or by not meeting its like, is told with it
+    # what a text misses as it does not meet its like
     narrow = members.where("not wide").groupBy("node").agg(F.sum("weight").alias("missed"))
-    sized = members.where(F.col("n") > crowd).groupBy("key").agg(F.count(F.lit(1)).alias("members"), F.count_if("wide").alias("w"))
-    sized = stage(sized, "near-sized")
-    closed = sized.where("w = 0").select("key")
-    members = stage(members.join(F.broadcast(closed) if closed.count() <= BROADCAST_IDS else closed, "key", "left_anti"), "near-members")
 
     # ids that are repeated with different texts: of these only texts of the node's own class will do
     several = stage(fp.groupBy("doc_id").agg(F.min("twin").alias("a"), F.max("twin").alias("b")).where("a <> b").select("doc_id"), "near-several")
@@ -317,10 +313,11 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     def verified(pairs: DataFrame) -> DataFrame:
         """Links among pairs (a, b) of nodes: first by sketches, which are small and rule most of them out, then by the texts."""
         pairs = stage(pairs, "near-pairs")
-        total = pairs.count()
         sketches = classes.select(F.col("twin").alias("node"), "size", "sketch").join(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "node", "left_semi")
         sketches = stage(sketches, "near-sketches")
-        told = beside(beside(pairs, "a", "b", sketches, total), "b", "a", sketches, total)
+        told = pairs
+        for x in ("a", "b"):  # small rows: a skewed join is split as it runs
+            told = told.join(sketches.withColumnsRenamed({"node": x, "size": f"size_{x}", "sketch": f"sketch_{x}"}), x)
         pairs = stage(told.select("a", "b", "size_a", "sketch_a", "size_b", "sketch_b").mapInArrow(compared, "a long, b long"), "near-close")
         total = pairs.count()
         texts = stage(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node"))), "near-texts")
@@ -329,8 +326,11 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
 
     crowded = members.where(F.col("n") > crowd)
     at = stage(_homes(crowded), "near-homes")
+    sizes = at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0")
+    sizes = stage(sizes.select("home", "n", F.ceil(F.col("n") / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
+    at = stage(at.join(sizes, "home", "left_semi"), "near-at")
     sets = stage(texts_of(at.select("node")).mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
-    links = stage(_links_to_pivots(at, sets, similarity), "near-links")
+    links = stage(_links_to_pivots(at, sizes, sets, similarity), "near-links")
     found = connected_components(links)
     labelled = _relabel(members, narrow, found)
     last = verified(_candidates(labelled, crowd, similarity))
@@ -404,14 +404,12 @@ def _homes(crowded: DataFrame) -> DataFrame:
     return crowded.groupBy("node").agg(F.array(*(home(turn) for turn in range(HOMES))).alias("at")).select("node", F.explode("at").alias("x")).select("node", "x.home", "x.wide")
 
 
-def _links_to_pivots(at: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _links_to_pivots(at: DataFrame, sizes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """(src, dst): links of members (node, home, wide) to PIVOTS wide ones of each of their homes.
 
     A home's members are dealt into chunks, and the pivots go to each; a task holds AT_HOME sets and the pivots', and gives
     back a spanning forest, an edge for a member at most.
     """
-    sizes = at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0")
-    sizes = stage(sizes.select("home", "n", F.ceil(F.col("n") / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
     place = F.expr("row_number() over (partition by home order by xxhash64(node, home), node)")
     chosen = at.where("wide").withColumn("r", place).where(F.col("r") <= PIVOTS).join(sizes, "home").select("node", "home", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(True).alias("pivot"))
     dealt = join_hot(at, sizes, ["home"], "n").select("node", "home", F.pmod(F.xxhash64("node"), "chunks").cast("int").alias("chunk"), F.lit(False).alias("pivot"))
