@@ -3,7 +3,8 @@
 Each letter has a random vector of +1 and -1.  A letter n-gram is bound by multiplying its
 letters' vectors, each rotated by its place; a text is the bundle (sum) of its n-grams, and a
 language's prototype the bundle of its texts.  The language whose prototype has the largest
-cosine with a text is predicted.
+cosine with a text is predicted.  How likely the text is written in it at all is told by the
+cosine with the prototype less what all prototypes have in common.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ HELD = 24_000
 #: Languages that can be learned; the prototypes are broadcast, so their number is bounded.
 MOST_LANGUAGES = 2_000
 GAP = 32
+#: Spreads of chance that a text's likeness must exceed, and different n-grams from which a text tells its language fully.
+NOISE, TELLING = 3.5, 40
 
 
 class Hypervectors:
@@ -119,29 +122,46 @@ def learn(docs: DataFrame, learn_from: Column, size: int = 1024, id_col: str = "
 
 
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], size: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every whole text; score is the cosine, 0 at least.
+    """(doc_id, lang_pred, score, likeness, n_grams) of every whole text and row, also of null ids.
 
-    ``und`` with score 0 if the text is null, has no letter, or nothing was learned.  Of equal
-    cosines the language first in order wins.
+    score is the cosine, 0 at least; likeness the predicted language's cosine once the mean of the
+    prototypes is taken away (with one language the cosine itself); n_grams how many different
+    n-grams the text has.  ``und`` with zeros if the text is null, has no letter, or nothing was
+    learned.  Of equal cosines the language first in order wins.
     """
     langs = sorted(prototypes)
-    shared = docs.sparkSession.sparkContext.broadcast(np.array([prototypes[x] / max(np.linalg.norm(prototypes[x]), 1e-9) for x in langs]).reshape(len(langs), size))
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=-1, keepdims=True), 1e-9)
+    of_langs = unit(np.array([prototypes[x] for x in langs], float).reshape(len(langs), size))
+    shared = docs.sparkSession.sparkContext.broadcast((of_langs, unit(of_langs - of_langs.mean(0)) if len(langs) > 1 else of_langs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hv, known = hypervectors(size), shared.value
+        hv, (known, own) = hypervectors(size), shared.value
         for b in slices(batches):
-            pred, score = [], []
+            pred, score, likeness, n_grams = [], [], [], []
             for text in b.column(1).to_pylist():
                 keys, counts = hv.grams(text)
+                n_grams.append(len(keys))
                 if not len(keys) or not langs:
                     pred.append("und")
                     score.append(0.0)
+                    likeness.append(0.0)
                     continue
-                v = hv.bundle(keys, counts)
-                cosines = known @ v / max(np.linalg.norm(v), 1e-9)
+                v = unit(hv.bundle(keys, counts))
+                cosines = known @ v
                 best = int(np.argmax(cosines))
                 pred.append(langs[best])
                 score.append(float(min(1.0, max(0.0, cosines[best]))))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+                likeness.append(float(own[best] @ v))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(likeness, pa.float64()), pa.array(n_grams, pa.int64())], ["doc_id", "lang_pred", "score", "likeness", "n_grams"])
 
-    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return documents(docs, id_col, text_col).mapInArrow(run, "doc_id long, lang_pred string, score double, likeness double, n_grams long")
+
+
+def written_in(likeness: Column, n_grams: Column, size: int = 1024) -> Column:
+    """Whether a text is written in the language predicted for it.
+
+    Letters of no learned language come to a likeness by chance alone, of spread 1 / sqrt(size)
+    however long the text is; NOISE spreads rule it out.  A text of fewer than TELLING n-grams
+    tells less, and as much less is asked of it.
+    """
+    return likeness > F.least(n_grams / TELLING, F.lit(1.0)) * (NOISE / size**0.5)

@@ -8,9 +8,9 @@ level.  The model is
 
     P(w | v) = (c(v, w) + m p(w)) / (c(v) + m)        m = a c(v)**b
 
-with c(v, w) read from the filter, and p(w) and c(v) too unless the word is one of the frequent
-ones that every worker knows exactly.  Quantised c(v, w) and p(w) are rounded down and c(v) up, so
-that the probabilities after v sum to at most 1 but for the filter's rare false positives.
+with c(v, w), p(w) and c(v) read from the filter for all words alike.  Quantised c(v, w) and p(w)
+are rounded down and c(v) up, so that the probabilities after v sum to at most 1 but for the
+filter's rare false positives.
 """
 
 from __future__ import annotations
@@ -27,7 +27,8 @@ from pyspark.sql import functions as F
 from .common import documents, slices, stage
 from .idstore import mix
 
-#: Words whose exact counts every worker knows: as many of the most frequent as stay below this.
+#: Words whose exact counts every worker knows, for the base: as many of the most frequent as stay
+#: below this.  Counts of other words are joined; no result depends on the bound.
 HEAD = 100_000
 BASE = 1.5
 #: A key's bits under a level lie in one 64-bit word, so that they are probed at once.
@@ -292,10 +293,9 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
 
     def asked_of(texts: list[str]) -> dict[str, list]:
         at, doc, _, prior = laid_out(texts)
-        i = head.value.find(at)
-        rare = at[i < 0]
-        keys, owner = np.concatenate([pair(prior, at), single(rare)]), np.concatenate([doc, doc[i < 0]])
-        return {"keys": [np.unique(keys[owner == k]).view(np.int64) for k in range(len(texts))]}
+        keys, owner = np.concatenate([pair(prior, at), single(at)]), np.concatenate([doc, doc])
+        end = single(np.array([END]))
+        return {"keys": [np.unique(np.concatenate([keys[owner == k], end])).view(np.int64) for k in range(len(texts))]}
 
     def parts(texts: list[str], count) -> dict[str, list]:
         """What is known of each text: its base, tokens, known tokens, rare words, and its scores by
@@ -308,12 +308,8 @@ def score(docs: DataFrame, train: Column, id_col: str = "doc_id", text_col: str
         place = h.find(kinds_here)
         i = place[back[:-1]]
         logs = np.where(place >= 0, np.log10(h.p[place]), 0.0)[back[:-1]] if len(h.p) else np.zeros(len(at))
-        least, most = np.zeros(len(kinds_here)), np.zeros(len(kinds_here))
-        frequent = place >= 0
-        if len(h.p):
-            least[frequent] = most[frequent] = h.counts[place[frequent]]
-        read = count(single(kinds_here[~frequent]))
-        least[~frequent], most[~frequent] = read, np.where(read > 0, THRESHOLDS[np.searchsorted(THRESHOLDS, read, "right")] - 1, 0)
+        least = count(single(kinds_here))
+        most = np.where(least > 0, THRESHOLDS[np.minimum(np.searchsorted(THRESHOLDS, least, "right"), len(THRESHOLDS) - 1)] - 1, 0)
         p_of = (least + 0.5) / (total + 0.5 * (kinds + 1))
         before = np.roll(back[:-1], 1)
         before[np.cumsum(sizes) - sizes] = back[-1]

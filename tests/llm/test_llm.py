@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import bisect
 import collections
+import functools
 import hashlib
 import itertools
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -254,18 +256,18 @@ def test_lm_filter_probed_by_shard_gives_the_same(docs):
     assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
-@pytest.mark.parametrize("head_words", [0, 500])
-def test_lm_score_against_exact_counts(spark, docs, texts, head_words):
-    """The score by plain dictionaries of quantised counts, by the one of the weights that fits best."""
+def test_lm_score_against_exact_counts(spark, docs, texts):
+    """The score by plain dictionaries of quantised counts, by the one of the weights that fits best;
+    it does not depend on how many words workers know exactly."""
     train = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 1
-    got = {r["doc_id"]: r["score"] for r in lm.score(docs, train, head_words=head_words).collect()}
+    got, other = ({r["doc_id"]: (r["score"], r["base_score"], r["n_known"]) for r in lm.score(docs, train, head_words=n).collect()} for n in (500, 0))
+    assert got.keys() == other.keys() and all(x == pytest.approx(y, rel=1e-9) for i in got for x, y in zip(got[i], other[i], strict=True))
+    got = {i: s for i, (s, _, _) in got.items()}
     toks = {i: [None, *t.encode().lower().split(), None] for i, t in texts.items()}
     known = [v for i, v in toks.items() if zlib.crc32(str(i).encode()) % 5 != 1]
     one = collections.Counter(w for v in known for w in v[1:])
     two = collections.Counter(x for v in known for x in itertools.pairwise(v))
     total, kinds, steps = sum(one.values()), len(one), lm.THRESHOLDS.tolist()
-    bound = next(t for t in [0, *steps] if sum(k > t for k in one.values()) <= head_words)
-    exact = {w for w, c in one.items() if c > bound}
 
     def down(c):
         return steps[bisect.bisect_right(steps, c) - 1] if c else 0
@@ -276,8 +278,8 @@ def test_lm_score_against_exact_counts(spark, docs, texts, head_words):
     def score(v, share, power):
         s = 0.0
         for a, w in itertools.pairwise(v):
-            p = ((one[w] if w in exact else down(one[w])) + 0.5) / (total + 0.5 * (kinds + 1))
-            n = one[a] if a in exact else up(one[a])
+            p = (down(one[w]) + 0.5) / (total + 0.5 * (kinds + 1))
+            n = up(one[a])
             m = share * max(n, 1) ** power
             s += math.log10((down(two[a, w]) + m * p) / (n + m))
         return s
@@ -321,6 +323,29 @@ def test_token_counts_and_chunks(spark, odd, empty):
     assert bpe_count.token_counts(empty, P.path("byte_bpe_50k.json")).count() == 0
 
 
+def test_token_count_query(spark, texts):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    rows = Q.op5_token_counts(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = len(lib.encode(texts[r["doc_id"]], add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len(texts[r["doc_id"]].encode()), n, n > 1024)
+
+
+def test_sentencepiece_query(spark, texts):
+    import sentencepiece
+
+    lib = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    rows = Q.op10_sentencepiece(spark, SF).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = lib.encode(texts[r["doc_id"]], add_eos=True)
+        assert (r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) == (len(ids), sha(" ".join(map(str, ids))), sha(lib.decode(ids)))
+
+
 def test_merging_is_by_rank_then_place():
     ranks = {("a", "b"): 0, ("ab", "ab"): 1, ("b", "a"): 2}
     assert bpe_count.merged_count(list("ababab"), ranks) == 2
@@ -358,6 +383,63 @@ def test_language_id(spark, docs, odd, empty):
     assert langid.learn(empty, F.lit(True)) == {} and {r["lang_pred"] for r in langid.predict(odd, {}).collect()} == {"und"}
 
 
+def plain_bundle(text, size=1024):
+    """Sum of a text's trigrams over letters and gaps, letter by letter; None without a letter."""
+    if not any(c.isalpha() for c in text):
+        return None
+    s = " " + re.sub(" +", " ", "".join(c if c.isalpha() else " " for c in text.lower())) + " "
+    letter = functools.cache(lambda c: langid.hypervectors(size).letter(ord(c)).astype(np.int64))
+    total = np.zeros(size, np.int64)
+    for gram, n in collections.Counter(zip(s, s[1:], s[2:], strict=False)).items():
+        v = np.ones(size, np.int64)
+        for k, c in enumerate(gram):
+            v *= np.roll(letter(c), 2 - k)
+        total += n * v
+    return total
+
+
+def test_language_query_against_plain_python(spark, docs):
+    rows = docs.select("doc_id", "lang", "text").collect()
+    bundles = {r["doc_id"]: plain_bundle(r["text"] or "") for r in rows}
+    known = collections.defaultdict(lambda: np.zeros(1024, np.int64))
+    for r in rows:
+        if r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and bundles[r["doc_id"]] is not None:
+            known[r["lang"]] = known[r["lang"]] + bundles[r["doc_id"]]
+    got = {r["doc_id"]: r for r in Q.op6_language_id(spark, SF).collect()}
+    assert got.keys() == bundles.keys()
+    for i, v in bundles.items():
+        if v is None:
+            assert (got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0)
+            continue
+        cosines = {x: float(v @ p / np.linalg.norm(v) / np.linalg.norm(p)) for x, p in known.items()}
+        assert math.isclose(got[i]["score"], max(0.0, max(cosines.values())), abs_tol=1e-5)
+        assert max(cosines.values()) - cosines[got[i]["lang_pred"]] < 1e-5
+
+
+def test_no_learned_language(spark, docs):
+    """Letters by chance, another alphabet and another language's few words are not written in a learned language; documents are."""
+    rng = random.Random(8)
+    word = lambda letters: "".join(rng.choices(letters, k=rng.randint(3, 9)))
+    few = [word("aeiouklmnpstvhjy") for _ in range(14)]
+    kinds = [lambda: word("abcdefghijklmnopqrstuvwxyz"), lambda: word("абвгдежзиклмнопрстуф"), lambda: rng.choice(few)]
+    rows = [(k, " ".join(kinds[k]() for _ in range(rng.randint(15, 200)))) for k in range(3) for _ in range(50)]
+    known = langid.learn(docs, F.lit(True))
+    written = langid.written_in(F.col("likeness"), F.col("n_grams"))
+    odd = langid.predict(spark.createDataFrame(rows, "doc_id long, text string"), known)
+    assert odd.where(written).count() <= 5
+    found = langid.predict(docs, known).where("lang_pred <> 'und'")
+    assert found.where(~written).count() <= 0.005 * found.count()
+
+
+def test_one_language_and_ties(spark):
+    rows = [(1, "the house", "b"), (2, "the house", "a"), (2, "the house", "a"), (None, "the house", None), (3, None, "a"), (4, "12 !", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").withColumns({"score": F.lit("x"), "v": F.lit(1)})
+    got = langid.predict(docs, langid.learn(docs, F.lit(True))).collect()
+    assert sorted((r["doc_id"] or 0, r["lang_pred"]) for r in got) == [(0, "a"), (1, "a"), (2, "a"), (2, "a"), (3, "und"), (4, "und")]
+    alone = langid.predict(docs, langid.learn(docs.where("lang = 'b'"), F.lit(True)))
+    assert alone.where("lang_pred = 'b' and score > 0.99 and likeness > 0.99").count() == 4
+
+
 def test_exact_dedup_query(spark):
     assert_same(Q.op7_exact_dedup(spark, SF), Q.oracle_sql()["op7_exact_dedup"], SF)
 
@@ -415,6 +497,48 @@ def test_quality(spark, odd, empty):
     assert quality.predict(empty, none).count() == 0
 
 
+def test_quality_query_against_plain_python(spark, texts):
+    """Score and decision of every document by the same vectors and weights, the threshold from all labelled texts at once."""
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").dropna(subset=["quality"]).collect()}
+    ids = sorted(i for i in labels if i in texts and zlib.crc32(str(i).encode()) % 4 != 2)
+    x = np.array([quality.vector(texts[i]) for i in ids]).astype(np.float16).astype(np.float32)
+    good = np.array([labels[i] > 0 for i in ids])
+    r = quality.fit_pairs(x, good)
+    raw = np.round(r.raw(np.array([quality.vector(texts[i]) for i in ids])) / quality.GRAIN) * quality.GRAIN
+    threshold = np.sort(raw)[int((~good).sum())]
+    slope = 6 / (np.sort(raw[good])[good.sum() // 2] - np.sort(raw[~good])[(~good).sum() // 2])
+    got = {row["doc_id"]: row for row in Q.op8_quality(spark, SF).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        own = r.raw(quality.vector(t))
+        assert math.isclose(got[i]["score"], 1 / (1 + math.exp(-max(-30, min(30, slope * (own - threshold) + math.log(7 / 3))))), abs_tol=1e-6)
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+    held = [(row["predicted"], labels[i]) for i, row in got.items() if row["held_out"] and labels.get(i) is not None]
+    assert sum(p == q for p, q in held) > 0.9 * len(held)
+
+
+def test_quality_learns_from_letters(spark):
+    """Texts of one shape, good or bad by their words alone, which no figure about the text tells."""
+    rng = random.Random(9)
+    good, bad = (["".join(rng.choices(a, k=6)) for _ in range(200)] for a in ("abcdefghij", "klmnopqrst"))
+    rows = [(i, " ".join(rng.choices(good if i % 3 else bad, k=40))) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"raw": F.lit("x"), "label": F.lit(1)})
+    labels = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(120)], "doc_id long, quality int")
+    found = {r["doc_id"]: r["predicted"] for r in quality.rank(docs, labels, F.lit(True)).collect()}
+    assert sum(found[i] == int(i % 3 > 0) for i in range(120, 240)) >= 116
+    once = {r["doc_id"]: r["predicted"] for r in quality.predict(docs, quality.learn(docs, labels, F.lit(True))).collect()}
+    assert once == found
+
+
+def test_quality_odd(spark, odd):
+    labels = spark.createDataFrame([(7, 1), (7, 0), (8, 1), (13, 1), (1, 0), (3, 0), (4, None), (None, 1), (99, 1)], "doc_id long, quality int")
+    rows = quality.rank(odd, labels, F.lit(True)).collect()
+    assert len(rows) == odd.count() and all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.7) for r in rows)
+    score = {r["doc_id"]: r["score"] for r in rows}
+    assert score[0] == score[1] == score[2] == score[3] and score[5] == score[6]
+    assert min(score[i] for i in (7, 8, 13)) > max(score[i] for i in (1, 3))
+
+
 def test_pairs_rank_the_good_first():
     rng = np.random.default_rng(1)
     x, good = rng.normal(size=(400, len(quality.FEATURES))), np.arange(400) % 4 > 0
