@@ -26,7 +26,7 @@ HELD = 24_000
 MOST_LANGUAGES = 2_000
 GAP = 32
 #: Spreads of chance that a text's likeness must exceed, and different n-grams from which a text tells its language fully.
-NOISE, TELLING = 3.5, 40
+NOISE, TELLING = 3.5, 80
 
 
 class Hypervectors:
