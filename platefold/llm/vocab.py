@@ -6,6 +6,7 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +25,7 @@ LETTERS = r"A-Za-zÀ-ÖØ-öø-įı-ɏΑ-ΡΤ-ωА-џ"
 NOT_SIMPLE = rf"[^{LETTERS} \n.,]|[ \n.,][.,]|[ \n][ \n]|^[.,]"
 #: A space, a word of letters that no file's normaliser changes but for its case, and perhaps a stop.
 PLAIN = re.compile(f"[ ]([{LETTERS}]+)([.,]?)")
+PLAIN_LINE = re.compile(f"[ {LETTERS}]+")
 #: Chunks remembered by a worker in each of two generations, and the longest of them; bounds its memory.
 REMEMBERED, LONGEST = 300_000, 64
 #: Put between chunks that are encoded in one call; a chunk that has it is encoded alone.
@@ -132,9 +134,21 @@ class PlainWords:
 
     def learn(self, chunks: set[str], seen: dict[str, bytes]) -> set[str]:
         """Put those of ``chunks`` that are plain into ``seen``; returns the others."""
+        whole = [c for c in chunks if c[0] == " " and len(c) <= LONGEST and c[1:].isalpha()]
+        whole.sort()  # scripts apart, so that few blocks have a letter that is not plain
+        done = []
+        for at in range(0, len(whole), 512):
+            some = whole[at : at + 512]
+            line = "".join(some)
+            if self.lower:
+                line = line.lower()
+            if line.isascii() or PLAIN_LINE.fullmatch(line):
+                line = line.encode().decode("latin-1").translate(self.table)
+                seen.update(self._cut(some, line.replace(BYTE_CHARS[32], " " + BYTE_CHARS[32] if self.space else " ")[1:]))
+                done += some
         words: dict[str, list[tuple[str, str]]] = {}
         rest = set()
-        for c in chunks:
+        for c in chunks.difference(done):
             m = PLAIN.fullmatch(c) if len(c) <= LONGEST else None
             if m is None:
                 rest.add(c)
@@ -146,16 +160,19 @@ class PlainWords:
         for at in range(0, len(keys), 512):
             some = keys[at : at + 512]
             line = " ".join(head + (w if w.isascii() else w.encode().decode("latin-1").translate(self.table)) for w in some)
-            ids = np.array(self.lib.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
-            edges = np.flatnonzero(self.edge[ids])
-            bounds = (4 * np.append(edges, len(ids)) if self.space else 4 * np.append(0, edges + 1)).tolist()
-            raw = ids.tobytes()
-            for w, lo, hi in zip(some, bounds, bounds[1:], strict=False):
-                found = raw[lo:hi]
+            for w, found in self._cut(some, line):
                 for c, stop in words[w]:
                     seen[c] = found + self.stops[stop] if stop else found
         return rest
 
+    def _cut(self, names: list[str], line: str) -> Iterator[tuple[str, bytes]]:
+        """Each of ``names`` with the ids of its word; ``line`` has their words in order, a space between them."""
+        ids = np.array(self.lib.encode_batch_fast([line], add_special_tokens=False)[0].ids, "<u4")
+        edges = np.flatnonzero(self.edge[ids])
+        bounds = (4 * np.append(edges, len(ids)) if self.space else 4 * np.append(0, edges + 1)).tolist()
+        raw = ids.tobytes()
+        return zip(names, [raw[lo:hi] for lo, hi in zip(bounds, bounds[1:], strict=False)], strict=True)
+
 
 class ChunkTokenizer:
     """Ids as the library gives them for the whole text, remembered by chunk.
