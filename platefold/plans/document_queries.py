@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs
 from ..macros import MACROS
-from ..operators import cart, filters, layout, normalize, report, tree
+from ..operators import cart, compose, filters, layout, normalize, report, tree
 from ..sources import documents, references, screenshots, snapshots
 from .menu import MENU_SQL, menu, table
 from .text_queries import _LINES, _lines
@@ -261,3 +261,33 @@ def row_names(spark, sf_dir):
     m = menu(spark, sf_dir)
     v = exprs.row_variant(F.expr("case when item_seq % 2 = 0 then name else '' end"), F.expr("case when item_seq % 4 = 0 then ' thin' else '' end"), F.lit(""), F.lit("Acme Nutrition (Per Whole Pizza)"))
     return m.select("item_seq", exprs.clean_label(exprs.option_name(F.concat(F.lit("Item® 🌱 "), "name"))).alias("cleaned"), exprs.with_section(F.col("name"), F.expr("case when item_seq % 3 = 0 then null else 'Spicy' end")).alias("sectioned"), exprs.is_junk(F.expr("case item_seq % 8 when 0 then 'None' when 4 then '12.5' else name end")).alias("junk"), exprs.mg_to_g(F.col("calories")).alias("grams"), v["base"].alias("base"), v["option"].alias("option"), exprs.base_slug(F.lit("https://x/product/red-large-pie.html")).alias("slug"))
+
+
+_OPTION = "case l_partkey % 10 when 0 then 'No Rice' when 1 then 'Veggie' else concat('Dish ', l_partkey) end"
+
+
+@query(f"""with m as ({MENU_SQL}), o as (select l_orderkey, l_linenumber, l_partkey as k, l_partkey % 10 as kind from lineitem where l_partkey % 10 <> 1)
+    select l_orderkey, l_linenumber, case when kind <> 0 then 'Part ' || item_seq end as ingredient, {", ".join(f"case when kind = 0 then 0.0 else {x} end::double as {x}" for x in MACROS)} from o join m on item_seq = greatest(k - k % 3, 1)""")
+def resolved_options(spark, sf_dir):
+    """Options as an ordering page writes them, led to ingredients by their aliases; free ones are zero, excluded ones go."""
+    options = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("🌱 "), F.regexp_replace(F.expr(_OPTION), " ", "  "), F.lit(" ")).alias("option"))
+    m = menu(spark, sf_dir)
+    aliases = m.select(F.concat(F.lit("Dish "), "item_seq").alias("option"), F.expr("concat('Part ', greatest(item_seq - item_seq % 3, 1))").alias("ingredient"))
+    ingredients = m.where("item_seq % 3 = 0 or item_seq = 1").select(F.concat(F.lit("Part "), "item_seq").alias("ingredient"), *MACROS)
+    return compose.resolve_options(options, aliases, ingredients, ["No Rice", "No Beans"], ["Veggie"]).select("l_orderkey", "l_linenumber", "ingredient", *MACROS)
+
+
+@query("""select event_id, case event_id % 4 when 0 then 'calories,protein,carbs,fat' when 1 then 'fat,carbs,protein' when 2 then 'carbs,calories,fat' end as columns from events""")
+def header_orders(spark, sf_dir):
+    """The columns of header lines from left to right; a line with fewer than three of them is no header."""
+    line = F.expr("case event_id % 4 when 0 then concat('cal ', event_type, '=1 prot carb fat') when 1 then '  fat carb|prot' when 2 then 'carb cal fat cal carb' else 'prot and fat' end")
+    keys = {"calories": "cal", "protein": "prot", "carbs": "carb", "fat": "fat"}
+    return table(spark, sf_dir, "events").select("event_id", F.array_join(exprs.column_order(line, keys), ",").alias("columns"))
+
+
+@query(f"with m as ({MENU_SQL}) select restaurant, count(*) filter (where item_seq % 6 < 2) as members, count(*) as n from m group by 1")
+def name_families(spark, sf_dir):
+    """Names that are a base, or it with a parenthesis after it, not ones that only begin like it."""
+    m = menu(spark, sf_dir)
+    name = F.expr("case item_seq % 6 when 0 then name when 1 then concat(name, ' (', size, ')') when 2 then concat(name, 's (a)') when 3 then concat(name, ' (a') when 4 then concat(name, ' ()') else upper(name) end")
+    return m.groupBy("restaurant").agg(F.count_if(exprs.in_family(name, F.col("name"))).alias("members"), F.count(F.lit(1)).alias("n"))

@@ -8,8 +8,9 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from platefold.operators import filters, layout, tree
-from platefold.sources import documents, references, screenshots, sinks, snapshots
+from platefold.functions import exprs
+from platefold.operators import compose, filters, layout, tree
+from platefold.sources import documents, loaders, references, screenshots, sinks, snapshots
 
 DOC = "key string, version string, content string"
 
@@ -166,3 +167,51 @@ def test_registry_without_anything_scanned(spark):
     builds = snapshots.build_rows(spark.createDataFrame([], "key string, ord int, format string"))
     got = snapshots.listed_snapshots(registry, none, builds, spark.createDataFrame([], f"key string, items {snapshots.ITEM}, updated_at string"), "now").orderBy("ord").collect()
     assert [(r["key"], r["updated_at"], r["items"], r["fresh"]) for r in got] == [("A", "now", [], False), ("B", "2026-01-01", [], False)]
+
+
+OPTION = "option string, seat int"
+ALIAS = "option string, ingredient string"
+PART = "ingredient string, calories double, protein double, fat double, carbs double"
+
+
+def resolved(spark, options):
+    aliases = spark.createDataFrame([("Rice", "White Rice"), ("Steak", "Beef"), ("Lost", "Nowhere")], ALIAS)
+    parts = spark.createDataFrame([("White Rice", 210.0, 4.0, 4.0, 40.0), ("Beef", 150.0, 21.0, 6.0, 1.0)], PART)
+    return compose.resolve_options(spark.createDataFrame(options, OPTION), aliases, parts, ["No Rice"], ["Veggie"])
+
+
+def test_options_by_alias(spark):
+    found = resolved(spark, [("Rice 🌱", 1), (" Steak", 2), ("No  Rice", 3), ("Veggie", 4), ("Rice", 1), ("Rice", 1)])
+    rows = sorted((r["seat"], r["option"], r["ingredient"], r["calories"], r["carbs"]) for r in found.where("ingredient is not null").collect())
+    assert rows == [(1, "Rice", "White Rice", 210.0, 40.0)] * 2 + [(1, "Rice 🌱", "White Rice", 210.0, 40.0), (2, " Steak", "Beef", 150.0, 1.0)]
+    assert [tuple(r) for r in found.where("ingredient is null").collect()] == [("No  Rice", 3, None, 0.0, 0.0, 0.0, 0.0)]
+    assert resolved(spark, []).count() == 0
+
+
+@pytest.mark.parametrize(("option", "told"), [("Tofu 🌱", "unknown option Tofu 🌱, it has no alias"), ("Lost", "unknown option Lost, there is no ingredient Nowhere"), (None, "unknown option null, it has no alias"), ("steak", "unknown option steak, it has no alias")])
+def test_options_that_lead_nowhere(spark, option, told):
+    with pytest.raises(Exception, match=told):
+        resolved(spark, [("Rice", 1), (option, 2)]).collect()
+
+
+def test_cache_and_index_are_read_back(spark, tmp_path):
+    items = spark.createDataFrame([("A", "x", "Mains"), ("A", "y", None), ("A", "x", "Sides"), ("B", "z", "Mains")], "restaurant string, name string, category string")
+    sinks.write_index(items, f"file://{tmp_path}/index", "2024-01-02T00:00:00Z")
+    index = {r["restaurant"]: r for r in spark.read.json(f"file://{tmp_path}/index").collect()}
+    assert {k: (r["item_count"], r["names"], r["categories"]) for k, r in index.items()} == {"A": (3, 2, ["Mains", "Sides"]), "B": (1, 1, ["Mains"])}
+    assert {r["generated_at"] for r in index.values()} == {"2024-01-02T00:00:00Z"}
+    day = 86_400_000
+    sinks.write_cache(items, f"file://{tmp_path}/cache", 10 * day)
+    cache = spark.read.parquet(f"file://{tmp_path}/cache")
+    assert loaders.fresh(cache, 17 * day - 1).drop("saved_at").exceptAll(items).isEmpty() and cache.count() == 4
+    assert loaders.fresh(cache, 17 * day).isEmpty()
+    sinks.write_cache(items.where("restaurant = 'B'"), f"file://{tmp_path}/cache", 20 * day)
+    assert spark.read.parquet(f"file://{tmp_path}/cache").count() == 1
+    sinks.write_snapshots(items, f"file://{tmp_path}/menus")
+    assert sorted(os.listdir(tmp_path / "menus"))[-2:] == ["restaurant=A", "restaurant=B"]
+    assert spark.read.json(f"file://{tmp_path}/menus").where("restaurant = 'A'").count() == 3
+
+
+def test_names_of_a_family(spark):
+    rows = spark.createDataFrame([("Pie", True), ("Pie (Large)", True), ("Pie (a) (b)", True), ("Pies (Large)", False), ("Pie (Large", False), ("Pie ()", False), ("Pie(Large)", False), ("", False)], "name string, member boolean")
+    assert [r["name"] for r in rows.where(exprs.in_family(F.col("name"), F.lit("Pie")) != F.col("member")).collect()] == []
