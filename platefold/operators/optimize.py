@@ -1,17 +1,17 @@
 """Bounded multiset top-k for each restaurant: the meals that fill a target best.
 
-Meals are built level by level: a meal of k + 1 items is one of k items joined with an item of
-the same restaurant that does not come before its last one and keeps the totals feasible.  Each
-level is one equi-join with a residual range condition.  The best scores so far are kept, a few
-for each restaurant: a meal that stays below them is not made at the last level and, where the
-search is pruned, not extended before.
+Some items of each restaurant are searched first; the best meals found are a bar.  All but the last
+item of a meal are equi-joined on the restaurant, in the order of a macro that binds, with the
+feasibility sums as residual condition; the bar then leaves a narrow box of macros for the last
+item, which is looked up by cell.  Nothing is kept but a few best meals for each restaurant.
+With ``max_frontier``, or macros below zero, meals are built and kept level by level.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..macros import MACROS, Preferences, Target
@@ -20,7 +20,9 @@ from ..staging import placed, settle
 #: How far a single item may exceed a binding macro to be looked at, and what it must hold.
 SLACK, LEAST_PROTEIN, LEAST_CARBS = 1.3, 1, 1
 #: Items up to which all are broadcast (a few tens of bytes each).
-BROADCAST_ITEMS = 200_000
+BROADCAST_ITEMS = 1_000_000
+#: How many items of a restaurant, in each of two orders, are searched before all are; the least only before longer meals.
+FIRST_TURNS = (2048, 256, 32)
 
 
 def effective(target: Target, prefs: Preferences) -> dict[str, float]:
@@ -52,8 +54,6 @@ def candidates(items: DataFrame, target: Target, prefs: Preferences = Preference
 
 
 def _window(key: str, *order):
-    from pyspark.sql import Window
-
     return Window.partitionBy(key).orderBy(*order)
 
 
@@ -73,15 +73,137 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
 
     Meals of 1 to ``max_items`` items, the same one repeatedly if that helps, ranked by score,
     then fewer items, then search order.  ``path`` lists the items' search numbers.
-    Restaurants without a feasible meal are absent.  ``prune`` drops, between levels, meals
-    that cannot come to a restaurant's ``top``-th best score even with its largest items;
-    results stay the same.  ``max_frontier`` bounds the meals of a restaurant that are
-    extended, best bound first: then ``truncated`` tells where it dropped any.
+    Restaurants without a feasible meal are absent.  Results do not depend on ``prune``: with it, and
+    a macro below zero, meals that cannot come to a restaurant's ``top``-th best score even with
+    its largest items are dropped between levels.  ``max_frontier`` bounds the meals of a restaurant
+    that are extended, best bound first: then ``truncated`` tells where it dropped any.
     """
     if not 1 <= max_items <= 5:
         raise ValueError("max_items must be 1 to 5")
     eff = effective(target, prefs)
     cand = settle(candidates(items, target, prefs))
+    below, whole = cand.select(
+        F.coalesce(F.bool_or(reduce(lambda a, b: a | b, [F.coalesce(F.col(m) < 0, F.lit(False)) for m in MACROS])), F.lit(False)),
+        F.coalesce(F.bool_and(reduce(lambda a, b: a & b, [F.coalesce((F.col(m) == F.floor(m)) & (F.abs(m) < 1 << 40), F.lit(True)) for m in MACROS])), F.lit(True)),
+    ).first()
+    best = _by_levels(cand, eff, prefs, max_items, top, prune, max_frontier) if below or max_frontier else _by_boxes(cand, eff, prefs, max_items, top, whole)
+    ranked = best.withColumn("rank", F.row_number().over(_window("restaurant", F.desc("score"), "n", "path")))
+    accuracy = {m: F.abs(F.col(m) - F.lit(float(target[m]))) / F.lit(max(float(target[m]), 1.0)) for m in MACROS}
+    mean = reduce(lambda a, b: a + b, accuracy.values()) / 4
+    return ranked.select("restaurant", "rank", "path", "n", *MACROS, "score", *(a.alias(f"{m}_off") for m, a in accuracy.items()), mean.alias("avg_accuracy"), F.col("cut").alias("truncated"))
+
+
+def _parts(cand: DataFrame) -> int:
+    """A number of parts of its own: a few rows make many pairs, so parts must not be put together by size."""
+    return 4 * max(cand.sparkSession.sparkContext.defaultParallelism, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
+
+
+def _singles(cand: DataFrame, eff, prefs) -> DataFrame:
+    level = cand.select("restaurant", F.array("i").alias("path"), F.col("i").alias("last"), *MACROS, F.lit(False).alias("cut")).where(feasible(eff, prefs, F.col))
+    return level.withColumn("score", score(eff, prefs)).withColumn("n", F.lit(1))
+
+
+def _by_boxes(cand: DataFrame, eff, prefs, max_items: int, top: int, whole: bool) -> DataFrame:
+    """The ``top`` meals by a search that keeps no meals between levels; macros must not be below zero.
+
+    Of items alike in all macros the first stands for all, as another in its place changes the order
+    alone, and the best meals are written out with the ``top`` first of them at the end; sums of
+    fractions depend on their order, so this is for ``whole`` macros only.  Some items of each
+    restaurant are searched before all are: their best meals are a bar for what is looked at then.
+    """
+    alike = Window.partitionBy("restaurant", *MACROS)
+    copies = None
+    if whole:
+        copies = settle(cand.withColumn("first", F.min("i").over(alike)).withColumn("k", F.row_number().over(alike.orderBy("i"))).where(F.col("k") <= top))
+        cand = copies.where(F.col("k") == 1)
+    spread = [F.row_number().over(_window("restaurant", *order)) for order in ([F.col("i")], [F.xxhash64("i"), F.col("i")])]
+    some = settle(cand.select("restaurant", "i", *MACROS, F.least(*spread).alias("turn")))
+    most = some.groupBy("restaurant").agg(F.max("turn").alias("turns"), *(F.max(m).cast("double").alias(f"most_{m}") for m in MACROS))
+    most = settle(most)
+    turns = most.agg(F.max("turns")).first()[0] or 0
+    best = settle(_best(_singles(some, eff, prefs), top))
+    for turn in [t for t in (sorted(FIRST_TURNS) if max_items > 3 else sorted(FIRST_TURNS)[1:]) if t < turns] + [turns]:
+        own = some.where(F.col("turn") <= turn)
+        for n in range(2, max_items + 1):
+            found = _meals_of(own, most, best, eff, prefs, n, top)
+            best = settle(_best(best.unionByName(found).dropDuplicates(["restaurant", "path"]), top))
+    if copies is None or copies.where("k > 1").isEmpty():
+        return best
+    each = best
+    for k in range(max_items):
+        other = copies.select(F.col("restaurant").alias("_r"), F.col("first"), F.col("i").alias(f"_i{k}"))
+        at = F.get("path", F.lit(k))
+        each = each.join(other, at.eqNullSafe(F.col("first")) & F.col("restaurant").eqNullSafe(F.col("_r")), "left").drop("_r", "first")
+    path = F.array_sort(F.array_compact(F.array(*(f"_i{k}" for k in range(max_items)))))
+    return settle(_best(each.withColumn("path", path).dropDuplicates(["restaurant", "path"]), top))
+
+
+def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n: int, top: int) -> DataFrame:
+    """Meals of ``n`` items that may be among the ``top`` of their restaurant, given the ``best`` so far.
+
+    A meal's items are taken in the order of a macro that binds, so that each leaves room for the ones
+    after it.  The last item is not tried out: a score at or above the bar leaves a narrow box of
+    macros for it, and items are looked up by the cells of a grid as wide as the box.
+    """
+    binding = [m for m in MACROS if prefs[m].binding]
+    lead = binding[0] if binding else None
+    scored = [m for m in MACROS if prefs[m].weight > 0]
+    den, slack = {m: max(eff[m], 1.0) for m in MACROS}, 1e-9
+    small = cand.count() <= BROADCAST_ITEMS
+    near = F.broadcast if small else lambda df: df
+    worst = F.when(F.count(F.lit(1)) == top, F.max(F.struct((-F.col("score")).alias("s"), "n", "path")))
+    bars = best.groupBy("restaurant").agg(worst.alias("bar"))
+    missing = F.least(F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(1.0)) + slack, F.lit(1.0))
+    low = {m: F.greatest((1.0 - missing) * den[m] - slack * den[m], F.lit(0.0)) for m in scored}
+    wide = {m: F.greatest(F.lit(eff[m]) - low[m], F.lit(0.0)) * (1 + 1e-6) + 1e-6 for m in binding}
+    bars = settle(most.join(bars, "restaurant", "left").select("restaurant", "bar", (F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(float(len(scored)))) + slack).alias("lack"), F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored), *(wide[m].alias(f"wide_{m}") for m in binding)))
+    limits = bars.drop("bar")
+    side = lambda k: cand.select("restaurant", F.col("i").alias(f"i{k}"), *(F.col(m).alias(f"{m}{k}") for m in MACROS)).where(F.lit(True) if lead is None else F.col(f"{lead}{k}") * (n - k + 1) <= eff[lead] + slack)
+    total = lambda m, k: reduce(lambda a, b: a + b, [F.col(f"{m}{j}") for j in range(1, k + 1)])
+    after = lambda k: (F.col(f"i{k}") >= F.col(f"i{k - 1}")) if lead is None else (F.col(f"{lead}{k}") > F.col(f"{lead}{k - 1}")) | (F.col(f"{lead}{k}") == F.col(f"{lead}{k - 1}")) & (F.col(f"i{k}") >= F.col(f"i{k - 1}"))
+
+    def hopeful(k: int) -> Column:
+        """No macro exceeded, and none that the largest items cannot fill as far as the bar asks."""
+        tests = [total(m, k) <= eff[m] + slack * den[m] for m in binding]
+        tests += [F.coalesce(total(m, k) + (n - k) * F.col(f"most_{m}") >= F.col(f"low_{m}"), F.lit(True)) for m in scored]
+        if lead:
+            tests.append(total(lead, k) + (n - k) * F.col(f"{lead}{k}") <= eff[lead] + slack * den[lead])
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+    made = side(1).join(near(limits), "restaurant").where(hopeful(1)).repartition(_parts(cand), "restaurant", "i1")
+    for k in range(2, n):
+        if small:
+            made = made.join(near(side(k)), "restaurant")
+        else:  # items go to each part of their restaurant
+            salted = side(k).join(limits.select("restaurant", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "restaurant")
+            made = made.withColumn("salt", F.pmod(f"i{k - 1}", "salts").cast("int")).join(salted, ["restaurant", "salt"]).drop("salt")
+        made = made.where(after(k) & hopeful(k))
+    cell = lambda v, m: F.floor(v / F.col(f"wide_{m}"))
+    for m in binding:
+        left = F.lit(eff[m] + slack * den[m]) - total(m, n - 1)
+        least = F.greatest(F.col(f"low_{m}") - total(m, n - 1) - slack * den[m], F.lit(0.0))
+        made = made.withColumn(f"c_{m}", F.explode(F.sequence(cell(least, m), F.greatest(cell(left, m), cell(least, m)))))
+    ends = side(n).join(near(limits.select("restaurant", *(f"wide_{m}" for m in binding))), "restaurant")
+    ends = ends.select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(cell(F.col(f"{m}{n}"), m) for m in binding)).alias("_cell"), f"i{n}", *(f"{m}{n}" for m in MACROS))
+    # the cell's number is the only key of the lookup; that it is right is checked beside it
+    made = made.withColumn("_cell", F.xxhash64("restaurant", *(f"c_{m}" for m in binding))).join(near(ends), "_cell").where((F.col("_r") <= F.col("restaurant")) & (F.col("_r") >= F.col("restaurant")))
+    for m in binding:
+        at = cell(F.col(f"{m}{n}"), m)
+        made = made.where((at <= F.col(f"c_{m}")) & (at >= F.col(f"c_{m}")))
+    made = made.where(F.coalesce(score(eff, prefs, of=lambda m: total(m, n)) >= F.lit(float(len(scored))) - F.col("lack"), F.lit(True)))
+    made = made.where(after(n) & hopeful(n))
+    # sums in the order of the path
+    meal = F.array_sort(F.array(*(F.struct(F.col(f"i{k}").alias("i"), *(F.col(f"{m}{k}").alias(m) for m in MACROS)) for k in range(1, n + 1))))
+    made = made.select("restaurant", meal.alias("meal"))
+    added = lambda m: reduce(lambda a, b: a + b, [F.col("meal")[k][m] for k in range(n)])
+    level = made.select("restaurant", F.transform("meal", lambda x: x["i"]).alias("path"), F.col("meal")[n - 1]["i"].alias("last"), *(added(m).alias(m) for m in MACROS), F.lit(False).alias("cut"))
+    level = level.where(feasible(eff, prefs, F.col)).withColumn("score", score(eff, prefs)).withColumn("n", F.lit(n))
+    mine = F.struct((-F.col("score")).alias("s"), "n", "path")
+    return level.join(near(bars.select("restaurant", "bar")), "restaurant").where(F.col("bar").isNull() | (mine <= F.col("bar"))).select(*best.columns)
+
+
+def _by_levels(cand: DataFrame, eff, prefs, max_items: int, top: int, prune: bool, max_frontier: int | None) -> DataFrame:
+    """The ``top`` meals, level by level, each level kept."""
     side = cand.select(F.col("restaurant"), F.col("i").alias("j"), *(F.col(m).alias(f"add_{m}") for m in MACROS))
     # meals are spread by their last item; items go to all of them, by broadcast or by a copy for each part of their restaurant
     small = cand.count() <= BROADCAST_ITEMS
@@ -90,10 +212,10 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
     else:
         sizes = settle(cand.groupBy("restaurant").agg(F.ceil(F.sqrt(F.count(F.lit(1))) / 4).cast("int").alias("salts")))
         side = side.join(sizes, "restaurant").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    level = cand.select("restaurant", F.array("i").alias("path"), F.col("i").alias("last"), *MACROS, F.lit(False).alias("cut")).where(feasible(eff, prefs, F.col))
-    # a number of parts of its own: a few rows make many pairs, so parts must not be put together by size
-    parts = 4 * max(cand.sparkSession.sparkContext.defaultParallelism, int(cand.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")) // 4)
-    best = settle(_best(level.withColumn("score", score(eff, prefs)).withColumn("n", F.lit(1)), top))
+    single = _singles(cand, eff, prefs)
+    level = single.drop("score", "n")
+    parts = _parts(cand)
+    best = settle(_best(single, top))
     most = _reach(cand, eff, prefs) if prune or max_frontier else None
     total = lambda m: F.col(m) + F.col(f"add_{m}")
     for k in range(1, max_items):
@@ -116,10 +238,7 @@ def combinations(items: DataFrame, target: Target, max_items: int = 5, top: int
         # only what reaches the best so far need be ranked
         reach = scored.join(F.broadcast(floor) if small else floor, "restaurant", "left").where(F.col("floor").isNull() | (F.col("score") >= F.col("floor"))).select(*best.columns)
         best = settle(_best(best.unionByName(reach), top))
-    ranked = best.withColumn("rank", F.row_number().over(_window("restaurant", F.desc("score"), "n", "path")))
-    accuracy = {m: F.abs(F.col(m) - F.lit(float(target[m]))) / F.lit(max(float(target[m]), 1.0)) for m in MACROS}
-    mean = reduce(lambda a, b: a + b, accuracy.values()) / 4
-    return ranked.select("restaurant", "rank", "path", "n", *MACROS, "score", *(a.alias(f"{m}_off") for m, a in accuracy.items()), mean.alias("avg_accuracy"), F.col("cut").alias("truncated"))
+    return best
 
 
 def _best(scored: DataFrame, top: int) -> DataFrame:
@@ -130,8 +249,6 @@ def _best(scored: DataFrame, top: int) -> DataFrame:
 
 def _reach(cand: DataFrame, eff, prefs) -> DataFrame:
     """(restaurant, last, most_*, rate_*): the most that an item from ``last`` on holds of each macro, and of each for a calorie."""
-    from pyspark.sql import Window
-
     after = Window.partitionBy("restaurant").orderBy(F.desc("i"))
     most = [F.max(m).over(after).cast("double").alias(f"most_{m}") for m in MACROS]
     # an item without calories but with some of a macro has no rate: the calories then tell nothing
