@@ -46,7 +46,9 @@ def cms_items(docs: DataFrame, json: str = "json", skip: str = "combo") -> DataF
     schema = f"struct<sections:array<struct<title:string,items:array<struct<type:string,name:string,facts:{FACTS},options:array<{ITEM}>>>>>>"
     doc = F.from_json(json, schema)
     sections = docs.select("doc_id", F.posexplode(doc["sections"]).alias("p", "s"))
-    items = sections.select("doc_id", "p", exprs.normalize_category(F.col("s.title")).alias("category"), F.posexplode("s.items").alias("q", "i")).where(F.coalesce(F.col("i.type"), F.lit("")) != skip)
+    # the title leaves the section before its items come out of it: a row of an item must not carry them all
+    titled = sections.select("doc_id", "p", exprs.normalize_category(F.col("s.title")).alias("category"), F.col("s.items").alias("items"))
+    items = titled.select("doc_id", "p", "category", F.posexplode("items").alias("q", "i")).where(F.coalesce(F.col("i.type"), F.lit("")) != skip)
     own = items.where("i.options is null").select("doc_id", "category", "p", "q", F.lit(0).alias("r"), F.col("i.name").alias("name"), F.col("i.facts").alias("f"))
     picked = items.where("i.options is not null").select("doc_id", "category", "p", "q", F.posexplode("i.options").alias("r", "o")).select("doc_id", "category", "p", "q", "r", F.col("o.name").alias("name"), F.col("o.facts").alias("f"))
     rows = own.unionByName(picked).select("doc_id", "category", "p", "q", "r", exprs.clean(F.col("name")).alias("name"), F.lit(None).cast("string").alias("label"), *_facts(F.col("f"))).dropna(subset=list(MACROS))

@@ -215,3 +215,16 @@ def test_cache_and_index_are_read_back(spark, tmp_path):
 def test_names_of_a_family(spark):
     rows = spark.createDataFrame([("Pie", True), ("Pie (Large)", True), ("Pie (a) (b)", True), ("Pies (Large)", False), ("Pie (Large", False), ("Pie ()", False), ("Pie(Large)", False), ("", False)], "name string, member boolean")
     assert [r["name"] for r in rows.where(exprs.in_family(F.col("name"), F.lit("Pie")) != F.col("member")).collect()] == []
+
+
+def test_a_section_is_not_repeated_for_its_items(spark):
+    """Each of n rows carried all n items of its section."""
+    from platefold.sources import adapters
+
+    facts = {m: "1" for m in ("calories", "protein", "fat", "carbs")}
+    doc = {"sections": [{"title": "MAINS", "items": [{"type": "item", "name": f"n{k}", "facts": facts, "options": [{"name": "o", "facts": facts}] if k == 1 else None} for k in range(3)]}]}
+    found = adapters.cms_items(spark.createDataFrame([("d", json.dumps(doc))], "doc_id string, json string"))
+    assert [(r["seq"], r["name"], r["category"]) for r in found.orderBy("seq").collect()] == [(1, "n0", "Mains"), (2, "o", "Mains"), (3, "n2", "Mains")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    inner = [line for line in plan.splitlines() if "Generate posexplode" in line and "items" in line and "from_json" not in line]
+    assert inner and all(".items" not in line.split("posexplode")[1].split("]")[0] for line in inner)
