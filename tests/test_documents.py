@@ -228,3 +228,18 @@ def test_a_section_is_not_repeated_for_its_items(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     inner = [line for line in plan.splitlines() if "Generate posexplode" in line and "items" in line and "from_json" not in line]
     assert inner and all(".items" not in line.split("posexplode")[1].split("]")[0] for line in inner)
+
+
+def test_places_of_groups_are_counted_as_they_are_made(spark):
+    """Groups under many options: the counts took all places, of all choices, before."""
+    groups = [("g", "Base", 1, 1), ("h", "Side", 2, 2), ("k", "Top", 0, 3), ("x", "extra", 1, 1)]
+    options = [("g", n, "Rice", ["h", "k", "h", "x"]) for n in range(4)] + [("h", n, "Beans", ["k"]) for n in range(3)] + [("k", 0, "Rice", []), ("g", 9, "Veggie", ["h"])]
+    g = spark.createDataFrame(groups, "group_id string, name string, least int, most int")
+    o = spark.createDataFrame(options, "group_id string, ord int, name string, group_ids array<string>")
+    f = spark.createDataFrame([("Bowl", ["g"]), ("Wrap", ["h"])], "format string, group_ids array<string>")
+    made = forest(spark, groups, options, [("Bowl", ["g"]), ("Wrap", ["h"])])[0].groupBy("format", "label", "selection").count().collect()
+    counted = tree.group_places(f, g, o).groupBy("format", "label", "selection").agg(F.sum("places").alias("n")).collect()
+    assert sorted(map(tuple, counted)) == sorted(map(tuple, made)) == [("Bowl", "Base", "one", 1), ("Bowl", "Side", "exactly", 8), ("Bowl", "Top", "many", 28), ("Wrap", "Side", "exactly", 1), ("Wrap", "Top", "many", 3)]
+    deep = spark.createDataFrame([("g", 0, "Rice", ["g"])] * 1000, o.schema)
+    with pytest.raises(ValueError, match="deeper than 8 groups at Base"):
+        tree.group_places(f.where("format = 'Bowl'"), g, deep).collect()  # 1000 to the ninth places
