@@ -147,6 +147,7 @@ def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n:
     """
     binding = [m for m in MACROS if prefs[m].binding]
     lead = binding[0] if binding else None
+    gridded = binding[1:] if len(binding) > 3 else binding  # a pair meets two cells for each macro of the grid
     scored = [m for m in MACROS if prefs[m].weight > 0]
     den, slack = {m: max(eff[m], 1.0) for m in MACROS}, 1e-9
     small = cand.count() <= BROADCAST_ITEMS
@@ -155,8 +156,8 @@ def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n:
     bars = best.groupBy("restaurant").agg(worst.alias("bar"))
     missing = F.least(F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(1.0)) + slack, F.lit(1.0))
     low = {m: F.greatest((1.0 - missing) * den[m] - slack * den[m], F.lit(0.0)) for m in scored}
-    wide = {m: F.greatest(F.lit(eff[m]) - low[m], F.lit(0.0)) * (1 + 1e-6) + 1e-6 for m in binding}
-    bars = settle(most.join(bars, "restaurant", "left").select("restaurant", "bar", (F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(float(len(scored)))) + slack).alias("lack"), F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored), *(wide[m].alias(f"wide_{m}") for m in binding)))
+    wide = {m: F.greatest(F.lit(eff[m]) - low[m], F.lit(0.0)) * (1 + 1e-6) + 1e-6 for m in gridded}
+    bars = settle(most.join(bars, "restaurant", "left").select("restaurant", "bar", (F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(float(len(scored)))) + slack).alias("lack"), F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored), *(wide[m].alias(f"wide_{m}") for m in gridded)))
     limits = bars.drop("bar")
     side = lambda k: cand.select("restaurant", F.col("i").alias(f"i{k}"), *(F.col(m).alias(f"{m}{k}") for m in MACROS)).where(F.lit(True) if lead is None else F.col(f"{lead}{k}") * (n - k + 1) <= eff[lead] + slack)
     total = lambda m, k: reduce(lambda a, b: a + b, [F.col(f"{m}{j}") for j in range(1, k + 1)])
@@ -179,15 +180,15 @@ def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n:
             made = made.withColumn("salt", F.pmod(f"i{k - 1}", "salts").cast("int")).join(salted, ["restaurant", "salt"]).drop("salt")
         made = made.where(after(k) & hopeful(k))
     cell = lambda v, m: F.floor(v / F.col(f"wide_{m}"))
-    for m in binding:
+    for m in gridded:
         left = F.lit(eff[m] + slack * den[m]) - total(m, n - 1)
         least = F.greatest(F.col(f"low_{m}") - total(m, n - 1) - slack * den[m], F.lit(0.0))
         made = made.withColumn(f"c_{m}", F.explode(F.sequence(cell(least, m), F.greatest(cell(left, m), cell(least, m)))))
-    ends = side(n).join(near(limits.select("restaurant", *(f"wide_{m}" for m in binding))), "restaurant")
-    ends = ends.select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(cell(F.col(f"{m}{n}"), m) for m in binding)).alias("_cell"), f"i{n}", *(f"{m}{n}" for m in MACROS))
+    ends = side(n).join(near(limits.select("restaurant", *(f"wide_{m}" for m in gridded))), "restaurant")
+    ends = ends.select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(cell(F.col(f"{m}{n}"), m) for m in gridded)).alias("_cell"), f"i{n}", *(f"{m}{n}" for m in MACROS))
     # the cell's number is the only key of the lookup; that it is right is checked beside it
-    made = made.withColumn("_cell", F.xxhash64("restaurant", *(f"c_{m}" for m in binding))).join(near(ends), "_cell").where((F.col("_r") <= F.col("restaurant")) & (F.col("_r") >= F.col("restaurant")))
-    for m in binding:
+    made = made.withColumn("_cell", F.xxhash64("restaurant", *(f"c_{m}" for m in gridded))).join(near(ends), "_cell").where((F.col("_r") <= F.col("restaurant")) & (F.col("_r") >= F.col("restaurant")))
+    for m in gridded:
         at = cell(F.col(f"{m}{n}"), m)
         made = made.where((at <= F.col(f"c_{m}")) & (at >= F.col(f"c_{m}")))
     made = made.where(F.coalesce(score(eff, prefs, of=lambda m: total(m, n)) >= F.lit(float(len(scored))) - F.col("lack"), F.lit(True)))

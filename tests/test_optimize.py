@@ -105,3 +105,22 @@ def test_bad_settings():
     with pytest.raises(ValueError):
         Target(float("nan"), 1, 1, 1)
     assert Preference.from_percent(120) == Preference(1.2, "allowed")
+
+
+def test_no_meals_are_kept_between_levels_and_alike_items_count(spark, monkeypatch):
+    """All feasible pairs were written before the third item was looked for."""
+    rng = random.Random(5)
+    kinds = [[rng.randint(50, 300), rng.randint(1, 20), rng.randint(0, 12), rng.randint(1, 30)] for _ in range(12)]
+    rows = [("r", rng.choice(kinds)) for _ in range(36)]
+    kept, settle = [], optimize.settle
+
+    def counted(df):
+        out = settle(df)
+        kept.append(out.count())
+        return out
+
+    monkeypatch.setattr(optimize, "settle", counted)
+    target = Target(800, 55, 33, 80)
+    got = optimize.combinations(frame(spark, rows), target, 3, 4).orderBy("rank").collect()
+    assert [(-r["score"], r["n"], tuple(r["path"])) for r in got] == brute(rows, target, Preferences(), 3, 4)["r"]
+    assert max(kept) <= len(rows)
