@@ -1,14 +1,17 @@
 """Bounded multiset top-k for each restaurant: the meals that fill a target best.
 
-Some items of each restaurant are searched first; the best meals found are a bar.  All but the last
-item of a meal are equi-joined on the restaurant, in the order of a macro that binds, with the
-feasibility sums as residual condition; the bar then leaves a narrow box of macros for the last
+Where macros are whole numbers, many meals have the same totals: the totals worth having are looked
+for first, each distinct total of the first items once, then the meals that have them, in the order
+of results.  Otherwise some items of each restaurant are searched first; the best meals found are a
+bar.  In both, beginnings are equi-joined on the restaurant in the order of a macro that binds, with
+the feasibility sums as residual condition; the bar then leaves a narrow box of macros for the last
 item, which is looked up by cell.  Nothing is kept but a few best meals for each restaurant.
 With ``max_frontier``, or macros below zero, meals are built and kept level by level.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,6 +26,8 @@ SLACK, LEAST_PROTEIN, LEAST_CARBS = 1.3, 1, 1
 BROADCAST_ITEMS = 1_000_000
 #: How many items of a restaurant, in each of two orders, are searched before all are; the least only before longer meals.
 FIRST_TURNS = (2048, 256, 32)
+#: How many beginnings of meals are joined in the first round for given totals; each round takes eight times the last one's first items.
+ROUND = 30_000_000
 
 
 def effective(target: Target, prefs: Preferences) -> dict[str, float]:
@@ -108,8 +113,9 @@ def _by_boxes(cand: DataFrame, eff, prefs, max_items: int, top: int, whole: bool
 
     Of items alike in all macros the first stands for all, as another in its place changes the order
     alone, and the best meals are written out with the ``top`` first of them at the end; sums of
-    fractions depend on their order, so this is for ``whole`` macros only.  Some items of each
-    restaurant are searched before all are: their best meals are a bar for what is looked at then.
+    fractions depend on their order, so this is for ``whole`` macros only, as is the search by totals.
+    Otherwise some items of each restaurant are searched before all are: their best meals are a bar
+    for what is looked at then.
     """
     alike = Window.partitionBy("restaurant", *MACROS)
     copies = None
@@ -122,7 +128,9 @@ def _by_boxes(cand: DataFrame, eff, prefs, max_items: int, top: int, whole: bool
     most = settle(most)
     turns = most.agg(F.max("turns")).first()[0] or 0
     best = settle(_best(_singles(some, eff, prefs), top))
-    for turn in [t for t in (sorted(FIRST_TURNS) if max_items > 3 else sorted(FIRST_TURNS)[1:]) if t < turns] + [turns]:
+    if whole:
+        best = _by_totals(some, most, best, eff, prefs, max_items, top, turns)
+    for turn in _turns(turns, max_items) if not whole else []:
         own = some.where(F.col("turn") <= turn)
         for n in range(2, max_items + 1):
             found = _meals_of(own, most, best, eff, prefs, n, top)
@@ -138,6 +146,179 @@ def _by_boxes(cand: DataFrame, eff, prefs, max_items: int, top: int, whole: bool
     return settle(_best(each.withColumn("path", path).dropDuplicates(["restaurant", "path"]), top))
 
 
+def _turns(turns: int, max_items: int) -> list[int]:
+    """How many items of a restaurant are searched, one search after the other."""
+    return [t for t in (sorted(FIRST_TURNS) if max_items > 3 else sorted(FIRST_TURNS)[1:]) if t < turns] + [turns]
+
+
+def _capped(v: Column, prefs: Preferences, eff, m: str) -> Column:
+    """What counts of a macro's total: one that may be exceeded counts no further than its target."""
+    return v.cast("double") if prefs[m].binding else F.least(v.cast("double"), F.lit(max(eff[m], 1.0)))
+
+
+def _by_totals(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, max_items: int, top: int, turns: int) -> DataFrame:
+    """The ``top`` meals of items with whole macros, given the ``best`` single items.
+
+    Of beginnings with the same totals one finds the totals of meals as well as all do.  The
+    ``top`` best totals of a restaurant hold its ``top`` best meals; of meals with the same score
+    and number of items those come first whose first item does, so they are looked for in rounds
+    of first items, until no meal that is still missing can be among the best.
+    """
+    scored = [m for m in MACROS if prefs[m].weight > 0]
+    kinds = settle(cand.groupBy("restaurant", *(_capped(F.col(m), prefs, eff, m).alias(f"t_{m}") for m in scored)).agg(F.min("turn").alias("turn")))
+    heads = best.select("restaurant", "n", "score", *(_capped(F.col(m), prefs, eff, m).alias(f"t_{m}") for m in scored))
+    for turn in _turns(turns, max_items):
+        own = kinds.where(F.col("turn") <= turn).drop("turn")
+        for n in range(2, max_items + 1):
+            found = heads.unionByName(_totals_of(own, most, heads, eff, prefs, n, top)).distinct()
+            # meals of the same score and number are told apart by their paths only
+            heads = settle(found.withColumn("r", F.rank().over(_window("restaurant", F.desc("score"), "n"))).where(F.col("r") <= top).drop("r"))
+    sizes = settle(cand.where("restaurant is not null").groupBy("restaurant").agg(F.count(F.lit(1)).cast("double").alias("size"), F.max("i").alias("end")))
+    for n in range(2, max_items + 1):
+        low = 0
+        while True:
+            wanted = heads.where(F.col("n") == n).join(sizes, "restaurant").where(F.col("end") > low)
+            enough = best.select("restaurant", F.col("score").alias("_s"), F.col("n").alias("_n"))
+            wanted = wanted.join(enough, "restaurant", "left").groupBy(*wanted.columns).agg(F.count_if((F.col("_s") > F.col("score")) | (F.col("_s") == F.col("score")) & (F.col("_n") <= F.col("n"))).alias("before"))
+            wanted = settle(wanted.where(F.col("before") < top))
+            work = wanted.agg(F.sum(F.pow("size", F.lit(n - 2)))).first()[0]
+            if not work:
+                break
+            high = max(8 * low, int(ROUND // work), 1)
+            found = _meals_with(cand, most, wanted.select("restaurant", *(F.col(f"t_{m}").alias(f"want_{m}") for m in scored)), eff, prefs, n, low, high)
+            best = settle(_best(best.unionByName(found.select(*best.columns)), top))
+            low = high
+    return best
+
+
+def _totals_of(kinds: DataFrame, most: DataFrame, heads: DataFrame, eff, prefs, n: int, top: int) -> DataFrame:
+    """(restaurant, n, score, t_*): totals of ``n`` items that may be among the ``top`` of their restaurant, given those of ``heads``.
+
+    Items are added in the order of a macro that binds: of the distinct totals so far only as much of it is
+    known as that the next item holds no less than their mean.  The last item is looked up as in ``_meals_of``.
+    """
+    binding = [m for m in MACROS if prefs[m].binding]
+    scored = [m for m in MACROS if prefs[m].weight > 0]
+    lead = binding[0] if binding else None
+    den = {m: max(eff[m], 1.0) for m in MACROS}
+    full = {m: float(math.floor(eff[m])) if m in binding else den[m] for m in scored}
+    best_score = sum(full[m] / den[m] for m in scored)
+    small, near = _near(kinds)
+    parts = _parts(kinds)
+    bars = heads.withColumn("r", F.row_number().over(_window("restaurant", F.desc("score"), "n"))).where(F.col("r") == top).select("restaurant", F.col("score").alias("bar"))
+    # how far a single macro may stay under the most it can be, the others being full
+    missing = F.when(F.col("bar").isNull(), F.lit(float(len(scored)))).otherwise(F.greatest(F.lit(best_score) - F.col("bar"), F.lit(0.0)) + 1e-9)
+    low = {m: F.lit(full[m]) - missing * den[m] - 1e-6 for m in scored}
+    low = {m: F.greatest(F.ceil(v).cast("double") if m in binding else v, F.lit(0.0)) for m, v in low.items()}
+    limits = most.join(bars, "restaurant", "left").select("restaurant", "bar", F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored))
+    limits = settle(limits.select("*", *((F.lit(full[m]) - F.col(f"low_{m}") + 1).alias(f"wide_{m}") for m in binding)))
+    spread = max(1, -(-parts // max(1, limits.count())))
+    side = kinds.select("restaurant", *(F.col(f"t_{m}").alias(f"a_{m}") for m in scored))
+    with_ = {m: _capped(F.col(f"t_{m}") + F.col(f"a_{m}"), prefs, eff, m) for m in scored}
+
+    def hopeful(k: int, of) -> Column:
+        tests = [of[m] <= full[m] for m in binding] + [of[m] + (n - k) * F.coalesce(f"most_{m}", F.lit(den[m])) >= F.col(f"low_{m}") for m in scored]
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+    def in_order(k: int) -> Column:
+        if lead is None:
+            return F.lit(True)
+        return (F.col(f"t_{lead}") + (n - k + 1) * F.col(f"a_{lead}") <= full[lead]) & ((k - 1) * F.col(f"a_{lead}") >= F.col(f"t_{lead}"))
+
+    totals = [f"t_{m}" for m in scored]
+    made = kinds.select("restaurant", *totals) if lead is None else kinds.select("restaurant", *totals).where(n * F.col(f"t_{lead}") <= full[lead])
+    for k in range(2, n):
+        # parts hold few restaurants each, so that equal totals mostly meet before they are moved
+        made = made.repartition(parts, "restaurant", F.pmod(F.xxhash64(*totals), F.lit(spread))).join(near(limits), "restaurant")
+        if small:
+            made = made.join(F.broadcast(side), "restaurant")
+        else:  # items go to each part of their restaurant
+            salted = side.join(limits.select("restaurant", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "restaurant")
+            made = made.withColumn("salt", F.pmod(F.xxhash64(*totals), F.col("salts")).cast("int")).join(salted, ["restaurant", "salt"])
+        made = made.where(in_order(k) & hopeful(k, with_)).select("restaurant", *(with_[m].alias(f"t_{m}") for m in scored)).distinct()
+    made = made.repartition(parts, "restaurant", F.pmod(F.xxhash64(*totals), F.lit(spread))).join(near(limits), "restaurant")
+    cell = lambda v, m: F.floor(v / F.col(f"wide_{m}"))
+    for m in binding:
+        left = F.lit(full[m]) - F.col(f"t_{m}")
+        least = F.greatest(F.col(f"low_{m}") - F.col(f"t_{m}"), F.lit(0.0))
+        if m == lead:
+            least = F.greatest(least, F.col(f"t_{m}") / (n - 1))
+        made = made.where(least <= left).withColumn(f"c_{m}", F.explode(F.sequence(cell(least, m), cell(left, m))))
+    ends = side.join(near(limits.select("restaurant", *(f"wide_{m}" for m in binding))), "restaurant")
+    ends = ends.select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(cell(F.col(f"a_{m}"), m) for m in binding)).alias("_cell"), *(f"a_{m}" for m in scored))
+    # the cell's number is the only key of the lookup; what lies in another cell is still a right total
+    made = made.withColumn("_cell", F.xxhash64("restaurant", *(f"c_{m}" for m in binding))).join(near(ends), "_cell").where((F.col("_r") <= F.col("restaurant")) & (F.col("_r") >= F.col("restaurant")) & hopeful(n, with_))
+    made = made.select("restaurant", F.lit(n).alias("n"), "bar", *(with_[m].alias(f"t_{m}") for m in scored)).withColumn("score", score(eff, prefs, of=lambda m: F.col(f"t_{m}")))
+    return made.where(F.col("bar").isNull() | (F.col("score") >= F.col("bar"))).select("restaurant", "n", "score", *totals).distinct()
+
+
+def _meals_with(cand: DataFrame, most: DataFrame, wanted: DataFrame, eff, prefs, n: int, low: int, high: int) -> DataFrame:
+    """Meals of ``n`` items with ``wanted`` totals whose first item lies in (``low``, ``high``]; the others come in the order of a macro that binds, the last one by lookup."""
+    binding = [m for m in MACROS if prefs[m].binding]
+    scored = [m for m in MACROS if prefs[m].weight > 0]
+    lead = binding[0] if binding else None
+    small, near = _near(cand)
+    limits = settle(most.withColumn("salts", F.ceil(F.sqrt("turns") / 4).cast("int")).drop("turns"))
+    side = lambda k: cand.select("restaurant", F.col("i").alias(f"i{k}"), *(F.col(m).alias(f"{m}{k}") for m in MACROS)).where(F.lit(True) if lead is None or k == 1 else F.col(f"{lead}{k}") * (n - k + 1) <= eff[lead])
+
+    def hopeful(k: int) -> Column:
+        """The rest can fill what is missing, and need not exceed what is left."""
+        tests = [_total(m, k) <= F.col(f"want_{m}") for m in binding]
+        tests += [F.coalesce(_total(m, k) + (n - k) * F.col(f"most_{m}") >= F.col(f"want_{m}"), F.lit(True)) for m in scored]
+        if lead and k > 1:
+            tests.append(_total(lead, k) + (n - k) * F.col(f"{lead}{k}") <= F.col(f"want_{lead}"))
+        return reduce(lambda a, b: a & b, tests, F.lit(True))
+
+    def after(k: int) -> Column:
+        return (F.col(f"i{k}") >= F.col("i1")) & (_after(lead, k) if k > 2 else F.lit(True))
+
+    made = side(1).where((F.col("i1") > low) & (F.col("i1") <= high)).join(near(limits), "restaurant").join(near(wanted), "restaurant").where(hopeful(1)).repartition(_parts(cand), "restaurant", "i1")
+    for k in range(2, n):
+        made = _joined(made, side(k), limits, k, small).where(after(k) & hopeful(k))
+    missing = [F.col(f"want_{m}") - _total(m, n - 1) + F.lit(0.0) for m in binding]
+    ends = side(n).select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(F.col(f"{m}{n}").cast("double") + F.lit(0.0) for m in binding)).alias("_cell"), f"i{n}", *(f"{m}{n}" for m in MACROS))
+    made = made.withColumn("_cell", F.xxhash64("restaurant", *missing)).join(near(ends), "_cell").where((F.col("_r") <= F.col("restaurant")) & (F.col("_r") >= F.col("restaurant")))
+    exact = [_capped(_total(m, n), prefs, eff, m) == F.col(f"want_{m}") for m in scored]
+    made = made.where(reduce(lambda a, b: a & b, exact, after(n)))
+    return _written(made, eff, prefs, n)
+
+
+def _near(cand: DataFrame):
+    """Whether the items are few enough to be broadcast, and a broadcast or nothing."""
+    small = cand.count() <= BROADCAST_ITEMS
+    return small, F.broadcast if small else lambda df: df
+
+
+def _total(m: str, k: int) -> Column:
+    return reduce(lambda a, b: a + b, [F.col(f"{m}{j}") for j in range(1, k + 1)])
+
+
+def _after(lead: str | None, k: int) -> Column:
+    """Item ``k`` comes after the one before it in the order of ``lead``."""
+    here, before = F.col(f"i{k}"), F.col(f"i{k - 1}")
+    if lead is None:
+        return here >= before
+    return (F.col(f"{lead}{k}") > F.col(f"{lead}{k - 1}")) | (F.col(f"{lead}{k}") == F.col(f"{lead}{k - 1}")) & (here >= before)
+
+
+def _joined(made: DataFrame, side: DataFrame, limits: DataFrame, k: int, small: bool) -> DataFrame:
+    """Beginnings of ``k`` - 1 items with each item of their restaurant."""
+    if small:
+        return made.join(F.broadcast(side), "restaurant")
+    # items go to each part of their restaurant
+    salted = side.join(limits.select("restaurant", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "restaurant")
+    return made.withColumn("salt", F.pmod(f"i{k - 1}", "salts").cast("int")).join(salted, ["restaurant", "salt"]).drop("salt")
+
+
+def _written(made: DataFrame, eff, prefs, n: int) -> DataFrame:
+    """Meals of ``n`` items with path, sums in the order of the path, and score."""
+    meal = F.array_sort(F.array(*(F.struct(F.col(f"i{k}").alias("i"), *(F.col(f"{m}{k}").alias(m) for m in MACROS)) for k in range(1, n + 1))))
+    made = made.select("restaurant", meal.alias("meal"))
+    added = lambda m: reduce(lambda a, b: a + b, [F.col("meal")[k][m] for k in range(n)])
+    level = made.select("restaurant", F.transform("meal", lambda x: x["i"]).alias("path"), F.col("meal")[n - 1]["i"].alias("last"), *(added(m).alias(m) for m in MACROS), F.lit(False).alias("cut"))
+    return level.where(feasible(eff, prefs, F.col)).withColumn("score", score(eff, prefs)).withColumn("n", F.lit(n))
+
+
 def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n: int, top: int) -> DataFrame:
     """Meals of ``n`` items that may be among the ``top`` of their restaurant, given the ``best`` so far.
 
@@ -147,42 +328,35 @@ def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n:
     """
     binding = [m for m in MACROS if prefs[m].binding]
     lead = binding[0] if binding else None
-    gridded = binding[1:] if len(binding) > 3 else binding  # a pair meets two cells for each macro of the grid
+    gridded = binding[1:] if len(binding) > 3 else binding  # a beginning meets up to two cells for each macro of the grid
     scored = [m for m in MACROS if prefs[m].weight > 0]
     den, slack = {m: max(eff[m], 1.0) for m in MACROS}, 1e-9
-    small = cand.count() <= BROADCAST_ITEMS
-    near = F.broadcast if small else lambda df: df
+    small, near = _near(cand)
     worst = F.when(F.count(F.lit(1)) == top, F.max(F.struct((-F.col("score")).alias("s"), "n", "path")))
     bars = best.groupBy("restaurant").agg(worst.alias("bar"))
     missing = F.least(F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(1.0)) + slack, F.lit(1.0))
     low = {m: F.greatest((1.0 - missing) * den[m] - slack * den[m], F.lit(0.0)) for m in scored}
     wide = {m: F.greatest(F.lit(eff[m]) - low[m], F.lit(0.0)) * (1 + 1e-6) + 1e-6 for m in gridded}
-    bars = settle(most.join(bars, "restaurant", "left").select("restaurant", "bar", (F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(float(len(scored)))) + slack).alias("lack"), F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored), *(wide[m].alias(f"wide_{m}") for m in gridded)))
+    lack = F.coalesce(F.lit(float(len(scored))) + F.col("bar.s"), F.lit(float(len(scored)))) + slack
+    bars = settle(most.join(bars, "restaurant", "left").select("restaurant", "bar", lack.alias("lack"), F.ceil(F.sqrt("turns") / 4).cast("int").alias("salts"), *(f"most_{m}" for m in scored), *(low[m].alias(f"low_{m}") for m in scored), *(wide[m].alias(f"wide_{m}") for m in gridded)))
     limits = bars.drop("bar")
     side = lambda k: cand.select("restaurant", F.col("i").alias(f"i{k}"), *(F.col(m).alias(f"{m}{k}") for m in MACROS)).where(F.lit(True) if lead is None else F.col(f"{lead}{k}") * (n - k + 1) <= eff[lead] + slack)
-    total = lambda m, k: reduce(lambda a, b: a + b, [F.col(f"{m}{j}") for j in range(1, k + 1)])
-    after = lambda k: (F.col(f"i{k}") >= F.col(f"i{k - 1}")) if lead is None else (F.col(f"{lead}{k}") > F.col(f"{lead}{k - 1}")) | (F.col(f"{lead}{k}") == F.col(f"{lead}{k - 1}")) & (F.col(f"i{k}") >= F.col(f"i{k - 1}"))
 
     def hopeful(k: int) -> Column:
         """No macro exceeded, and none that the largest items cannot fill as far as the bar asks."""
-        tests = [total(m, k) <= eff[m] + slack * den[m] for m in binding]
-        tests += [F.coalesce(total(m, k) + (n - k) * F.col(f"most_{m}") >= F.col(f"low_{m}"), F.lit(True)) for m in scored]
+        tests = [_total(m, k) <= eff[m] + slack * den[m] for m in binding]
+        tests += [F.coalesce(_total(m, k) + (n - k) * F.col(f"most_{m}") >= F.col(f"low_{m}"), F.lit(True)) for m in scored]
         if lead:
-            tests.append(total(lead, k) + (n - k) * F.col(f"{lead}{k}") <= eff[lead] + slack * den[lead])
+            tests.append(_total(lead, k) + (n - k) * F.col(f"{lead}{k}") <= eff[lead] + slack * den[lead])
         return reduce(lambda a, b: a & b, tests, F.lit(True))
 
     made = side(1).join(near(limits), "restaurant").where(hopeful(1)).repartition(_parts(cand), "restaurant", "i1")
     for k in range(2, n):
-        if small:
-            made = made.join(near(side(k)), "restaurant")
-        else:  # items go to each part of their restaurant
-            salted = side(k).join(limits.select("restaurant", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")), "restaurant")
-            made = made.withColumn("salt", F.pmod(f"i{k - 1}", "salts").cast("int")).join(salted, ["restaurant", "salt"]).drop("salt")
-        made = made.where(after(k) & hopeful(k))
+        made = _joined(made, side(k), limits, k, small).where(_after(lead, k) & hopeful(k))
     cell = lambda v, m: F.floor(v / F.col(f"wide_{m}"))
     for m in gridded:
-        left = F.lit(eff[m] + slack * den[m]) - total(m, n - 1)
-        least = F.greatest(F.col(f"low_{m}") - total(m, n - 1) - slack * den[m], F.lit(0.0))
+        left = F.lit(eff[m] + slack * den[m]) - _total(m, n - 1)
+        least = F.greatest(F.col(f"low_{m}") - _total(m, n - 1) - slack * den[m], F.lit(0.0))
         made = made.withColumn(f"c_{m}", F.explode(F.sequence(cell(least, m), F.greatest(cell(left, m), cell(least, m)))))
     ends = side(n).join(near(limits.select("restaurant", *(f"wide_{m}" for m in gridded))), "restaurant")
     ends = ends.select(F.col("restaurant").alias("_r"), F.xxhash64("restaurant", *(cell(F.col(f"{m}{n}"), m) for m in gridded)).alias("_cell"), f"i{n}", *(f"{m}{n}" for m in MACROS))
@@ -191,14 +365,9 @@ def _meals_of(cand: DataFrame, most: DataFrame, best: DataFrame, eff, prefs, n:
     for m in gridded:
         at = cell(F.col(f"{m}{n}"), m)
         made = made.where((at <= F.col(f"c_{m}")) & (at >= F.col(f"c_{m}")))
-    made = made.where(F.coalesce(score(eff, prefs, of=lambda m: total(m, n)) >= F.lit(float(len(scored))) - F.col("lack"), F.lit(True)))
-    made = made.where(after(n) & hopeful(n))
-    # sums in the order of the path
-    meal = F.array_sort(F.array(*(F.struct(F.col(f"i{k}").alias("i"), *(F.col(f"{m}{k}").alias(m) for m in MACROS)) for k in range(1, n + 1))))
-    made = made.select("restaurant", meal.alias("meal"))
-    added = lambda m: reduce(lambda a, b: a + b, [F.col("meal")[k][m] for k in range(n)])
-    level = made.select("restaurant", F.transform("meal", lambda x: x["i"]).alias("path"), F.col("meal")[n - 1]["i"].alias("last"), *(added(m).alias(m) for m in MACROS), F.lit(False).alias("cut"))
-    level = level.where(feasible(eff, prefs, F.col)).withColumn("score", score(eff, prefs)).withColumn("n", F.lit(n))
+    made = made.where(F.coalesce(score(eff, prefs, of=lambda m: _total(m, n)) >= F.lit(float(len(scored))) - F.col("lack"), F.lit(True)))
+    made = made.where(_after(lead, n) & hopeful(n))
+    level = _written(made, eff, prefs, n)
     mine = F.struct((-F.col("score")).alias("s"), "n", "path")
     return level.join(near(bars.select("restaurant", "bar")), "restaurant").where(F.col("bar").isNull() | (mine <= F.col("bar"))).select(*best.columns)
 

@@ -124,3 +124,26 @@ def test_no_meals_are_kept_between_levels_and_alike_items_count(spark, monkeypat
     got = optimize.combinations(frame(spark, rows), target, 3, 4).orderBy("rank").collect()
     assert [(-r["score"], r["n"], tuple(r["path"])) for r in got] == brute(rows, target, Preferences(), 3, 4)["r"]
     assert max(kept) <= len(rows)
+
+
+@pytest.mark.parametrize("prefs", [Preferences(), Preferences(protein=Preference(1.5, "allowed"), fat=Preference(0.8)), Preferences(fat=Preference(0.0), carbs=Preference(1.1, "allowed"))])
+def test_totals_are_looked_for_before_meals(spark, monkeypatch, prefs):
+    """Every pair of items was taken to the last step, though few totals are different; ROUND is small so that there are many rounds."""
+    rng = random.Random(11)
+    rows = [("ab"[j % 2], [60 + 20 * rng.randrange(9), 5 * rng.randint(1, 4), 4 * rng.randint(0, 4), 10 * rng.randint(1, 4)]) for j in range(50)]
+    target = Target(635, 43, 33, 95)
+    written, monkeyed = [], optimize._totals_of
+
+    def counted(*args):
+        out = monkeyed(*args)
+        written.append((out.count(), out.distinct().count()))
+        return out
+
+    monkeypatch.setattr(optimize, "_totals_of", counted)
+    monkeypatch.setattr(optimize, "ROUND", 40)
+    got = optimize.combinations(frame(spark, rows), target, 4, 5, prefs).orderBy("restaurant", "rank").collect()
+    found = {}
+    for r in got:
+        found.setdefault(r["restaurant"], []).append((-r["score"], r["n"], tuple(r["path"])))
+    assert found == brute(rows, target, prefs, 4, 5)
+    assert written and all(a == b for a, b in written)
