@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import column_order, numbers_in, remaining_in_line, values_in_row
+from ..functions.exprs import ROW_PARTS, column_order, numbers_in, remaining_in_line, row_parts, values_of_parts
+from ..staging import once
 
 #: The word that names each column, in the order of a table whose header cannot be read.
 COLUMNS = {"calories": "calorie", "carbs": "carb", "fat": "fat", "protein": "protein", "sodium": "sodium", "sugar": "sugar"}
@@ -31,10 +32,13 @@ def _named(line: Column, keys) -> Column:
     return sum((F.contains(line, F.lit(COLUMNS[k])).cast("int") for k in keys), F.lit(0))
 
 
+def _near(lines: Column, at: Column, near: int) -> Column:
+    return F.get(F.filter(F.slice(lines, at + 1, F.lit(near)), lambda l: l.rlike(r"\d")), F.lit(0))
+
+
 def value_near(lines: Column, at: Column, near: int = NEAR) -> Column:
     """What is left by the first line with a digit among the ``near`` lines from place ``at`` on; null if there is none."""
-    ahead = F.slice(lines, at + 1, F.lit(near))
-    return remaining_in_line(F.get(F.filter(ahead, lambda l: l.rlike(r"\d")), F.lit(0)))
+    return remaining_in_line(_near(lines, at, near))
 
 
 def read_targets(texts: DataFrame, text: str = "text") -> DataFrame:
@@ -44,27 +48,31 @@ def read_targets(texts: DataFrame, text: str = "text") -> DataFrame:
     that names all four macros, else by the fixed order.  Otherwise the first line that names two
     macros or more is a card's header, and the first line with a digit after it has their values in
     the header's order.  What is missing then is looked for by its own label, on its line or the
-    three after it.  All of it is one projection: a text is never split over rows.
+    three after it.  A text is never split over rows, and what is read of it is
+    computed once.
     """
-    rows = texts.withColumn("_l", lines_of(F.coalesce(F.col(text), F.lit(""))))
+    rows = once(texts, _l=lines_of(F.coalesce(F.col(text), F.lit(""))))
     lines = F.col("_l")
-    rows = rows.withColumn("_table", F.get(F.filter(lines, lambda l: l.rlike(r"\bremaining\b") & (F.size(numbers_in(l)) >= 4)), F.lit(0)))
-    header = F.get(F.filter(lines, lambda l: _named(l, COLUMNS) >= 3), F.lit(0))
-    read = column_order(header, COLUMNS)
-    whole = F.forall(F.array(*map(F.lit, TARGETS)), lambda t: F.array_contains(read, t))
-    rows = rows.withColumn("_order", F.when(whole, read).otherwise(F.array(*map(F.lit, COLUMNS))))
-    rows = rows.withColumn("_card", _first(lines, lambda l: _named(l, TARGETS) >= 2))
+    rows = once(rows, _table=F.get(F.filter(lines, lambda l: l.rlike(r"\bremaining\b") & (F.size(numbers_in(l)) >= 4)), F.lit(0)))
+    table = F.col("_table").isNotNull()
+    header = F.when(table, F.get(F.filter(lines, lambda l: _named(l, COLUMNS) >= 3), F.lit(0)))
+    rows = once(rows, _header=header, _numbers=F.when(table, numbers_in(F.col("_table"))), _card=F.when(~table, _first(lines, lambda l: _named(l, TARGETS) >= 2)))
     top = F.get(lines, F.col("_card"))
-    hits = F.array(*(F.struct(F.locate(COLUMNS[t], top).alias("at"), F.lit(t).alias("key")) for t in TARGETS))
-    rows = rows.withColumn("_heads", F.when(F.col("_card").isNotNull(), F.transform(F.array_sort(F.filter(hits, lambda h: h["at"] > 0)), lambda h: h["key"])))
     after = F.filter(F.slice(lines, F.col("_card") + 2, F.greatest(F.size(lines), F.lit(1))), lambda l: l.rlike(r"\d"))
-    rows = rows.withColumn("_line", F.get(after, F.lit(0)))
-    values = F.when(F.size("_heads") == 2, values_in_row(F.col("_line"), 2)).when(F.size("_heads") == 3, values_in_row(F.col("_line"), 3)).otherwise(values_in_row(F.col("_line"), 4))
-    rows = rows.withColumn("_values", F.when(F.col("_heads").isNotNull() & F.col("_line").isNotNull(), values)).withColumn("_numbers", numbers_in(F.col("_table")))
+    rows = once(rows, _read=column_order(F.col("_header"), COLUMNS), _top=top, _line=F.get(after, F.lit(0)))
+    hits = F.array(*(F.struct(F.locate(COLUMNS[t], F.col("_top")).alias("at"), F.lit(t).alias("key")) for t in TARGETS))
+    heads = F.when(F.col("_card").isNotNull(), F.transform(F.array_sort(F.filter(hits, lambda h: h["at"] > 0)), lambda h: h["key"]))
+    whole = F.forall(F.array(*map(F.lit, TARGETS)), lambda t: F.array_contains("_read", t))
+    rows = once(rows, _order=F.when(whole, F.col("_read")).otherwise(F.array(*map(F.lit, COLUMNS))), _heads=heads, **{f"_in_{k}": c for k, c in row_parts(F.col("_line")).items()})
+    parts = {k: F.col(f"_in_{k}") for k in ROW_PARTS}
+    values = F.when(F.size("_heads") == 2, values_of_parts(**parts, n=2)).when(F.size("_heads") == 3, values_of_parts(**parts, n=3)).otherwise(values_of_parts(**parts, n=4))
+    rows = once(rows, _values=F.when(F.col("_heads").isNotNull() & F.col("_line").isNotNull(), values))
     at = lambda key, order, numbers: F.when(F.array_contains(order, key), F.get(F.col(numbers), (F.array_position(F.col(order), F.lit(key)) - 1).cast("int")))
-    own = lambda key: value_near(lines, _first(lines, lambda l: F.contains(l, F.lit(COLUMNS[key]))))
-    table = F.col("_table").isNotNull()
-    macros = {t: F.when(table, at(t, "_order", "_numbers")).otherwise(F.coalesce(at(t, "_heads", "_values"), own(t))) for t in TARGETS}
+    rows = once(rows, **{f"_at_{t}": F.when(table, at(t, "_order", "_numbers")).otherwise(at(t, "_heads", "_values")) for t in TARGETS})
+    # what is missing has its own label looked for, then a line with a digit near it, then that line's numbers
+    rows = once(rows, **{f"_own_{t}": F.when(~table & F.col(f"_at_{t}").isNull(), _first(lines, lambda l, t=t: F.contains(l, F.lit(COLUMNS[t])))) for t in TARGETS})
+    rows = once(rows, **{f"_near_{t}": _near(lines, F.col(f"_own_{t}"), NEAR) for t in TARGETS})
+    macros = {t: F.coalesce(f"_at_{t}", remaining_in_line(F.col(f"_near_{t}"))) for t in TARGETS}
     out = rows.withColumns(macros).withColumn("layout", F.when(table, "table").otherwise("card"))
     unread = F.array_compact(F.array(*(F.when(F.col(t).isNull(), F.lit(t)) for t in TARGETS)))
-    return out.withColumn("unread", unread).drop("_l", "_table", "_order", "_card", "_heads", "_line", "_values", "_numbers")
+    return out.withColumn("unread", unread).select(*texts.columns, *TARGETS, "layout", "unread")
