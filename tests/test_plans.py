@@ -1,8 +1,16 @@
-"""What plans must not do as tables grow: read a line again for each use."""
+"""What plans must not do as tables grow: shuffle a page's cells again, or read a line again for each use."""
 
 from __future__ import annotations
 
+from platefold.operators import pages
 from platefold.sources import screenshots
+from tests.test_pages import CELLS, figures, head
+
+
+def test_cells_of_a_page_are_shuffled_once(spark):
+    rows = pages.read_pages(spark.createDataFrame(head() + figures(400), CELLS))
+    assert rows._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
 def test_a_near_line_is_looked_for_once(spark):
