@@ -27,11 +27,12 @@ def decode(docs: DataFrame, json: str = "json") -> DataFrame:
     parsed = docs.select("doc_id", F.try_parse_json(json).alias("payload")).where(F.schema_of_variant("payload").startswith("ARRAY"))
     nodes = parsed.lateralJoin(tvf.variant_explode(F.col("payload").outer())).select("doc_id", F.col("pos").cast("long").alias("idx"), F.col("value").alias("node"))
     kind = F.lower(F.regexp_extract(F.schema_of_variant("node"), r"^(OBJECT|ARRAY)", 1))
-    nodes = nodes.withColumn("kind", F.when(kind == "", "value").otherwise(kind))
-    entries = nodes.lateralJoin(tvf.variant_explode_outer(F.col("node").outer())).select("doc_id", "idx", "kind", "key", F.col("pos").cast("long").alias("ord"), "node", "value")
+    # a node's own text leaves it before its entries come out: a row of an entry must not carry the whole node
+    nodes = nodes.withColumn("kind", F.when(kind == "", "value").otherwise(kind)).withColumn("plain", F.when(kind == "", F.try_variant_get("node", "$", "string")))
+    entries = nodes.lateralJoin(tvf.variant_explode_outer(F.col("node").outer())).select("doc_id", "idx", "kind", "key", F.col("pos").cast("long").alias("ord"), "plain", "value")
     inside = F.col("kind") != "value"
     number = inside & (F.schema_of_variant("value") == "BIGINT")
-    text = F.when(inside, F.when(~number, F.try_variant_get("value", "$", "string"))).otherwise(F.try_variant_get("node", "$", "string"))
+    text = F.when(inside, F.when(~number, F.try_variant_get("value", "$", "string"))).otherwise(F.col("plain"))
     return entries.select("doc_id", "idx", "kind", "key", "ord", F.when(number, F.try_variant_get("value", "$", "long")).alias("ref"), text.alias("value")).withColumn("ref", F.when(F.col("ref") >= 0, F.col("ref")))
 
 

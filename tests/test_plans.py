@@ -1,18 +1,37 @@
-"""What plans must not do as tables grow: shuffle a page's cells again, or read a line again for each use."""
+"""What plans must not do as tables grow: shuffle a page's cells again, carry a whole list with each entry, read a line again for each use."""
 
 from __future__ import annotations
 
 from platefold.operators import pages
-from platefold.sources import screenshots
+from platefold.sources import references, screenshots
 from tests.test_pages import CELLS, figures, head
 
 
+def optimized(df):
+    return df._jdf.queryExecution().optimizedPlan()
+
+
+def walk(node):
+    yield node
+    children = node.children()
+    for k in range(children.size()):
+        yield from walk(children.apply(k))
+
+
 def test_cells_of_a_page_are_shuffled_once(spark):
     rows = pages.read_pages(spark.createDataFrame(head() + figures(400), CELLS))
     assert rows._jdf.queryExecution().sparkPlan().toString().count("Join") == 0
     assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
 
 
+def test_entries_do_not_carry_their_node(spark):
+    docs = spark.createDataFrame([("d", '[{"a": 1}, [0, 1], "x"]')], "doc_id string, json string")
+    made = [n for n in walk(optimized(references.decode(docs))) if n.nodeName() == "Generate"]
+    carried = [n.requiredChildOutput().mkString(",") for n in made]
+    assert len(made) == 2
+    assert [c for c in carried if "node" in c or "payload" in c] == []
+
+
 def test_a_near_line_is_looked_for_once(spark):
     texts = spark.createDataFrame([("Calories\n5 left",)], "text string")
     plan = str(screenshots.read_targets(texts)._jdf.queryExecution().optimizedPlan().toString())
