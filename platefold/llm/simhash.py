@@ -200,6 +200,11 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Each text of an id that is repeated with different texts is a node of its own; the id gets
     the least component of them.
 
+    Candidates come from SimHash first: nodes whose fingerprints (:func:`fingerprints`) are equal or link in
+    :func:`hamming_links` are compared, and those that are alike are in one component from then on.  Fingerprints
+    of texts at ``similarity`` often differ in more bits than that, so the shingles find the rest, and
+    make no pair of what the fingerprints have connected.
+
     All such pairs are found, short of equal 64-bit hashes of different shingles.  Shingles have
     one order for all texts; those that many documents of a sample share come last, which makes
     keys selective and decides nothing else.  Of a set of n shingles the first
@@ -237,8 +242,9 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common, often = shared.value
         for b in slices(batches):
-            twins, sizes, keys, sketches = [], [], [], []
+            twins, fps, sizes, keys, sketches = [], [], [], [], []
             for t in b.column(1).to_pylist():
+                fps.append(shingle_fingerprint(t))
                 twins.append(xxhash.xxh64_intdigest(b" ".join(t.encode().lower().split())) - 2**63)
                 h = _shingle_hashes(t, words)
                 sketches.append(_sketch(h))
@@ -247,11 +253,11 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
                     h = h[np.argsort(np.where(common[at] == h, often[at], 0), kind="stable")]
                 sizes.append(len(h))
                 keys.append(h[: len(h) - ceil(similarity * len(h) - 1e-9) + 1 + len(h) // MORE].view(np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "twin", "size", "keys", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(twins, pa.int64()), pa.array(fps, pa.int64()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], ["doc_id", "twin", "fp", "size", "keys", "sketch"])
 
-    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, size int, keys array<long>, sketch binary"), "near-keys")
+    fp = stage(rows.mapInArrow(run, "doc_id long, twin long, fp long, size int, keys array<long>, sketch binary"), "near-keys")
     # a class of texts is a node, named by its twin hash: an id may have texts of several classes
-    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("size", "keys", "sketch")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.size", "m.keys", "m.sketch", "rows"), "near-classes")
+    classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "size", "keys", "sketch")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.fp", "m.size", "m.keys", "m.sketch", "rows"), "near-classes")
     keyed = classes.select(F.col("twin").alias("node"), "size", F.posexplode("keys").alias("place", "key"))
     # keys are counted first; of those with the same members the first in the order of all texts stands for all, with their number
     met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.min(F.struct("node", "place")).alias("of")).where("n > 1")
@@ -324,13 +330,14 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
         both = beside(beside(pairs, "a", "b", texts, total), "b", "a", texts, total)
         return stage(both.select("a", "b", "text_a", "text_b").mapInArrow(verify, "src long, dst long"), "near-links")
 
+    by_fingerprint = verified(_simhash_pairs(classes.select(F.col("twin").alias("node"), "fp")))
     crowded = members.where(F.col("n") > crowd)
     at = stage(_homes(crowded), "near-homes")
     sizes = at.groupBy("home").agg(F.count(F.lit(1)).alias("n"), F.count_if("wide").alias("w")).where("n > 1 and w > 0")
     sizes = stage(sizes.select("home", "n", F.ceil(F.col("n") / AT_HOME).cast("int").alias("chunks")), "near-home-sizes")
     at = stage(at.join(sizes, "home", "left_semi"), "near-at")
     sets = stage(texts_of(at.select("node")).mapInArrow(_sets(words), "node long, shingles binary"), "near-sets")
-    links = stage(_links_to_pivots(at, sizes, sets, similarity), "near-links")
+    links = stage(by_fingerprint.unionByName(_links_to_pivots(at, sizes, sets, similarity)), "near-links")
     found = connected_components(links)
     labelled = _relabel(members, narrow, found)
     last = verified(_candidates(labelled, crowd, similarity))
@@ -341,6 +348,16 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     return join_hot(fp.select("doc_id", "twin"), told, ["twin"], "rows").groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
 
 
+def _simhash_pairs(nodes: DataFrame) -> DataFrame:
+    """(a, b): pairs of ``nodes`` (node, fp), enough of them to connect what equal and linked fingerprints connect.
+
+    Nodes of one fingerprint are paired with the least of them only.
+    """
+    least = stage(nodes.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("rows")), "near-fingerprints")
+    alike = join_hot(nodes.withColumnRenamed("node", "b"), least.select("fp", F.col("node").alias("a"), "rows").where("rows > 1"), ["fp"], "rows").where("a <> b")
+    return alike.select("a", "b").unionByName(hamming_links(least.select("node", "fp")).select(F.col("src").alias("a"), F.col("dst").alias("b")))
+
+
 def _sets(words: int):
     """Each text's set of shingles, as bytes."""
 

@@ -140,3 +140,22 @@ def test_sketches_never_rule_out_what_is_alike():
                 assert may or both < 0.8 * (len(np.unique(x)) + len(np.unique(y)) - both)
                 if n >= 300 and share == 0.5:
                     assert not may
+
+
+def test_fingerprints_find_what_is_within_two_bits(spark, monkeypatch):
+    """Without the shingle join, near copies of few differing bits are found by SimHash; unlike texts of one fingerprint are not linked."""
+    rng = random.Random(8)
+    vocabulary = [word(rng) for _ in range(3000)]
+    texts = {}
+    for d in range(0, 60, 2):
+        w = rng.choices(vocabulary, k=600)
+        texts[d], texts[d + 1] = " ".join(w), " ".join([*w, word(rng)])
+    for d in (100, 101):
+        texts[d] = "lorem ipsum dolor " * 50 + " ".join(word(rng) for _ in range(20))
+    fp = {d: simhash.shingle_fingerprint(t) for d, t in texts.items()}
+    close = {d: d - 1 if d < 100 and d % 2 and ((fp[d] ^ fp[d - 1]) & 2**64 - 1).bit_count() <= 2 else d for d in texts}
+    assert sum(close[d] != d for d in texts) >= 10 and fp[100] == fp[101]
+    none = spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(simhash, "_candidates", lambda *_: none)
+    monkeypatch.setattr(simhash, "_links_to_pivots", lambda *_: none.toDF("src", "dst"))
+    assert grouped(spark, texts) == close
