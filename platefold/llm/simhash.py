@@ -260,8 +260,8 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     classes = stage(fp.groupBy("twin").agg(F.min("doc_id").alias("least"), F.min(F.struct("fp", "size", "keys", "sketch")).alias("m"), F.count(F.lit(1)).alias("rows")).select("twin", "least", "m.fp", "m.size", "m.keys", "m.sketch", "rows"), "near-classes")
     keyed = classes.select(F.col("twin").alias("node"), "size", F.posexplode("keys").alias("place", "key"))
     # keys are counted first; of those with the same members the first in the order of all texts stands for all, with their number
-    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.min(F.struct("node", "place")).alias("of")).where("n > 1")
-    met = stage(met.groupBy("n", "s").agg(F.min_by("key", F.struct("of.place", "key")).alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "n", "weight"), "near-met")
+    met = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("s"), F.min("place").alias("place")).where("n > 1")
+    met = stage(met.groupBy("n", "s").agg(F.min_by("key", F.struct("place", "key")).alias("key"), F.count(F.lit(1)).alias("weight")).select("key", "n", "weight"), "near-met")
     # a text of this size has this share of its shingles in common with one of the same size that is alike
     share = 2 * similarity / (1 + similarity)
     wide = (F.col("size") - F.col("place")) + F.lit(1e-6) >= F.lit(share) * F.col("size")
@@ -341,7 +341,7 @@ def _near_duplicate_groups(rows: DataFrame, words: int, similarity: float, crowd
     found = connected_components(links)
     labelled = _relabel(members, narrow, found)
     last = verified(_candidates(labelled, crowd, similarity))
-    found = connected_components(links.unionByName(last))
+    found = connected_components(found.select(F.col("node").alias("src"), F.col("component").alias("dst")).unionByName(last))
     named = stage(classes.join(found, classes["twin"] == found["node"], "left").select("twin", "least", "rows", F.coalesce("component", "twin").alias("component")), "near-named")
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("classes"))
     told = stage(join_hot(named, ids, ["component"], "classes").select("twin", "rows", "component_id"), "near-told")

@@ -159,3 +159,20 @@ def test_fingerprints_find_what_is_within_two_bits(spark, monkeypatch):
     monkeypatch.setattr(simhash, "_candidates", lambda *_: none)
     monkeypatch.setattr(simhash, "_links_to_pivots", lambda *_: none.toDF("src", "dst"))
     assert grouped(spark, texts) == close
+
+
+def test_small_joins_and_stars_take_no_broadcasts_and_rounds(spark, monkeypatch):
+    """Without a hot key nothing is broadcast; links that are stars already are not worked on; paths still come out right."""
+    from platefold.llm import common, components
+
+    left, right = spark.range(1000).selectExpr("id % 50 as k", "id"), spark.range(60).selectExpr("id as k", "20L as n")
+    for how, rows in (("inner", 1000), ("left", 1000)):
+        joined = common.join_hot(left, right, ["k"], "n", how)
+        assert "broadcast" not in joined._jdf.queryExecution().analyzed().toString().lower() and joined.count() == rows
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda df, name: staged.append(name) or common.stage(df, name))
+    found = components.connected_components(spark.createDataFrame([(k * 10, k * 10 + j) for k in range(9) for j in range(1, 6)], "src long, dst long"))
+    assert {(r["node"], r["component"]) for r in found.collect()} == {(k * 10 + j, k * 10) for k in range(9) for j in range(6)} and len(staged) == 1
+    found = components.connected_components(spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(70, 3), (3, 3)], "src long, dst long"))
+    assert {r["node"]: r["component"] for r in found.collect()} == {k: 0 if k <= 20 or k == 70 else 21 for k in [*range(41), 70]}
+    assert components.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
