@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from platefold.functions import exprs
 from platefold.operators import compose, filters, layout, tree
 from platefold.sources import documents, loaders, references, screenshots, sinks, snapshots
+from platefold.staging import settle
 
 DOC = "key string, version string, content string"
 
@@ -243,3 +244,18 @@ def test_places_of_groups_are_counted_as_they_are_made(spark):
     deep = spark.createDataFrame([("g", 0, "Rice", ["g"])] * 1000, o.schema)
     with pytest.raises(ValueError, match="deeper than 8 groups at Base"):
         tree.group_places(f.where("format = 'Bowl'"), g, deep).collect()  # 1000 to the ninth places
+
+
+@pytest.mark.parametrize("kept", [1, 20, 1000])
+def test_large_levels_of_a_forest_are_not_stored(spark, monkeypatch, kept):
+    """The places of every level were written, as many as the power of the depth."""
+    written = []
+    monkeypatch.setattr(tree, "PLACES_KEPT", kept, raising=False)
+    monkeypatch.setattr(tree, "settle", lambda df: written.append(settle(df)) or written[-1])
+    groups = [(g, g, 1, 1) for g in "ghk"]
+    options = [(g, n, "Rice", [under] if under else []) for g, under in zip("ghk", ["h", "k", None], strict=True) for n in range(8)]
+    made_groups, choices = forest(spark, groups, options)
+    ids = {f"Bowl:0/{a}" for a in range(8)} | {f"Bowl:0/{a}.0/{b}" for a in range(8) for b in range(8)} | {f"Bowl:0/{a}.0/{b}.0/{c}" for a in range(8) for b in range(8) for c in range(8)}
+    assert sorted(r["choice_id"] for r in choices.collect()) == sorted(ids)
+    assert made_groups.count() == made_groups.select("group_id").distinct().count() == 1 + 8 + 64
+    assert max(df.count() for df in written if "path" in df.columns) == max(n for n in (1, 8, 64) if n <= kept)
