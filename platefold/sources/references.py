@@ -8,13 +8,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import exprs
-from ..staging import settle
+from ..staging import once, settle
 
 #: Edges between a category and its items at most, two for each section in between; lists count as edges.
 DEEPEST = 8
 #: What the nutrition rows of an item are called.
 LABELS = {"calories": r"(?i)energy \(kcal\)", "protein": r"(?i)^protein \(g\)", "fat": r"(?i)^fat \(g\)", "carbs": r"(?i)^carb \(g\)"}
 NODE = ["doc_id", "idx"]
+#: Entries of a document that are parsed together.
+PIECE = 256
+# JSON of one level: arrays of plain values, and of objects and lists of these. Every repetition is possessive, so texts of any length take no stack.
+_WS = r"[ \t\r\n]*+"
+_TEXT = r'"[^"\\\x00-\x1f]*+(?:\\(?:["\\/bfnrt]|u[0-9a-fA-F]{4})[^"\\\x00-\x1f]*+)*+"'
+_PLAIN = rf"(?:{_TEXT}|-?+(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?+[0-9]++)?+|true|false|null){_WS}"
+_PAIR = rf"{_TEXT}{_WS}:{_WS}{_PLAIN}"
+_NODE = rf"(?:{_PLAIN}|(?:\{{{_WS}(?:{_PAIR}(?:,{_WS}{_PAIR})*+)?+\}}|\[{_WS}(?:{_PLAIN}(?:,{_WS}{_PLAIN})*+)?+\]){_WS})"
+_FLAT = rf"\A{_WS}\[{_WS}{_NODE}(?:,{_WS}{_NODE})*+\]{_WS}\z"
+_PIECES = rf"\G(?:\A{_WS}\[|,){_WS}({_NODE}(?:,{_WS}{_NODE}){{0,{PIECE - 1}}}+)"
 
 
 def decode(docs: DataFrame, json: str = "json") -> DataFrame:
@@ -24,8 +34,8 @@ def decode(docs: DataFrame, json: str = "json") -> DataFrame:
     values are text.  A document that is no JSON array has no rows.
     """
     tvf = docs.sparkSession.tvf
-    parsed = docs.select("doc_id", F.try_parse_json(json).alias("payload")).where(F.schema_of_variant("payload").startswith("ARRAY"))
-    nodes = parsed.lateralJoin(tvf.variant_explode(F.col("payload").outer())).select("doc_id", F.col("pos").cast("long").alias("idx"), F.col("value").alias("node"))
+    parsed = _pieces(docs, json).select("doc_id", "first", F.try_parse_json("piece").alias("payload")).where(F.schema_of_variant("payload").startswith("ARRAY"))
+    nodes = parsed.lateralJoin(tvf.variant_explode(F.col("payload").outer())).select("doc_id", (F.col("first") + F.col("pos")).alias("idx"), F.col("value").alias("node"))
     kind = F.lower(F.regexp_extract(F.schema_of_variant("node"), r"^(OBJECT|ARRAY)", 1))
     # a node's own text leaves it before its entries come out: a row of an entry must not carry the whole node
     nodes = nodes.withColumn("kind", F.when(kind == "", "value").otherwise(kind)).withColumn("plain", F.when(kind == "", F.try_variant_get("node", "$", "string")))
@@ -36,6 +46,23 @@ def decode(docs: DataFrame, json: str = "json") -> DataFrame:
     return entries.select("doc_id", "idx", "kind", "key", "ord", F.when(number, F.try_variant_get("value", "$", "long")).alias("ref"), text.alias("value")).withColumn("ref", F.when(F.col("ref") >= 0, F.col("ref")))
 
 
+def _pieces(docs: DataFrame, json: str) -> DataFrame:
+    """(doc_id, first, piece): arrays of PIECE entries of each document, and the place of the first one.
+
+    A document is held by one task as a text only; its entries come out of pieces of a few
+    kilobytes.  One with entries of several levels, or that is no array, stays whole.  One of
+    which a piece is no JSON (keys may be there twice) has no pieces, as it is no JSON itself.
+    """
+    text = docs.select("doc_id", F.col(json).alias("_json"))
+    array = lambda p: F.concat(F.lit("["), p, F.lit("]"))
+    flat = F.coalesce(F.col("_json").rlike(_FLAT), F.lit(False))
+    cut = F.when(flat, F.regexp_extract_all("_json", F.lit(_PIECES), F.lit(1)))
+    cut = once(text, _cut=F.coalesce(cut, F.array("_json")), _flat=flat).drop("_json")
+    sound = cut.where(~F.col("_flat") | F.forall("_cut", lambda p: F.try_parse_json(array(p)).isNotNull()))
+    each = sound.select("doc_id", "_flat", F.posexplode("_cut").alias("_at", "_piece"))
+    return settle(each.select("doc_id", (F.col("_at").cast("long") * PIECE).alias("first"), F.when(F.col("_flat"), array(F.col("_piece"))).otherwise(F.col("_piece")).alias("piece")))
+
+
 def values_of(entries: DataFrame, key: str, out: str) -> DataFrame:
     """(doc_id, idx, out): the plain value under ``key`` of each object, its own or the one it refers to."""
     own = entries.where((F.col("kind") == "object") & (F.col("key") == key))
