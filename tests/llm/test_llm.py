@@ -256,6 +256,20 @@ def test_lm_filter_probed_by_shard_gives_the_same(docs):
     assert a.keys() == b.keys() and all(math.isclose(a[i], b[i], rel_tol=1e-9) for i in a)
 
 
+def test_lm_large_filter_is_read_and_not_asked_by_shuffle(docs, monkeypatch):
+    """The keys of all texts were shuffled to a filter too large to be broadcast, many times the input."""
+    train = F.col("doc_id") % 3 > 0
+    of = lambda **kw: {r["doc_id"]: r["score"] for r in lm.score(docs, train, head_words=800, **kw).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 5000)
+    whole, answers = of(), lm._answers
+    monkeypatch.setattr(lm, "_answers", lambda *a: pytest.fail("keys were shuffled"))
+    monkeypatch.setattr(lm, "ASKED_TOGETHER", 20_000, raising=False)
+    read = of(broadcast_bytes=0)
+    monkeypatch.setattr(lm, "_answers", answers)
+    monkeypatch.setattr(lm, "_readable", lambda files: False, raising=False)
+    assert read == pytest.approx(whole, abs=1e-9) and of(broadcast_bytes=0) == pytest.approx(whole, abs=1e-9)
+
+
 def test_lm_score_against_exact_counts(spark, docs, texts):
     """The score by plain dictionaries of quantised counts, by the one of the weights that fits best;
     it does not depend on how many words workers know exactly."""
